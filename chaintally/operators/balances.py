@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, Window as W
 
+from chaintally.operators.ranking import top_ranks
 from chaintally.operators.spines import fill_days
 
 
@@ -30,6 +31,26 @@ def active_balances(net, keys=("address",), measures=("net_amount",), out=None):
     return net.select("date", *keys, *cols, F.lead("date").over(w).alias("next_date"))
 
 
+def balance_spans(net, start, as_of, keys=("address",), measure="net_amount", out="balance"):
+    """Days ``lo`` to ``hi`` over which each key's balance stands still, from ``start`` on.
+
+    The span before the first active day holds zero. Spans of a key cover the calendar
+    without overlap, and there are at most as many as active days plus one.
+    """
+    active = active_balances(net, keys, [measure], {measure: out}).filter(F.col("date") <= as_of)
+    opening = F.lag("date").over(W.partitionBy(*keys).orderBy("date")).isNull()
+    held = F.struct(F.col("date").alias("lo"), _last_day(as_of).alias("hi"), F.col(out))
+    before = F.struct(start.alias("lo"), F.date_sub("date", 1).alias("hi"),
+                      F.col(f"prev_{out}").alias(out))
+    spans = F.when(opening, F.array(before, held)).otherwise(F.array(held))
+    return active.select(*keys, spans.alias("_spans")).select(*keys, F.inline("_spans")).filter(
+        F.col("lo") <= F.col("hi"))
+
+
+def _last_day(as_of):
+    return F.least(F.coalesce(F.date_sub("next_date", 1), as_of), as_of)
+
+
 def running_balance(net, start, as_of, keys=("address",), measures=("net_amount",), out=None,
                     gaps="carry", before_first=0):
     """Balance per key on every day from ``start`` to ``as_of``.
@@ -43,8 +64,8 @@ def running_balance(net, start, as_of, keys=("address",), measures=("net_amount"
     active = active_balances(net, keys, measures, out).filter(F.col("date") <= as_of)
     opening = F.lag("date").over(W.partitionBy(*keys).orderBy("date")).isNull()
     lo = F.when(opening, F.least(start, F.col("date"))).otherwise(F.col("date"))
-    hi = F.least(F.coalesce(F.date_sub("next_date", 1), as_of), as_of)
-    spread = active.withColumn("_lo", lo).withColumn("_day", F.explode(F.sequence("_lo", hi)))
+    spread = active.withColumn("_lo", lo).withColumn(
+        "_day", F.explode(F.sequence("_lo", _last_day(as_of))))
     shown = F.col("_day") >= F.col("date")
     if gaps == "sparse":
         shown, before_first = F.col("_day") == F.col("date"), None
@@ -52,6 +73,31 @@ def running_balance(net, start, as_of, keys=("address",), measures=("net_amount"
         F.when(shown, F.col(n)).otherwise(F.lit(before_first)).alias(n) for n in names])
 
 
+def top_spans(spans, n, measure="balance", key="address", block=64):
+    """The days of spans that can reach the ``n`` largest of any day, expanded.
+
+    Within a block of days the n-th largest of the keys' lowest balances is a floor that at
+    least n keys stay on or above all the time. A balance below its block's floor is never
+    among the n largest, so only the others are expanded to days. The rows that are ordered
+    number keys times blocks instead of keys times days, and nothing is lost: equal balances
+    are kept, and a block with fewer than n keys has no floor.
+    """
+    def number(day):
+        return F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / block).cast("int")
+
+    cut = spans.withColumn("_block", F.explode(F.sequence(number(F.col("lo")), number(F.col("hi")))))
+    lowest = cut.groupBy(key, "_block").agg(F.min(measure).alias("_low"))
+    floors = (top_ranks(lowest, "_low", "_block", key, n).groupBy("_block")
+              .agg(F.min("_low").alias("_floor"), F.count(F.lit(1)).alias("_keys"))
+              .filter(F.col("_keys") == n).select("_block", "_floor"))
+    # One row per block of the calendar.
+    near = cut.join(F.broadcast(floors), "_block", "left").filter(
+        F.col("_floor").isNull() | (F.col(measure) >= F.col("_floor")))
+    first = F.date_add(F.lit("1970-01-01").cast("date"), F.col("_block") * block)
+    day = F.explode(F.sequence(F.greatest("lo", first), F.least("hi", F.date_add(first, block - 1))))
+    return near.select(day.alias("date"), key, measure)
+
+
 def daily_totals(changes, as_of, measures, null_if_never=()):
     """Running total per day of changes that happened on active days.
 

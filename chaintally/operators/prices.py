@@ -10,11 +10,16 @@ from chaintally.functions.columns import as_col
 def daily_close(prices, by=("contract_address",), labels=()):
     """Last price of every day (T14): one hash aggregate, no sort of the ticks.
 
-    ``labels`` are further columns taken from the same last tick.
+    ``labels`` are further columns taken from the same last tick. Ticks are first folded per
+    label, with numbers only in the aggregate, so that text is compared on days, not ticks.
     """
-    return (prices.groupBy(*by, F.to_date("minute").alias("date"))
-            .agg(F.max_by("price", "minute").alias("close_price"),
-                 *[F.max_by(c, "minute").alias(c) for c in labels]))
+    day = F.to_date("minute").alias("date")
+    if not labels:
+        return prices.groupBy(*by, day).agg(F.max_by("price", "minute").alias("close_price"))
+    folded = prices.groupBy(*by, *labels, day).agg(
+        F.max_by("price", "minute").alias("close_price"), F.max("minute").alias("_at"))
+    return folded.groupBy(*by, "date").agg(*[
+        F.max_by(c, "_at").alias(c) for c in ("close_price", *labels)])
 
 
 def latest_price(prices, by=("contract_address",), out="last_price", ignore_nulls=True):

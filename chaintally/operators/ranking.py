@@ -24,6 +24,12 @@ def topn_labels(n):
     return lambda rank: F.concat(F.lit("Top"), F.lpad(F.col(rank).cast("string"), len(str(n)), "0"))
 
 
+def top_ranks(df, measure, part="date", key="address", n=10):
+    """The ``n`` largest rows per ``part`` with their rank; ties go to the smaller key."""
+    w = W.partitionBy(part).orderBy(F.col(measure).desc_nulls_last(), F.col(key).asc_nulls_last())
+    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
 def topn_with_others(df, measure, part="date", key="address", n=10, out=None):
     """The ``n`` largest keys per ``part`` under a label each, everything else summed.
 
@@ -31,57 +37,35 @@ def topn_with_others(df, measure, part="date", key="address", n=10, out=None):
     the rest is the part's total less its top, so no part is ever gathered in one task.
     Ties go to the smaller key. NULL measures rank last and count as missing.
     """
-    out = out or measure
-    top, rest = split_topn(df, measure, part, key, n)
-    label = topn_labels(n)
-    named = top.select(part, label("rank").alias("top10"), F.col(measure).alias(out))
-    others = (rest.filter(F.col("_rows") > n)
-              .select(part, F.lit("(Others)").alias("top10"), F.col("_rest").alias(out)))
-    return named.unionByName(others)
-
-
-def split_topn(df, measure, part, key, n):
-    """Top rows with their rank, and per part the row count and the sum of all other rows."""
-    top = top_ranks(df, measure, part, key, n)
     totals = df.groupBy(part).agg(
         F.count(F.lit(1)).alias("_rows"), F.sum(measure).alias("_all"),
         F.count(measure).alias("_filled"))
-    taken = top.groupBy(part).agg(F.sum(measure).alias("_top"), F.count(measure).alias("_top_filled"))
-    rest = totals.join(taken, part, "left").select(
-        part, "_rows",
-        F.when(F.col("_filled") > F.coalesce("_top_filled", F.lit(0)),
-               F.col("_all") - F.coalesce("_top", F.lit(0))).alias("_rest"))
-    return top, rest
-
-
-def top_ranks(df, measure, part="date", key="address", n=10):
-    """The ``n`` largest rows per ``part`` with their rank; ties go to the smaller key."""
-    w = W.partitionBy(part).orderBy(F.col(measure).desc_nulls_last(), F.col(key).asc_nulls_last())
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return label_tops(top_ranks(df, measure, part, key, n), totals, F.col("_rows"), measure, part,
+                      n, None, out)
 
 
-def label_dense_days(top, days, population, measure, n=10, fill=None, out=None):
-    """Label the tops of a day series that counts ``population`` addresses on every day.
+def label_tops(top, totals, population, measure, part="date", n=10, fill=None, out=None):
+    """Spread the top rows and the totals of each part over at most n + 1 labels.
 
-    The dense frame would hold a row for each of them, most without activity. Those rows can
-    only rank after the active ones, so their slots are added here, at most n + 1 per day.
-    ``days`` has one row per day with the total ``_all`` and the number of rows ``_filled``
-    that carry a value; ``fill`` is what a row without activity is worth.
+    ``population`` is how many rows a part stands for, which may be more than it has: a dense
+    frame would hold a row for every address on every day, most without activity. Those can
+    only rank after the others, so they add labels here and no rows before. ``totals`` has
+    the sum ``_all`` and the number ``_filled`` of rows that carry a value; ``fill`` is what
+    a row without one is worth.
     """
-    out = out or measure
+    tops = top.groupBy(part).agg(
+        F.map_from_entries(F.collect_list(F.struct("rank", measure))).alias("_values"),
+        F.sum(measure).alias("_top"))
     slots = F.least(population, F.lit(n + 1)).cast("int")
-    frame = days.select("date", "_all", "_filled", F.explode(
-        F.when(slots > 0, F.sequence(F.lit(1), slots))).alias("rank"))
-    values = top.select("date", "rank", F.col(measure).alias("_v"))
-    taken = top.groupBy("date").agg(F.sum(measure).alias("_top"))
-    label = topn_labels(n)
-    rest = F.when(F.col("_filled") > n, F.col("_all") - F.coalesce("_top", F.lit(0)))
-    value = F.when(F.col("rank") <= n, F.col("_v")).otherwise(rest)
+    frame = totals.join(tops, part, "left").withColumn(
+        "rank", F.explode(F.when(slots > 0, F.sequence(F.lit(1), slots))))
+    rest = F.when(F.col("_filled") > n, F.col("_all") - F.col("_top"))
+    named = F.col("rank") <= n
+    value = F.when(named, F.try_element_at("_values", "rank")).otherwise(rest)
     if fill is not None:
         value = F.coalesce(value, F.lit(fill))
-    return (frame.join(values, ["date", "rank"], "left").join(taken, "date", "left")
-            .select("date", F.when(F.col("rank") <= n, label("rank"))
-                    .otherwise("(Others)").alias("top10"), value.alias(out)))
+    return frame.select(part, F.when(named, topn_labels(n)("rank")).otherwise("(Others)")
+                        .alias("top10"), value.alias(out or measure))
 
 
 def share_of_total(df, measure, part=None, out="share"):

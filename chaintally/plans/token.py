@@ -22,11 +22,15 @@ def _token_row(src, token):
     return flows.token_info(meta)
 
 
+def _token_fields(src, token):
+    """Symbol and decimals of the token as one scalar, NULL when it is not registered."""
+    return _token_row(src, token).select(F.struct("token_symbol", "decimals").alias("info")).scalar()
+
+
 def _named(df, src, token):
-    """Attach symbol and decimals; the joined side is one row, hence the broadcast."""
-    if "token_ca" not in df.columns:
-        df = df.withColumn("token_ca", F.lit(token))
-    return df.join(F.broadcast(_token_row(src, token)), "token_ca")
+    """Attach the token's address, symbol and decimals without a join."""
+    return (df.withColumn("token_ca", F.lit(token)).withColumn("_info", _token_fields(src, token))
+            .select("*", "_info.token_symbol", "_info.decimals").drop("_info"))
 
 
 def _ledger(src, token):
@@ -34,13 +38,11 @@ def _ledger(src, token):
     rows = src.table("erc20_transfers").filter(
         (F.col("contract_address") == token) & F.col("evt_tx_hash").isNotNull()
         & F.col("from").isNotNull() & F.col("to").isNotNull())
-    ledger = rows.select(
+    return rows.select(
         F.col("evt_block_time").alias("datetime"), F.to_date("evt_block_time").alias("date"),
         F.col("evt_tx_hash").alias("tx_hash"), F.col("contract_address").alias("token_ca"),
         F.col("from").alias("from_address"), F.col("to").alias("to_address"),
-        F.col("value").alias("raw"))
-    known = _token_row(src, token).select("token_ca")
-    return ledger.join(F.broadcast(known), "token_ca", "left_semi")
+        F.col("value").alias("raw")).filter(_token_fields(src, token).isNotNull())
 
 
 def _legs(src, token, label=False):
@@ -121,10 +123,12 @@ def supply_mint_burn(src, token, gaps="carry"):
         grid = _raw_balance(src, token, gaps).withColumn(
             "token_ca", F.when(F.col("balance").isNotNull(), F.lit(token)))
         split = stats.supply_mint_burn(grid, keys=("date", "token_ca"))
-        split = split.join(F.broadcast(_token_row(src, token)), "token_ca", "left")
-        unit = F.coalesce("decimals", F.lit(0))
-        return split.select("date", "token_ca", "token_symbol", *[
-            scaled(m, unit).alias(m) for m in ("total_supply", "total_mint", "total_burn")])
+        known = F.col("token_ca").isNotNull()
+        named = _named(split.withColumn("_known", known), src, token)
+        return named.select(
+            "date", F.when(F.col("_known"), F.col("token_ca")).alias("token_ca"),
+            F.when(F.col("_known"), F.col("token_symbol")).alias("token_symbol"), *[
+                scaled(m, "decimals").alias(m) for m in ("total_supply", "total_mint", "total_burn")])
     measures = ("total_supply", "total_mint", "total_burn")
     return _in_units(_supply_raw(src, token), src, token, {m: m for m in measures},
                      ["date", "token_ca", "token_symbol"])
@@ -239,7 +243,8 @@ def active_addresses(src, token):
 def avg_purchase_price(src, token):
     """Holders ordered by what they paid on average."""
     decimals = _token_row(src, token).select("decimals").scalar()
-    paid = stats.avg_purchase_price(_legs(src, token, label=True), _close(src, token), decimals)
+    paid = stats.avg_purchase_price(
+        _legs(src, token, label=True), F.broadcast(_close(src, token)), decimals)
     kept = flows.exclude_addresses(paid).filter(
         (F.col("balance_token") > 0) & F.col("avg_purchase_price_usd").isNotNull())
     placed = ranking.cumulative_position(
@@ -312,7 +317,7 @@ def _sender_tops(src, token, measure, value, n, fill):
                                    F.count(F.when(own, F.col(measure))).alias("_filled"))
     days = spines.fill_days(days, src.today, on_day=["_all", "_filled"], absent={"_filled": 0})
     top = ranking.top_ranks(flows.exclude_addresses(per), measure, n=n)
-    return ranking.label_dense_days(top, days, _population(src, token), measure, n, fill)
+    return ranking.label_tops(top, days, _population(src, token), measure, n=n, fill=fill)
 
 
 def wealth_gap_txs(src, token, n=10):
@@ -331,23 +336,22 @@ def wealth_gap_volume(src, token, n=10):
 def wealth_gap_balance(src, token, gaps="carry", n=10):
     """Balance per day of each of the ten largest holders and of all others.
 
-    The dense frame is expanded and cut to ten rows per day inside each task; the rest is
-    the day's total less its top, and the totals come from the daily flows.
+    Only balances that can be among the ten largest of a day are expanded to days; the rest
+    is the day's total less its top, and the totals come from the daily flows.
     """
     if gaps == "sparse":
         grid = flows.exclude_addresses(_raw_balance(src, token, gaps))
         tops = ranking.topn_with_others(grid, "balance", n=n)
     else:
         net = flows.exclude_addresses(flows.net_flows(_legs(src, token)))
-        start = _start(src, token)
-        grid = balances.running_balance(net, start, src.today)
+        spans = balances.balance_spans(net, _start(src, token), src.today)
         people = _population(src, token)
         # Days on which only sinks moved still belong to the calendar.
         own = F.when(not_sink("address"), F.col("transfer_amount")).otherwise(0)
         moves = _legs(src, token).select("date", own.alias("_all"))
         days = balances.daily_totals(moves, src.today, ["_all"]).withColumn("_filled", people)
-        top = ranking.top_ranks(grid, "balance", n=n)
-        tops = ranking.label_dense_days(top, days, people, "balance", n)
+        top = ranking.top_ranks(balances.top_spans(spans, n), "balance", n=n)
+        tops = ranking.label_tops(top, days, people, "balance", n=n)
     return _in_units(tops, src, token, {"balance": "balance_token"},
                      ["date", "top10"]).orderBy("date", "top10")
 
