@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, Window as W
 
 from chaintally.functions.columns import as_col, ratio
-from chaintally.session import ensure_checkpoint_dir
+from chaintally.session import materialise
 
 
 def latest_per_key(df, keys, order="date"):
@@ -102,9 +102,7 @@ def global_order(df, order):
     before anything else reads it: every later use, also after executors are lost, sees the
     same chunks. Equal values are split between chunks when ``order`` ends in a unique key.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    place = F.monotonically_increasing_id()
-    placed = df.orderBy(*order).withColumn("_place", place).checkpoint(eager=True)
+    placed = materialise(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
     return (placed.withColumn("_chunk", F.shiftrightunsigned("_place", 33))
             .withColumn("_pos", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
             .drop("_place"))

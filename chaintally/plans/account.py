@@ -7,6 +7,7 @@ from pyspark.sql import functions as F, Window as W
 from chaintally.constants import WEI_DECIMALS
 from chaintally.functions.columns import scaled, zero_if_null
 from chaintally.operators import activity, balances, flows, prices, spines, stats
+from chaintally.session import materialise
 
 
 def _account_erc20(src, account):
@@ -91,10 +92,10 @@ def account_balance_erc20(src, account, drop_unpriced=False):
     Amounts are netted per (token, day) before metadata and prices are joined. Days before
     a token first moved have no balance.
     """
-    rows = _account_erc20(src, account)
-    net = flows.in_out_by_date(rows, ["value"], keys=("contract_address",))
+    net = materialise(flows.in_out_by_date(
+        _account_erc20(src, account), ["value"], keys=("contract_address",)))
     daily = balances.running_balance(
-        net, spines.first_day(rows), src.today, keys=("contract_address",),
+        net, spines.first_day(net), src.today, keys=("contract_address",),
         measures=("value_net",), out={"value_net": "raw"}, before_first=None)
     meta = flows.token_info(src.table("tokens_erc20")).select(
         F.col("token_ca").alias("contract_address"), F.col("token_symbol").alias("symbol"), "decimals")
@@ -111,9 +112,9 @@ def account_balance_erc721(src, account):
     rows = account_transfers_erc721(src, account, oriented=True).select(
         F.to_date("datetime").alias("date"), "transfer_type",
         F.col("token_ca").alias("contract_address"), F.lit(1).cast("long").alias("items"))
-    net = flows.in_out_by_date(rows, ["items"], keys=("contract_address",))
+    net = materialise(flows.in_out_by_date(rows, ["items"], keys=("contract_address",)))
     daily = balances.running_balance(
-        net, spines.first_day(rows), src.today, keys=("contract_address",),
+        net, spines.first_day(net), src.today, keys=("contract_address",),
         measures=("items_net",), out={"items_net": "balance_token"}, before_first=None)
     labels = src.table("tokens_nft").groupBy("contract_address").agg(F.min("name").alias("symbol"))
     return daily.join(labels, "contract_address", "left").select(

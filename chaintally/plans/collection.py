@@ -9,6 +9,7 @@ from chaintally.constants import (
 from chaintally.functions.columns import explorer_link, not_sink, ratio, scaled
 from chaintally.operators import activity, balances, flows, prices, ranking, spines, stats
 from chaintally.plans.token import native_totals
+from chaintally.session import materialise
 
 
 # --- shared pieces -----------------------------------------------------------------------
@@ -38,7 +39,7 @@ def _active(src, collection):
 
 def daily_balance(src, collection):
     """Items of every address on every day: the dense form behind R47 to R49."""
-    net = flows.net_flows(_legs(src, collection))
+    net = materialise(flows.net_flows(_legs(src, collection)))
     return flows.exclude_addresses(
         balances.running_balance(net, spines.first_day(net), src.today))
 
@@ -123,8 +124,9 @@ def cohort_nft_overlap(src, collection, family=(), drop_unlabelled=False):
 
 def _side_by_side(src, collections, exclude):
     """Net items per day and address, one column per collection of the family."""
-    legs = flows.exclude_addresses(
-        _legs(src, collections.values(), keys=("contract_address",)), addresses=exclude)
+    legs = _legs(src, collections.values(), keys=("contract_address",))
+    if exclude:
+        legs = flows.exclude_addresses(legs, addresses=exclude)
     return legs, [
         F.sum(F.when(F.col("contract_address") == ca, F.col("transfer_amount")).otherwise(0))
         .alias(f"{name}_cnt") for name, ca in collections.items()]
@@ -149,18 +151,20 @@ def derivative_items(src, collections, exclude=(ZERO_ADDRESS,)):
     active day changes the combination of one address, so the daily counts are running sums
     of those changes.
     """
-    legs, sums = _side_by_side(src, collections, exclude)
-    net = legs.groupBy("date", "address").agg(*sums)
+    # Excluded addresses keep their days, which belong to the calendar, and hold nothing.
+    legs, sums = _side_by_side(src, collections, ())
     names = [f"{name}_cnt" for name in collections]
+    owner = F.coalesce(not_sink("address", exclude), F.lit(False))
+    net = legs.groupBy("date", "address").agg(*sums).select(
+        "date", "address", *[F.when(owner, F.col(n)).otherwise(0).alias(n) for n in names])
     active = balances.active_balances(net, measures=names, out={n: n for n in names})
     rules = combination_rules(collections)
-    before = active.select("date", *[F.col(f"prev_{n}").alias(n) for n in names])
-    moves = (active.select("date", *[rule.cast("long").alias(k) for k, rule in rules.items()])
-             .unionByName(before.select(
-                 "date", *[(-rule.cast("long")).alias(k) for k, rule in rules.items()])))
-    opening = _legs(src, collections.values()).select(
-        "date", *[F.lit(0).cast("long").alias(k) for k in rules])
-    return balances.daily_totals(moves.unionByName(opening), src.today, list(rules)).orderBy("date")
+    states = active.select("date", F.inline(F.array(
+        F.struct(F.lit(1).alias("sign"), *[F.col(n) for n in names]),
+        F.struct(F.lit(-1).alias("sign"), *[F.col(f"prev_{n}").alias(n) for n in names]))))
+    moves = states.select("date", *[
+        F.when(rule, F.col("sign")).otherwise(0).alias(k) for k, rule in rules.items()])
+    return balances.daily_totals(moves, src.today, list(rules)).orderBy("date")
 
 
 def holding_distribution(src, collection, include_nonpositive=False):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from chaintally.constants import WEI_DECIMALS
 from chaintally.functions.columns import not_sink, scaled, zero_if_null
 from chaintally.operators import activity, balances, flows, prices, ranking, spines, stats
+from chaintally.session import materialise
 
 
 # --- shared pieces -----------------------------------------------------------------------
@@ -53,13 +54,14 @@ def _active(src, token):
     return balances.active_balances(flows.net_flows(_legs(src, token)))
 
 
-def _start(src, token):
-    return spines.first_day(_ledger(src, token))
+def _net(src, token):
+    """Net flows per day and address, written once for reports that use them repeatedly."""
+    return materialise(flows.net_flows(_legs(src, token)))
 
 
 def _raw_balance(src, token, gaps="carry"):
-    return balances.running_balance(
-        flows.net_flows(_legs(src, token)), _start(src, token), src.today, gaps=gaps)
+    net = _net(src, token)
+    return balances.running_balance(net, spines.first_day(net), src.today, gaps=gaps)
 
 
 def _close(src, token):
@@ -302,33 +304,42 @@ def top_holders_list(src, token, n=10):
 
 # --- wealth gap --------------------------------------------------------------------------
 
-def _population(src, token):
+def _population(per_address):
     """How many addresses, sinks aside, ever took part."""
-    everyone = flows.exclude_addresses(spines.address_spine(_ledger(src, token)))
+    everyone = flows.exclude_addresses(per_address.select("address").distinct())
     return everyone.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
 def _sender_tops(src, token, measure, value, n, fill):
-    """Top senders per day. Days and addresses without activity add slots, not rows."""
-    per = (_ledger(src, token).groupBy("date", F.col("from_address").alias("address"))
-           .agg(value.alias(measure)))
-    own = not_sink("address")
+    """Top senders per day. Days and addresses without activity add labels, not rows.
+
+    One pass yields a row per day and address: senders with their measure, receivers only
+    to be counted among the population.
+    """
+    legs = flows.signed_flows(
+        _ledger(src, token), "raw", keys=("tx_hash",), pre_aggregate=False, label=True)
+    sent = F.col("transfer_type") == "sell"
+    amount = F.when(sent, F.col("tx_hash") if value == "count" else -F.col("transfer_amount"))
+    total = F.count(amount) if value == "count" else F.sum(amount)
+    per = materialise(legs.groupBy("date", "address").agg(
+        total.alias(measure), F.count(F.when(sent, 1)).alias("_sent")))
+    own = not_sink("address") & (F.col("_sent") > 0)
     days = per.groupBy("date").agg(F.sum(F.when(own, F.col(measure))).alias("_all"),
                                    F.count(F.when(own, F.col(measure))).alias("_filled"))
     days = spines.fill_days(days, src.today, on_day=["_all", "_filled"], absent={"_filled": 0})
-    top = ranking.top_ranks(flows.exclude_addresses(per), measure, n=n)
-    return ranking.label_tops(top, days, _population(src, token), measure, n=n, fill=fill)
+    top = ranking.top_ranks(per.filter(own), measure, n=n)
+    return ranking.label_tops(top, days, _population(per), measure, n=n, fill=fill)
 
 
 def wealth_gap_txs(src, token, n=10):
     """Transfers sent per day by each of the ten busiest senders and by all others."""
-    tops = _sender_tops(src, token, "txs_cnt", F.count("tx_hash"), n, fill=0)
+    tops = _sender_tops(src, token, "txs_cnt", "count", n, fill=0)
     return tops.orderBy("date", "top10")
 
 
 def wealth_gap_volume(src, token, n=10):
     """Volume sent per day by each of the ten largest senders and by all others."""
-    tops = _sender_tops(src, token, "raw_volume", F.sum("raw"), n, fill=None)
+    tops = _sender_tops(src, token, "raw_volume", "sum", n, fill=None)
     return _in_units(tops, src, token, {"raw_volume": "tx_volume_token"},
                      ["date", "top10"]).orderBy("date", "top10")
 
@@ -343,13 +354,14 @@ def wealth_gap_balance(src, token, gaps="carry", n=10):
         grid = flows.exclude_addresses(_raw_balance(src, token, gaps))
         tops = ranking.topn_with_others(grid, "balance", n=n)
     else:
-        net = flows.exclude_addresses(flows.net_flows(_legs(src, token)))
-        spans = balances.balance_spans(net, _start(src, token), src.today)
-        people = _population(src, token)
+        net = _net(src, token)
+        people = _population(net)
+        spans = balances.balance_spans(
+            flows.exclude_addresses(net), spines.first_day(net), src.today)
         # Days on which only sinks moved still belong to the calendar.
-        own = F.when(not_sink("address"), F.col("transfer_amount")).otherwise(0)
-        moves = _legs(src, token).select("date", own.alias("_all"))
-        days = balances.daily_totals(moves, src.today, ["_all"]).withColumn("_filled", people)
+        own = F.when(not_sink("address"), F.col("net_amount")).otherwise(0)
+        days = balances.daily_totals(
+            net.select("date", own.alias("_all")), src.today, ["_all"]).withColumn("_filled", people)
         top = ranking.top_ranks(balances.top_spans(spans, n), "balance", n=n)
         tops = ranking.label_tops(top, days, people, "balance", n=n)
     return _in_units(tops, src, token, {"balance": "balance_token"},
@@ -419,10 +431,14 @@ def dex_pairs_daily(src, token):
 
 def marketcap(src, token, gaps="carry"):
     """Closing price times circulating supply."""
-    supply = (supply_mint_burn(src, token, gaps).filter(F.col("token_ca").isNotNull())
-              .select("date", "total_supply"))
+    supply = supply_mint_burn(src, token, gaps)
+    if gaps == "sparse":
+        # Days on which nothing moved have no supply but still a place in the calendar.
+        supply = supply.groupBy("date").agg(
+            F.max(F.when(F.col("token_ca").isNotNull(), F.col("total_supply"))).alias("total_supply"))
+    close = F.broadcast(_close(src, token).select("date", "close_price"))
     value = zero_if_null("close_price") * zero_if_null("total_supply")
-    return (price_daily(src, token).select("date", "close_price").join(supply, "date", "left")
+    return (supply.join(close, "date", "left")
             .select("date", value.alias("marketcap")).orderBy("date"))
 
 

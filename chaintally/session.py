@@ -16,6 +16,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -40,3 +41,13 @@ def ensure_checkpoint_dir(spark):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="chaintally-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+def materialise(df):
+    """Write an intermediate result once to the shared checkpoint folder and read it from there.
+
+    For results that several branches of a report need: the source is scanned once, and a
+    lost executor costs a re-read of files instead of a recomputation.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

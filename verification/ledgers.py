@@ -26,6 +26,22 @@ def addr(column):
 ACCOUNT = "0x" + "7".rjust(40, "0")
 
 
+# Column types of the driver's files.
+DRIVER_SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+              "props string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+}
+
+
 class Ledgers:
     """Lazily shaped tables over one scale-factor folder."""
 
@@ -33,7 +49,7 @@ class Ledgers:
         self.spark, self.root = spark, root
 
     def read(self, name):
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self.spark.read.schema(DRIVER_SCHEMAS[name]).parquet(f"{self.root}/{name}.parquet")
 
     # --- event ledger --------------------------------------------------------------------
 
