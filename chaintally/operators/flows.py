@@ -129,12 +129,39 @@ def exclude_addresses(df, column="address", addresses=SINK_ADDRESSES):
     return df.filter(not_sink(column, addresses))
 
 
-def restrict_to(df, column, holders, holder_column="address"):
-    """Keep rows whose ``column`` is in the holder set."""
-    wanted = holders.select(F.col(holder_column).alias(column))
+# Addresses are 42 characters, so a set of this size takes well under 100 MB on an executor.
+BROADCAST_ROWS = 500_000
+
+
+def fits_broadcast(df, max_rows=BROADCAST_ROWS):
+    """Count the rows, and stop counting once there are too many."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def restrict_to(df, column, holders, holder_column="address", max_rows=BROADCAST_ROWS):
+    """Keep rows whose ``column`` is in the holder set.
+
+    A counted, small set is broadcast and ``df`` is filtered where it is scanned. A larger
+    one is joined by shuffle, where AQE splits the partitions of very active addresses.
+    """
+    wanted = holders.select(F.col(holder_column).alias(column)).distinct()
+    if fits_broadcast(wanted, max_rows):
+        wanted = F.broadcast(wanted)
     return df.join(wanted, column, "left_semi")
 
 
+def narrow_to(df, column, holders, max_rows=BROADCAST_ROWS):
+    """Drop rows a later join to ``holders`` would drop anyway, when that costs no shuffle.
+
+    With a small set this removes nearly all rows before they are aggregated. With a large
+    one the rows are aggregated first, which folds very active addresses on the map side,
+    and the later join does the restriction. The result of the join is the same.
+    """
+    if not fits_broadcast(holders, max_rows):
+        return df
+    return df.join(F.broadcast(holders.select(F.col("address").alias(column))), column, "left_semi")
+
+
 def orient_trades(trades, token):
     """Trades of ``token`` as buys and sells, with the other side as counter token."""
     bought = F.col("token_bought_address") == token

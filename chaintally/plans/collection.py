@@ -63,11 +63,12 @@ def cohort_token_class(src, collection, token, scale=WEI_DECIMALS, symbol=None):
     """Wealth bands of the collection's holders by how much of ``token`` they own."""
     rows = src.table("erc20_transfers").filter(
         (F.col("contract_address") == token) & (F.col("value") > 0))
-    legs = flows.signed_flows(
+    people = materialise(collection_holders(src, collection))
+    legs = flows.narrow_to(flows.signed_flows(
         rows.select(F.to_date("evt_block_time").alias("date"), F.col("from").alias("from_address"),
-                    F.col("to").alias("to_address"), "value"), "value", pre_aggregate=False)
-    owned = stats.current_balance(collection_holders(src, collection),
-                                  balances.current_totals(legs, out="raw"), "raw", [])
+                    F.col("to").alias("to_address"), "value"), "value", pre_aggregate=False),
+        "address", people)
+    owned = stats.current_balance(people, balances.current_totals(legs, out="raw"), "raw", [])
     valued = owned.withColumn("token_balance", F.round(scaled("balance", scale), 8)).withColumn(
         "token_balance_usd", F.col("token_balance") * _latest_quote(src, token, symbol))
     bands = ranking.percentile_class(
@@ -82,8 +83,8 @@ def cohort_eth_class(src, collection, quote, symbol=None):
 
     ``quote`` is the contract whose price stands for the native coin.
     """
-    owned = stats.current_balance(collection_holders(src, collection), native_totals(src),
-                                  "wei_in", ["wei_out", "wei_gas"], out="wei")
+    people = materialise(collection_holders(src, collection))
+    owned = stats.current_balance(people, native_totals(src, people), "wei_in", ["wei_out", "wei_gas"], out="wei")
     exact = scaled(F.round("wei", 8 - WEI_DECIMALS), WEI_DECIMALS)
     valued = owned.withColumn("eth_balance", exact).withColumn(
         "eth_balance_usd", F.col("eth_balance") * _latest_quote(src, quote, symbol))
@@ -97,17 +98,18 @@ def cohort_eth_class(src, collection, quote, symbol=None):
 def cohort_nft_overlap(src, collection, family=(), drop_unlabelled=False):
     """Other collections owned by the collection's holders.
 
-    Flows are summed per (address, contract) first; each pair is then one row, so the
-    holders of a contract are counted without a distinct.
+    Flows are summed per (address, contract) before the join; each pair is then one row, so
+    the holders of a contract are counted without a distinct.
     """
     own = (collection, *family)
     rows = src.table("erc721_transfers").filter(
         F.col("contract_address").isNotNull() & ~F.col("contract_address").isin(*own))
-    moved = (_item_flows(rows, keys=("contract_address",), label=True)
+    people = materialise(collection_holders(src, collection))
+    legs = _item_flows(rows, keys=("contract_address",), label=True)
+    moved = (flows.narrow_to(legs, "address", people)
              .groupBy("address", "contract_address")
              .agg(F.sum("transfer_amount").alias("items"),
                   F.count(F.when(F.col("transfer_type") == "buy", 1)).alias("received")))
-    people = collection_holders(src, collection)
     count = people.agg(F.count(F.lit(1)).alias("n")).scalar()
     per_contract = (moved.filter(F.col("received") > 0).join(people, "address")
                     .groupBy("contract_address")

@@ -147,49 +147,52 @@ def _supply_raw(src, token):
 def overlap_erc20(src, token, drop_unpriced=False):
     """Other tokens that holders of the token own, with their value.
 
-    Flows are summed per (contract, address) before they meet the holders, so heavy
-    contracts and heavy addresses shrink on the map side.
+    Flows are cut to the holders before the shuffle when those are few, and always summed
+    per (contract, address) before they are joined.
     """
     rows = src.table("erc20_transfers").filter(
         F.col("evt_tx_hash").isNotNull() & F.col("from").isNotNull() & F.col("to").isNotNull())
-    legs = flows.signed_flows(
+    who = materialise(holders(src, token).select("token_ca", "token_symbol", "address"))
+    legs = flows.narrow_to(flows.signed_flows(
         rows.select(F.to_date("evt_block_time").alias("date"), "contract_address",
                     F.col("from").alias("from_address"), F.col("to").alias("to_address"), "value"),
-        "value", keys=("contract_address",), pre_aggregate=False)
+        "value", keys=("contract_address",), pre_aggregate=False), "address", who)
     owned = balances.current_totals(legs, ("contract_address", "address")).filter(F.col("balance") > 0)
-    who = holders(src, token).select("token_ca", "token_symbol", "address")
-    meta = flows.token_info(src.table("tokens_erc20")).select(
+    known = flows.token_info(src.table("tokens_erc20")).select(
         F.col("token_ca").alias("contract_address"), F.col("token_symbol").alias("symbol"), "decimals")
-    last = prices.latest_price(src.table("prices_usd"))
-    priced = (who.join(owned, "address").join(meta, "contract_address")
-              .join(last, "contract_address", "inner" if drop_unpriced else "left"))
-    return (priced.withColumn("balance_token", scaled("balance", "decimals"))
+    # Contracts are joined among themselves first, so holdings meet them in a single join.
+    priced = known.join(prices.latest_price(src.table("prices_usd")), "contract_address",
+                        "inner" if drop_unpriced else "left")
+    return (who.join(owned, "address").join(priced, "contract_address")
+            .withColumn("balance_token", scaled("balance", "decimals"))
             .select("token_ca", "token_symbol", "address", "contract_address", "symbol",
                     "balance_token", (F.col("balance_token") * F.col("last_price")).alias("balance_usd")))
 
 
-def native_totals(src):
-    """Wei received, sent and burnt as gas per address, from one pass over traces and fees."""
+def native_totals(src, who=None):
+    """Wei received, sent and burnt as gas per address, from one pass over traces and fees.
+
+    ``who`` is the set of addresses the totals are needed for, if not all.
+    """
+    none = F.lit(None).cast("decimal(38,0)")
     calls = flows.value_calls(src.table("traces"))
     legs = calls.select(F.inline(F.array(
-        F.struct(F.col("to").alias("address"), F.col("value").alias("wei_in"),
-                 F.lit(None).cast("decimal(38,0)").alias("wei_out"),
-                 F.lit(None).cast("decimal(38,0)").alias("wei_gas")),
-        F.struct(F.col("from").alias("address"), F.lit(None).cast("decimal(38,0)").alias("wei_in"),
-                 F.col("value").alias("wei_out"),
-                 F.lit(None).cast("decimal(38,0)").alias("wei_gas")))))
-    none = F.lit(None).cast("decimal(38,0)")
+        F.struct(F.col("to").alias("address"), F.col("value").alias("wei_in"), none.alias("wei_out")),
+        F.struct(F.col("from").alias("address"), none.alias("wei_in"), F.col("value").alias("wei_out")),
+    ))).withColumn("wei_gas", none)
     fees = flows.gas_cost(src.table("gas_fees")).select(
         F.col("tx_sender").alias("address"), none.alias("wei_in"), none.alias("wei_out"),
         F.col("gas_wei").alias("wei_gas"))
-    return (legs.unionByName(fees).groupBy("address")
-            .agg(*[F.sum(m).alias(m) for m in ("wei_in", "wei_out", "wei_gas")]))
+    events = legs.unionByName(fees)
+    if who is not None:
+        events = flows.narrow_to(events, "address", who)
+    return events.groupBy("address").agg(*[F.sum(m).alias(m) for m in ("wei_in", "wei_out", "wei_gas")])
 
 
 def overlap_eth(src, token):
     """Native coin owned by holders of the token (R8). Only value of calls is counted."""
-    who = holders(src, token).select("token_ca", "token_symbol", "address")
-    owned = stats.current_balance(who, native_totals(src), "wei_in", ["wei_out", "wei_gas"],
+    who = materialise(holders(src, token).select("token_ca", "token_symbol", "address"))
+    owned = stats.current_balance(who, native_totals(src, who), "wei_in", ["wei_out", "wei_gas"],
                                   out="wei", positive=True)
     return owned.select("token_ca", "token_symbol", "address",
                         scaled("wei", WEI_DECIMALS).alias("balance_eth"))
@@ -197,8 +200,8 @@ def overlap_eth(src, token):
 
 def other_coins_eth(src, token):
     """Holders ordered by the native coin they own."""
-    who = holders(src, token).select("address")
-    owned = stats.current_balance(who, native_totals(src), "wei_in", ["wei_out", "wei_gas"], out="wei")
+    who = materialise(holders(src, token).select("address"))
+    owned = stats.current_balance(who, native_totals(src, who), "wei_in", ["wei_out", "wei_gas"], out="wei")
     placed = ranking.cumulative_position(
         owned, [ranking.ascending("wei"), ranking.ascending("address")])
     return placed.select(
@@ -215,13 +218,14 @@ def other_coins_erc20(src, token, other):
     rows = src.table("erc20_transfers").filter(
         (F.col("contract_address") == other) & F.col("evt_tx_hash").isNotNull()
         & F.col("from").isNotNull() & F.col("to").isNotNull())
-    legs = flows.signed_flows(
+    who = materialise(holders(src, token).select("address"))
+    legs = flows.narrow_to(flows.signed_flows(
         rows.select(F.to_date("evt_block_time").alias("date"), F.col("from").alias("from_address"),
-                    F.col("to").alias("to_address"), "value"), "value", pre_aggregate=False)
+                    F.col("to").alias("to_address"), "value"), "value", pre_aggregate=False),
+        "address", who)
     decimals = _token_row(src, other).agg(F.max("decimals").alias("d")).scalar()
     ticks = src.table("prices_usd").filter(F.col("contract_address") == other)
     price = prices.latest_price(ticks, by=()).select("last_price").scalar()
-    who = holders(src, token).select("address")
     owned = who.join(balances.current_totals(legs), "address", "left").withColumn(
         "balance", zero_if_null(scaled("balance", decimals)))
     placed = ranking.cumulative_position(
