@@ -6,6 +6,11 @@ from pyspark.sql import functions as F
 
 from chaintally.constants import GWEI_DECIMALS, SINK_ADDRESSES, VALUELESS_CALL_TYPES, WEI_DECIMALS
 from chaintally.functions.columns import not_sink, scaled, zero_if_null
+from chaintally.session import materialise
+
+# A row of an address set or of token metadata takes some 100 bytes, so this many take well
+# under 100 MB on an executor.
+BROADCAST_ROWS = 500_000
 
 
 def token_info(meta, chain=None):
@@ -19,12 +24,15 @@ def token_info(meta, chain=None):
             .select("token_ca", F.col("info.symbol").alias("token_symbol"), "info.decimals"))
 
 
-def scale_amount(df, meta, raw="value", out="value_token"):
+def scale_amount(df, meta, raw="value", out="value_token", max_rows=BROADCAST_ROWS):
     """Attach metadata and express ``raw`` in token units; unknown tokens get NULL.
 
-    The join is left to AQE: small metadata is broadcast, larger metadata is sort-merged
-    with skewed tokens split. Callers aggregate first where they can.
+    Metadata is counted and broadcast while small, so that a token with a third of all
+    transfers stays spread as it was read. Larger metadata is sort-merged, with AQE
+    splitting the partitions of heavy tokens.
     """
+    if fits_broadcast(meta, max_rows):
+        meta = F.broadcast(meta)
     return (df.join(meta, df["contract_address"] == meta["token_ca"], "left")
             .drop("token_ca").withColumn(out, scaled(raw, "decimals")))
 
@@ -129,13 +137,9 @@ def exclude_addresses(df, column="address", addresses=SINK_ADDRESSES):
     return df.filter(not_sink(column, addresses))
 
 
-# Addresses are 42 characters, so a set of this size takes well under 100 MB on an executor.
-BROADCAST_ROWS = 500_000
-
-
 def fits_broadcast(df, max_rows=BROADCAST_ROWS):
-    """Count the rows, and stop counting once there are too many."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether a frame of short rows is small enough to send to every executor."""
+    return df.count() <= max_rows
 
 
 def restrict_to(df, column, holders, holder_column="address", max_rows=BROADCAST_ROWS):
@@ -144,7 +148,7 @@ def restrict_to(df, column, holders, holder_column="address", max_rows=BROADCAST
     A counted, small set is broadcast and ``df`` is filtered where it is scanned. A larger
     one is joined by shuffle, where AQE splits the partitions of very active addresses.
     """
-    wanted = holders.select(F.col(holder_column).alias(column)).distinct()
+    wanted = materialise(holders.select(F.col(holder_column).alias(column)).distinct())
     if fits_broadcast(wanted, max_rows):
         wanted = F.broadcast(wanted)
     return df.join(wanted, column, "left_semi")
@@ -153,7 +157,8 @@ def restrict_to(df, column, holders, holder_column="address", max_rows=BROADCAST
 def narrow_to(df, column, holders, max_rows=BROADCAST_ROWS):
     """Drop rows a later join to ``holders`` would drop anyway, when that costs no shuffle.
 
-    With a small set this removes nearly all rows before they are aggregated. With a large
+    ``holders`` should be materialised, because it is counted here and joined later. With a
+    small set this removes nearly all rows before they are aggregated. With a large
     one the rows are aggregated first, which folds very active addresses on the map side,
     and the later join does the restriction. The result of the join is the same.
     """

@@ -143,3 +143,24 @@ def test_write_layer_partitions_by_day(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "layer").glob("date=*")) == [
         "date=2024-01-01", "date=2024-01-02"]
     assert day(back, "date", "address", "v") == [(D[1], A, 1), (D[2], B, 2)]
+
+
+@pytest.mark.parametrize("limit", [0, 10])
+def test_join_strategies_agree_on_either_side_of_the_size_check(spark, tiny, limit):
+    rows = tiny.table("erc20_transfers")
+    who = spark.createDataFrame([(A,), (A,)], "address string")
+    kept = flows.restrict_to(rows, "from", who, max_rows=limit)
+    assert day(kept, "evt_tx_hash") == [("t2",), ("t5",)]
+    legs = flows.signed_flows(ledger(tiny), "value", pre_aggregate=False)
+    near = flows.narrow_to(legs, "address", who.distinct(), max_rows=limit)
+    totals = near.groupBy("address").agg(F.sum("transfer_amount").alias("n"))
+    assert day(who.distinct().join(totals, "address"), "address", "n") == [(A, 90)]
+    meta = flows.token_info(tiny.table("tokens_erc20"))
+    assert flows.scale_amount(rows, meta, max_rows=limit).filter("value_token IS NULL").count() == 0
+
+
+def test_layers_answer_sql(spark, tiny):
+    from chaintally.plans.views import register_layers
+    register_layers(tiny, "tok", prefix="tiny_")
+    assert spark.sql("SELECT sum(balance_token) AS s FROM tiny_holders").first().s == 90.0
+    assert spark.sql("SELECT count(*) AS n FROM tiny_transfers").first().n == 5
