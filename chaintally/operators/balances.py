@@ -8,6 +8,8 @@ address on every day pay for the dense frame.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F, Window as W
 
 from chaintally.operators.ranking import top_ranks
@@ -73,29 +75,44 @@ def running_balance(net, start, as_of, keys=("address",), measures=("net_amount"
         F.when(shown, F.col(n)).otherwise(F.lit(before_first)).alias(n) for n in names])
 
 
-def top_spans(spans, n, measure="balance", key="address", block=64):
-    """The days of spans that can reach the ``n`` largest of any day, expanded.
+def top_balances(net, start, as_of, n, key="address", measure="net_amount", out="balance",
+                 block=32, leaders=1000):
+    """The (day, key) rows that can be among the ``n`` largest balances of a day.
 
-    Within a block of days the n-th largest of the keys' lowest balances is a floor that at
-    least n keys stay on or above all the time. A balance below its block's floor is never
-    among the n largest, so only the others are expanded to days. The rows that are ordered
-    number keys times blocks instead of keys times days, and nothing is lost: equal balances
-    are kept, and a block with fewer than n keys has no floor.
+    Within a block of days the n-th largest of some keys' lowest balances is a floor: at
+    least n keys stay on or above it all the time, whichever keys are looked at. A balance
+    below its block's floor is therefore never among the n largest, and only the others are
+    expanded to days. Floors are taken from ``leaders``, the keys that hold or ever received
+    the most, so that the whole ledger is ordered only once. The choice of leaders decides
+    how many rows are expanded, never the result: equal balances are kept, and a block that
+    fewer than n leaders cover has no floor.
     """
-    def number(day):
-        return F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / block).cast("int")
-
-    cut = spans.withColumn("_block", F.explode(F.sequence(number(F.col("lo")), number(F.col("hi")))))
-    lowest = cut.groupBy(key, "_block").agg(F.min(measure).alias("_low"))
+    first = F.lit("1970-01-01").cast("date")
+
+    def by_block(spans):
+        def number(day):
+            return F.floor(F.datediff(day, first) / block).cast("int")
+
+        return spans.withColumn("_block", F.explode(F.sequence(number(F.col("lo")), number(F.col("hi")))))
+
+    reach = net.groupBy(key).agg(
+        F.sum(measure).alias("_now"), F.sum(F.greatest(measure, F.lit(0))).alias("_received"))
+    lead = reduce(lambda x, y: x.union(y), [
+        reach.orderBy(F.col(c).desc_nulls_last(), key).limit(max(leaders, n)).select(key)
+        for c in ("_now", "_received")]).distinct()
+    led = net.join(F.broadcast(lead), key, "left_semi")
+    lowest = (by_block(balance_spans(led, start, as_of, (key,), measure, out))
+              .groupBy(key, "_block").agg(F.min(out).alias("_low")))
     floors = (top_ranks(lowest, "_low", "_block", key, n).groupBy("_block")
               .agg(F.min("_low").alias("_floor"), F.count(F.lit(1)).alias("_keys"))
               .filter(F.col("_keys") == n).select("_block", "_floor"))
     # One row per block of the calendar.
-    near = cut.join(F.broadcast(floors), "_block", "left").filter(
-        F.col("_floor").isNull() | (F.col(measure) >= F.col("_floor")))
-    first = F.date_add(F.lit("1970-01-01").cast("date"), F.col("_block") * block)
-    day = F.explode(F.sequence(F.greatest("lo", first), F.least("hi", F.date_add(first, block - 1))))
-    return near.select(day.alias("date"), key, measure)
+    near = by_block(balance_spans(net, start, as_of, (key,), measure, out)).join(
+        F.broadcast(floors), "_block", "left").filter(
+        F.col("_floor").isNull() | (F.col(out) >= F.col("_floor")))
+    opens = F.date_add(first, F.col("_block") * block)
+    day = F.explode(F.sequence(F.greatest("lo", opens), F.least("hi", F.date_add(opens, block - 1))))
+    return near.select(day.alias("date"), key, out)
 
 
 def daily_totals(changes, as_of, measures, null_if_never=()):

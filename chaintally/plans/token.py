@@ -360,13 +360,13 @@ def wealth_gap_balance(src, token, gaps="carry", n=10):
     else:
         net = _net(src, token)
         people = _population(net)
-        spans = balances.balance_spans(
-            flows.exclude_addresses(net), spines.first_day(net), src.today)
+        near = balances.top_balances(
+            flows.exclude_addresses(net), spines.first_day(net), src.today, n)
         # Days on which only sinks moved still belong to the calendar.
         own = F.when(not_sink("address"), F.col("net_amount")).otherwise(0)
         days = balances.daily_totals(
             net.select("date", own.alias("_all")), src.today, ["_all"]).withColumn("_filled", people)
-        top = ranking.top_ranks(balances.top_spans(spans, n), "balance", n=n)
+        top = ranking.top_ranks(near, "balance", n=n)
         tops = ranking.label_tops(top, days, people, "balance", n=n)
     return _in_units(tops, src, token, {"balance": "balance_token"},
                      ["date", "top10"]).orderBy("date", "top10")

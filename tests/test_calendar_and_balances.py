@@ -60,20 +60,19 @@ def test_spans_cover_the_calendar_once(tiny):
     assert day(days, "address", "date", "balance") == day(dense, "address", "date", "balance")
 
 
-def test_top_spans_lose_nothing(spark):
-    """Brute force: for every block size the top rows equal those of the dense frame."""
+def test_top_balances_lose_nothing(spark):
+    """Brute force: for every block size and set of leaders the top equals that of the dense frame."""
     rows = [(at(D[1 + (7 * i) % 29]), f"h{i}", f"a{(i * 5) % 13}", f"a{(i * 7 + 3) % 13}", "tok", 10 + (i * i) % 40)
             for i in range(120)]
     net = net_of(sources(spark, rows, as_of=D[31]))
     start, end = spines.first_day(net), today(D[31])
     dense = ranking.top_ranks(balances.running_balance(net, start, end), "balance", n=3)
     want = day(dense, "date", "rank", "address", "balance")
-    for block in (1, 4, 64):
-        spans = balances.balance_spans(net, start, end)
-        got = ranking.top_ranks(balances.top_spans(spans, 3, block=block), "balance", n=3)
+    for block, leaders in ((1, 100), (4, 3), (64, 1)):
+        near = balances.top_balances(net, start, end, 3, block=block, leaders=leaders)
+        got = ranking.top_ranks(near, "balance", n=3)
         assert day(got, "date", "rank", "address", "balance") == want
-    few = balances.top_spans(balances.balance_spans(net, start, end), 50)
-    assert few.count() == 13 * 31
+    assert balances.top_balances(net, start, end, 50).count() == 13 * 31
 
 
 def test_daily_totals_null_if_never(spark):
