@@ -26,19 +26,23 @@ def normalise(df, name):
     return df
 
 
-def read_table(spark, root, name, normalised=True):
+def read_table(spark, root, name, normalised=True, amounts="exact"):
     """Scan one source table with its declared columns.
 
-    Amounts may be stored as text because they can be 256 bits wide; they are cast to
-    ``decimal(38,0)`` here, and a wider value raises instead of being lost.
+    Amounts may be stored as text because they can be 256 bits wide. ``exact`` casts them to
+    ``decimal(38,0)``, and a wider value raises instead of being lost. ``double`` takes any
+    width to 15 digits, for reports over all tokens of a chain.
     """
+    wide = T.DoubleType() if amounts == "double" else schemas.RAW
     df = schemas.require_columns(spark.read.parquet(f"{root}/{name}"), schemas.SOURCES[name], name)
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    df = df.select(*[
-        F.col(f.name).cast(f.dataType).alias(f.name)
-        if isinstance(f.dataType, (T.DecimalType, T.ArrayType)) and kinds[f.name] != f.dataType
-        else F.col(f.name)
-        for f in schemas.SOURCES[name].fields])
+
+    def stored(f):
+        want = {"value": wide, "values": T.ArrayType(wide)}.get(f.name, f.dataType)
+        cast = isinstance(f.dataType, (T.DecimalType, T.ArrayType)) and kinds[f.name] != want
+        return F.col(f.name).cast(want).alias(f.name) if cast else F.col(f.name)
+
+    df = df.select(*[stored(f) for f in schemas.SOURCES[name].fields])
     return df if normalised else normalise(df, name)
 
 
@@ -56,9 +60,9 @@ class Sources:
     _seen: dict = field(default_factory=dict, repr=False)
 
     @classmethod
-    def from_parquet(cls, spark, root, as_of, chain="ethereum", normalised=True):
+    def from_parquet(cls, spark, root, as_of, chain="ethereum", normalised=True, amounts="exact"):
         def opener(name):
-            return lambda: read_table(spark, root, name, normalised)
+            return lambda: read_table(spark, root, name, normalised, amounts)
 
         return cls({name: opener(name) for name in schemas.SOURCES}, as_of, chain)
 

@@ -164,3 +164,23 @@ def test_layers_answer_sql(spark, tiny):
     register_layers(tiny, "tok", prefix="tiny_")
     assert spark.sql("SELECT sum(balance_token) AS s FROM tiny_holders").first().s == 90.0
     assert spark.sql("SELECT count(*) AS n FROM tiny_transfers").first().n == 5
+
+
+def test_amounts_wider_than_decimal_raise_or_become_doubles(spark, tmp_path):
+    from chaintally.plans import token
+    huge = str(2 ** 255)
+    rows = [(at(D[1]), "h1", A, B, "tok", "70"), (at(D[1]), "h2", A, B, "oth", huge)]
+    spark.createDataFrame(rows, TRANSFER.replace("value raw", "value string")).write.parquet(
+        str(tmp_path / "erc20_transfers"))
+    for name, df in (("tokens_erc20", sources(spark, []).tables["tokens_erc20"]),
+                     ("prices_usd", sources(spark, []).tables["prices_usd"])):
+        df.write.parquet(str(tmp_path / name))
+    exact = Sources.from_parquet(spark, str(tmp_path), D[6])
+    assert day(token.holders(exact, "tok"), "address", "balance_token") == [(B, 70.0)]
+    with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE|CAST_INVALID|CAST_OVERFLOW|cannot be"):
+        token.overlap_erc20(exact, "tok").collect()
+    wide = Sources.from_parquet(spark, str(tmp_path), D[6], amounts="double")
+    assert day(token.overlap_erc20(wide, "tok"), "contract_address", "balance_token") == [
+        ("oth", float(2 ** 255) / 10), ("tok", 70.0)]
+    assert token.wealth_gap_balance(wide, "tok").count() == 6 * 2
+    assert token.balance(wide, "tok").count() == 2 * 6
