@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
+_PROCESS = uuid.uuid4().hex[:12]
+_local: list[str] = []
+
 # AQE picks partition counts, splits skewed shuffle partitions and switches to broadcast
 # joins by measured size; the library adds no join hints of its own except for inputs with
 # a proven bound (one metadata row, one row per calendar day, one row per partition).
@@ -29,25 +35,40 @@ def build_session(app="chaintally", master=None, **conf):
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark):
-    """Use the cluster's ``spark.checkpoint.dir``; make a local folder only in local mode."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="chaintally-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+def shared_folder(spark):
+    """The folder below ``spark.checkpoint.dir`` that holds this process's intermediate tables.
+
+    On a cluster the setting must name storage that all executors share. Only in local mode,
+    with nothing set, a temporary folder of this machine is used.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="chaintally-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+        shared = _local[0]
+    return f"{shared.rstrip('/')}/chaintally-{_PROCESS}"
 
 
-def materialise(df):
-    """Write an intermediate result once to the shared checkpoint folder and read it from there.
+def stored(df, name="table", partition_by=()):
+    """Write an intermediate result once as Parquet in the shared folder and read it from there.
 
-    For results that several branches of a report need: the source is scanned once, and a
-    lost executor costs a re-read of files instead of a recomputation.
+    For results that several branches of a report need: the source is scanned once, columns
+    and row groups can be skipped, and a lost executor costs a re-read of files instead of a
+    recomputation.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+materialise = stored
+
+
+def drop_stored(spark):
+    """Remove every intermediate table of this process; frames that read them end here."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
