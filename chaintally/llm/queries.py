@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from chaintally.llm import contamination
+from chaintally.llm import contamination, secret_ledger
 from chaintally.llm.common import read
 
 
+def op3_secrets(spark, root):
+    return secret_ledger.digest(read(spark, root, "documents"))
+
+
 def op10_decontamination(spark, root):
     return contamination.digest(read(spark, root, "documents"), read(spark, root, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op10_decontamination,
+    op3_secrets, op10_decontamination,
 )}
 
 ORACLE_SQL = {
