@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chaintally.llm import contamination, secret_ledger
+from chaintally.llm import contamination, pieces, secret_ledger
 from chaintally.llm.common import read
 
 
@@ -10,12 +10,22 @@ def op3_secrets(spark, root):
     return secret_ledger.digest(read(spark, root, "documents"))
 
 
+def op4_sentencepiece(spark, root):
+    return pieces.digest(read(spark, root, "documents"), vocabulary_path())
+
+
 def op10_decontamination(spark, root):
     return contamination.digest(read(spark, root, "documents"), read(spark, root, "benchmark"))
 
 
+def vocabulary_path(name="piece_bpe_32k.model"):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES = {f.__name__: f for f in (
-    op3_secrets, op10_decontamination,
+    op3_secrets, op4_sentencepiece, op10_decontamination,
 )}
 
 ORACLE_SQL = {
