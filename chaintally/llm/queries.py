@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chaintally.llm import contamination, pieces, secret_ledger
+from chaintally.llm import contamination, pieces, rule_ledger, secret_ledger
 from chaintally.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op4_sentencepiece(spark, root):
     return pieces.digest(read(spark, root, "documents"), vocabulary_path())
 
 
+def op7_quality_rules(spark, root):
+    return rule_ledger.digest(read(spark, root, "documents"))
+
+
 def op10_decontamination(spark, root):
     return contamination.digest(read(spark, root, "documents"), read(spark, root, "benchmark"))
 
@@ -25,9 +29,10 @@ def vocabulary_path(name="piece_bpe_32k.model"):
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_secrets, op4_sentencepiece, op10_decontamination,
+    op3_secrets, op4_sentencepiece, op7_quality_rules, op10_decontamination,
 )}
 
 ORACLE_SQL = {
+    "op7_quality_rules": rule_ledger.SQL,
     "op10_decontamination": contamination.SQL,
 }
