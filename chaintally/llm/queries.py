@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from chaintally.llm import contamination, pieces, rule_ledger, secret_ledger
+from chaintally.llm import contamination, crf_quality, pieces, rule_ledger, secret_ledger
 from chaintally.llm.common import read
 
 
+def op1_quality(spark, root):
+    return crf_quality.digest(read(spark, root, "documents"), read(spark, root, "labels"))
+
+
 def op3_secrets(spark, root):
     return secret_ledger.digest(read(spark, root, "documents"))
 
@@ -29,7 +33,7 @@ def vocabulary_path(name="piece_bpe_32k.model"):
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_secrets, op4_sentencepiece, op7_quality_rules, op10_decontamination,
+    op1_quality, op3_secrets, op4_sentencepiece, op7_quality_rules, op10_decontamination,
 )}
 
 ORACLE_SQL = {
