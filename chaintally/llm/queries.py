@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chaintally.llm import contamination, crf_quality, pieces, rule_ledger, secret_ledger
+from chaintally.llm import contamination, crf_quality, language_id, pieces, rule_ledger, secret_ledger
 from chaintally.llm.common import read
 
 
@@ -22,6 +22,10 @@ def op7_quality_rules(spark, root):
     return rule_ledger.digest(read(spark, root, "documents"))
 
 
+def op9_language(spark, root):
+    return language_id.digest(read(spark, root, "documents"), vocabulary_path())
+
+
 def op10_decontamination(spark, root):
     return contamination.digest(read(spark, root, "documents"), read(spark, root, "benchmark"))
 
@@ -33,7 +37,7 @@ def vocabulary_path(name="piece_bpe_32k.model"):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op3_secrets, op4_sentencepiece, op7_quality_rules, op10_decontamination,
+    op1_quality, op3_secrets, op4_sentencepiece, op7_quality_rules, op9_language, op10_decontamination,
 )}
 
 ORACLE_SQL = {
