@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chaintally.llm import contamination, crf_quality, language_id, pieces, rule_ledger, secret_ledger
+from chaintally.llm import contamination, crf_quality, language_id, pieces, rule_ledger, secret_ledger, simhash
 from chaintally.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op4_sentencepiece(spark, root):
     return pieces.digest(read(spark, root, "documents"), vocabulary_path())
 
 
+def op5_simhash(spark, root):
+    return simhash.digest(read(spark, root, "documents"))
+
+
 def op7_quality_rules(spark, root):
     return rule_ledger.digest(read(spark, root, "documents"))
 
@@ -37,7 +41,7 @@ def vocabulary_path(name="piece_bpe_32k.model"):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op3_secrets, op4_sentencepiece, op7_quality_rules, op9_language, op10_decontamination,
+    op1_quality, op3_secrets, op4_sentencepiece, op5_simhash, op7_quality_rules, op9_language, op10_decontamination,
 )}
 
 ORACLE_SQL = {
