@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chaintally.llm import contamination, crf_quality, language_id, pieces, rule_ledger, secret_ledger, simhash
+from chaintally.llm import contamination, crf_quality, fixity, language_id, pieces, rule_ledger, secret_ledger, simhash
 from chaintally.llm.common import read
 
 
@@ -10,6 +10,10 @@ def op1_quality(spark, root):
     return crf_quality.digest(read(spark, root, "documents"), read(spark, root, "labels"))
 
 
+def op2_fixity(spark, root):
+    return fixity.digest(read(spark, root, "pages"))
+
+
 def op3_secrets(spark, root):
     return secret_ledger.digest(read(spark, root, "documents"))
 
@@ -41,10 +45,11 @@ def vocabulary_path(name="piece_bpe_32k.model"):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op3_secrets, op4_sentencepiece, op5_simhash, op7_quality_rules, op9_language, op10_decontamination,
+    op1_quality, op2_fixity, op3_secrets, op4_sentencepiece, op5_simhash, op7_quality_rules, op9_language, op10_decontamination,
 )}
 
 ORACLE_SQL = {
+    "op2_fixity": fixity.SQL,
     "op7_quality_rules": rule_ledger.SQL,
     "op10_decontamination": contamination.SQL,
 }
