@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chaintally.llm import contamination, crf_quality, fixity, language_id, pieces, rule_ledger, secret_ledger, simhash
+from chaintally.llm import contamination, crf_quality, fixity, language_id, pieces, quote_threads, rule_ledger, secret_ledger, simhash
 from chaintally.llm.common import read
 
 
@@ -26,6 +26,10 @@ def op5_simhash(spark, root):
     return simhash.digest(read(spark, root, "documents"))
 
 
+def op6_conversations(spark, root):
+    return quote_threads.digest(read(spark, root, "conversations"))
+
+
 def op7_quality_rules(spark, root):
     return rule_ledger.digest(read(spark, root, "documents"))
 
@@ -45,11 +49,12 @@ def vocabulary_path(name="piece_bpe_32k.model"):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_fixity, op3_secrets, op4_sentencepiece, op5_simhash, op7_quality_rules, op9_language, op10_decontamination,
+    op1_quality, op2_fixity, op3_secrets, op4_sentencepiece, op5_simhash, op6_conversations, op7_quality_rules, op9_language, op10_decontamination,
 )}
 
 ORACLE_SQL = {
     "op2_fixity": fixity.SQL,
+    "op6_conversations": quote_threads.SQL,
     "op7_quality_rules": rule_ledger.SQL,
     "op10_decontamination": contamination.SQL,
 }
