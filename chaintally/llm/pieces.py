@@ -206,7 +206,7 @@ class Encoder:
         self.vocabulary, self.known, self.size = vocabulary, {}, 0
 
     def _learn(self, words):
-        """known[word] = (ids, as decimal text, number, decoded bytes)."""
+        """known[word] = (ids as decimal text, their number, decoded bytes, ids)."""
         v = self.vocabulary
         plain = [w[max(0, len(w) - len(w.lstrip(SPACE)) - 1):] for w in words]
         symbols, starts = v.merge(plain)
@@ -221,7 +221,7 @@ class Encoder:
                 if of[:1] == [one]:
                     ids, spare = ids[len(v.ids(one)):], spare + 1
                 ids = v.spaces(spare) + ids
-            self.known[w] = (b",".join([v.id_text[i] for i in ids]), len(ids), b"".join([v.id_bytes[i] for i in ids]))
+            self.known[w] = (b",".join([v.id_text[i] for i in ids]), len(ids), b"".join([v.id_bytes[i] for i in ids]), ids)
         self.size += sum(map(len, words))
 
     def words(self, text):
@@ -231,7 +231,7 @@ class Encoder:
         return [w.replace(" ", SPACE) for w in WORDS.findall(" " + text.replace(SPACE, " "))]
 
     def encode(self, texts):
-        """For each text (decimal ids joined by commas, number of ids, decoded bytes)."""
+        """For each text its encoded words."""
         if self.size > KEPT:
             self.known, self.size = {}, 0
         split = [self.words(t) for t in texts]
@@ -246,10 +246,13 @@ class Encoder:
                 new, size = {}, 0
         self._learn(list(new))
         known = self.known
-        for ws in split:
-            of = [known[w] for w in ws]
-            decoded = b"".join([x[2] for x in of])
-            yield b",".join([x[0] for x in of]), sum([x[1] for x in of]), decoded[1:] if decoded[:1] == b" " else decoded
+        return [[known[w] for w in ws] for ws in split]
+
+
+def joined(words):
+    """(decimal ids joined by commas, number of ids, decoded bytes) of one encoded text."""
+    decoded = b"".join([x[2] for x in words])
+    return b",".join([x[0] for x in words]), sum([x[1] for x in words]), decoded[1:] if decoded[:1] == b" " else decoded
 
 
 def decode(vocabulary, ids):
@@ -258,41 +261,62 @@ def decode(vocabulary, ids):
     return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-def _batched(vocabulary, finish, ddl, schema):
-    sent = vocabulary
+def _batched(sent, finish, ddl):
+    """An Arrow function over texts; ``finish`` turns a list of encoded texts into one array."""
 
     def run(batches):
         encoder = Encoder(sent.value)
         for batch in batches:
             texts = batch.to_pylist()
-            rows, i = [], 0
+            parts, i = [finish([])], 0
             while i < len(texts):  # so many texts at once that their words fit
                 j, size = i, 0
                 while j < len(texts) and size < TOGETHER:
                     size += len(texts[j] or "")
                     j += 1
-                rows += [finish(*x) for x in encoder.encode([t or "" for t in texts[i:j]])]
+                parts.append(finish(encoder.encode([t or "" for t in texts[i:j]])))
                 i = j
-            columns = list(zip(*rows)) if rows else [()] * len(schema)
-            yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], fields=list(schema))
+            yield pa.concat_arrays(parts)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, ddl)
 
 
+def _lists(texts):
+    flat = [i for words in texts for x in words for i in x[3]]
+    starts = np.concatenate([[0], np.cumsum([sum([x[1] for x in words]) for words in texts], dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.array(flat, np.int32)))
+
+
+def _digests(texts):
+    rows = [joined(words) for words in texts]
+    return pa.StructArray.from_arrays([
+        pa.array([n for _, n, _ in rows], pa.int64()),
+        pa.array([hashlib.sha256(ids).hexdigest() for ids, _, _ in rows], pa.string()),
+        pa.array([hashlib.sha256(data).hexdigest() for _, _, data in rows], pa.string())],
+        names=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def encode(docs, path):
-    """``docs`` with ``ids`` (array of int) and ``decoded`` (the text that the ids give back)."""
+    """``docs`` with ``ids``, the piece numbers of each whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
-    make = _batched(sent, lambda ids, n, data: (np.array(ids.split(b",") if ids else [], np.int32), data),
-                    "ids array<int>, decoded binary", pa.schema([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())]))
-    return docs.withColumn("__encoded", make("text")).withColumns({
-        "ids": F.col("__encoded.ids"), "decoded": F.col("__encoded.decoded").cast("string")}).drop("__encoded")
+    return docs.withColumn("ids", _batched(sent, _lists, "array<int>")("text"))
+
+
+def decode_ids(frame, path):
+    """``frame`` with ``decoded``, the text of its column ``ids``."""
+    sent = frame.sparkSession.sparkContext.broadcast(Vocabulary(path))
+
+    def make():
+        vocabulary = sent.value
+        return lambda ids: (decode(vocabulary, ids or ()),)
+
+    text = common.struct_udf(make, "decoded string", pa.schema([("decoded", pa.string())]))
+    return frame.withColumn("decoded", text("ids")["decoded"])
 
 
 def digest(docs, path):
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
-    make = _batched(sent, lambda ids, n, data: (n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(data).hexdigest()),
-                    "n_tokens bigint, ids_sha256 string, decoded_sha256 string",
-                    pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
+    make = _batched(sent, _digests, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     return docs.select("doc_id", make("text").alias("e")).select("doc_id", "e.*")
