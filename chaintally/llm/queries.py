@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chaintally.llm import contamination, crf_quality, fixity, language_id, pieces, quote_threads, rule_ledger, secret_ledger, simhash
+from chaintally.llm import contamination, crf_quality, fixity, language_id, pieces, quote_threads, rule_ledger, secret_ledger, simhash, suffix_dedup
 from chaintally.llm.common import read
 
 
@@ -34,6 +34,10 @@ def op7_quality_rules(spark, root):
     return rule_ledger.digest(read(spark, root, "documents"))
 
 
+def op8_suffix_arrays(spark, root):
+    return suffix_dedup.digest(read(spark, root, "documents"))
+
+
 def op9_language(spark, root):
     return language_id.digest(read(spark, root, "documents"), vocabulary_path())
 
@@ -49,7 +53,7 @@ def vocabulary_path(name="piece_bpe_32k.model"):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_fixity, op3_secrets, op4_sentencepiece, op5_simhash, op6_conversations, op7_quality_rules, op9_language, op10_decontamination,
+    op1_quality, op2_fixity, op3_secrets, op4_sentencepiece, op5_simhash, op6_conversations, op7_quality_rules, op8_suffix_arrays, op9_language, op10_decontamination,
 )}
 
 ORACLE_SQL = {
