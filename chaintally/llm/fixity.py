@@ -45,10 +45,9 @@ def records(pages, record=None):
         F.coalesce(F.floor(F.col("page_id") / PAGES), F.lit(-1)).alias("file"), "page_id",
         F.octet_length(record).cast("bigint").alias("length"), F.sha2(record.cast("binary"), 256).alias("digest"))
     order = ("page_id", "digest")
-    return hashed.withColumns({
-        "copy": F.row_number().over(Window.partitionBy("file", "page_id").orderBy("digest")),
-        "offset": F.coalesce(F.sum("length").over(Window.partitionBy("file").orderBy(*order).rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0))})
+    return hashed.withColumn("offset", F.coalesce(F.sum("length").over(
+        Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ).withColumn("copy", F.row_number().over(Window.partitionBy("file", "page_id").orderBy("offset")))
 
 
 def _folded(nodes, bits):
@@ -149,8 +148,8 @@ t AS (SELECT replica, file, page_id, 'WARC/1.' || v || chr(13) || chr(10) || 'WA
       || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(size AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
       || body || chr(13) || chr(10) || chr(13) || chr(10) AS t FROM r),
 h AS (SELECT replica, file, page_id, CAST(strlen(t) AS BIGINT) AS length, sha256(t) AS digest FROM t),
-o AS (SELECT *, CAST(row_number() OVER (PARTITION BY replica, file, page_id ORDER BY digest) AS INTEGER) AS copy,
-      CAST(coalesce(sum(length) OVER (PARTITION BY replica, file ORDER BY page_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM h)
+p2 AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY replica, file ORDER BY page_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM h),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY replica, file, page_id ORDER BY "offset") AS INTEGER) AS copy FROM p2)
 SELECT coalesce(a.file, b.file) AS file, coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.copy, b.copy) AS copy,
        CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' WHEN a.digest <> b.digest THEN 'altered' ELSE 'moved' END AS status,
        coalesce(a."offset", -1) AS offset_one, coalesce(b."offset", -1) AS offset_two, coalesce(a.length, -1) AS length_one,
