@@ -27,6 +27,7 @@ from pyspark.sql import Window, functions as F
 
 from chaintally.llm import common
 from chaintally.llm.pieces import PairTable
+from chaintally.session import stored
 
 common.travels(__name__)
 
@@ -213,6 +214,7 @@ def train(docs, pieces, most_docs=MOST_DOCS, most_chars=MOST_CHARS):
                         & F.col("text").isNotNull() & (F.length("text") <= most_chars))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = first.select("doc_id", "lang").withColumn("__place", place).filter(F.col("__place") <= most_docs).select("doc_id", "lang").distinct()
+    chosen = stored(chosen, "training-documents")  # its size is known when the texts are joined
     sent = spark.sparkContext.broadcast(pieces)
 
     def learn(key, table):
