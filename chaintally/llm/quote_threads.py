@@ -69,16 +69,19 @@ def replies(messages):
 
 def threads(links, most_rounds=64):
     """conv_id, turn, thread, depth of all linked messages; every round doubles the steps made."""
-    now = stored(links.filter("reply_to IS NOT NULL").select("conv_id", "turn", F.col("reply_to").alias("up"), F.lit(1).cast("bigint").alias("steps")), "steps")
+    columns = ("conv_id", "turn", "up", "steps")
+    first = stored(links.filter("reply_to IS NOT NULL").select(
+        "conv_id", "turn", F.col("reply_to").alias("up"), F.lit(1).cast("bigint").alias("steps"), F.lit(True).alias("open")), "steps")
+    done, open_ = first.filter("NOT open"), first
     for _ in range(most_rounds):
-        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("higher"), F.col("steps").alias("more"))
-        moved = now.join(above, ["conv_id", "up"], "left").select(
+        above = done.unionByName(open_).select("conv_id", F.col("turn").alias("up"), F.col("up").alias("higher"), F.col("steps").alias("more"))
+        moved = stored(open_.select(*columns).join(above, ["conv_id", "up"], "left").select(
             "conv_id", "turn", F.coalesce("higher", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
-            F.col("higher").isNotNull().alias("open"))
-        moved = stored(moved, "steps")
-        now = moved.drop("open")
-        if not moved.filter("open").limit(1).count():
-            return now.select("conv_id", "turn", F.col("up").alias("thread"), F.col("steps").alias("depth"))
+            F.col("higher").isNotNull().alias("open")), "steps")
+        # messages that have come to their thread's start take no part in later rounds
+        done, open_ = done.unionByName(moved.filter("NOT open")), moved.filter("open")
+        if not open_.limit(1).count():
+            return done.select("conv_id", "turn", F.col("up").alias("thread"), F.col("steps").alias("depth"))
     raise RuntimeError("reply links are deeper than 2 to the number of rounds")
 
 
