@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import zip_longest
+
 from pyspark.sql import functions as F
 
 from chaintally.constants import GWEI_DECIMALS, SINK_ADDRESSES, VALUELESS_CALL_TYPES, WEI_DECIMALS
+from chaintally.functions import wide
 from chaintally.functions.columns import not_sink, scaled, zero_if_null
 from chaintally.session import materialise
 
@@ -31,6 +34,7 @@ def scale_amount(df, meta, raw="value", out="value_token", max_rows=BROADCAST_RO
     transfers stays spread as it was read. Larger metadata is sort-merged, with AQE
     splitting the partitions of heavy tokens.
     """
+    meta = materialise(meta)
     if fits_broadcast(meta, max_rows):
         meta = F.broadcast(meta)
     return (df.join(meta, df["contract_address"] == meta["token_ca"], "left")
@@ -69,6 +73,7 @@ def explode_batch(df, ids="ids", values="values", pairing="zip"):
 def value_calls(traces, require_positive=True):
     """Successful calls that can move the native coin (T5)."""
     kind = F.col("call_type")
+    traces = traces.withColumn("value", F.col("value").cast("decimal(38,0)"))  # coin amounts fit
     calls = traces.filter(
         (F.col("type") == "call")
         & (kind.isNull() | ~kind.isin(*VALUELESS_CALL_TYPES))
@@ -102,6 +107,15 @@ def signed_flows(transfers, amount, keys=(), pre_aggregate=True, label=False,
     return flows if label else flows.drop("transfer_type")
 
 
+def signed_limbs(transfers, amount, keys=(), from_col="from_address", to_col="to_address"):
+    """``signed_flows`` for amounts of any width: one column per limb."""
+    parts = wide.limbs(amount)
+    legs = F.array(*[F.struct(F.col(c).alias("address"), *[(sign * x).alias(n) for n, x in parts.items()])
+                     for c, sign in ((to_col, F.lit(1)), (from_col, F.lit(-1)))])
+    return transfers.select("date", *keys, F.inline(legs)).withColumns(
+        {n: F.col(n).cast("decimal(38,0)") for n in wide.LIMBS})
+
+
 def net_flows(flows, keys=("date", "address"), amount="transfer_amount", out="net_amount"):
     """Sum of the signed flows per key.
 
@@ -115,7 +129,8 @@ def in_out_by_date(transfers, measures, keys=(), out_only=()):
     """Daily incoming and outgoing sums of one account, and their difference.
 
     ``measures`` are split by direction into ``<m>_in`` and ``<m>_out``; ``out_only``
-    columns, such as gas, are charged only on outgoing rows.
+    columns, such as gas, are charged only on outgoing rows, each once: the n-th one to the
+    n-th measure.
     """
     incoming, outgoing = F.col("transfer_type") == "to", F.col("transfer_type") == "from"
     aggs = []
@@ -124,9 +139,9 @@ def in_out_by_date(transfers, measures, keys=(), out_only=()):
                  F.sum(F.when(outgoing, F.col(m))).alias(f"{m}_out")]
     aggs += [F.sum(F.when(outgoing, F.col(m))).alias(m) for m in out_only]
     daily = transfers.groupBy("date", *keys).agg(*aggs)
-    for m in measures:
+    for m, fee in zip_longest(measures, out_only):
         net = zero_if_null(f"{m}_in") - zero_if_null(f"{m}_out")
-        for fee in out_only:
+        if fee is not None:
             net = net - zero_if_null(fee)
         daily = daily.withColumn(f"{m}_net", net)
     return daily

@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F, Window as W
 
 from chaintally.functions.columns import as_col
+from chaintally.operators.flows import fits_broadcast
+from chaintally.session import materialise
+
+
+def _tick():
+    """Order of ticks: by time, and of two in one minute the higher price counts."""
+    return F.struct("minute", "price")
 
 
 def daily_close(prices, by=("contract_address",), labels=()):
@@ -15,9 +22,9 @@ def daily_close(prices, by=("contract_address",), labels=()):
     """
     day = F.to_date("minute").alias("date")
     if not labels:
-        return prices.groupBy(*by, day).agg(F.max_by("price", "minute").alias("close_price"))
+        return prices.groupBy(*by, day).agg(F.max_by("price", _tick()).alias("close_price"))
     folded = prices.groupBy(*by, *labels, day).agg(
-        F.max_by("price", "minute").alias("close_price"), F.max("minute").alias("_at"))
+        F.max_by("price", _tick()).alias("close_price"), F.max(_tick()).alias("_at"))
     return folded.groupBy(*by, "date").agg(*[
         F.max_by(c, "_at").alias(c) for c in ("close_price", *labels)])
 
@@ -26,15 +33,19 @@ def latest_price(prices, by=("contract_address",), out="last_price", ignore_null
     """Most recent price per contract, or over all ticks when ``by`` is empty."""
     if ignore_nulls:
         prices = prices.filter(F.col("price").isNotNull())
-    return prices.groupBy(*by).agg(F.max_by("price", "minute").alias(out))
+    return prices.groupBy(*by).agg(F.max_by("price", _tick()).alias(out))
 
 
 def attach_usd(df, price, on=("date",), amount="balance_token", out="balance_usd",
                price_column="close_price", drop_unpriced=False):
     """Value an amount at the price of its day.
 
-    Rows without a price stay with a NULL value unless ``drop_unpriced``.
+    Rows without a price stay with a NULL value unless ``drop_unpriced``. Prices are counted
+    and broadcast while few, so that a day of a leading contract is not shuffled into one task.
     """
+    price = materialise(price)
+    if fits_broadcast(price):
+        price = F.broadcast(price)
     return (df.join(price, list(on), "inner" if drop_unpriced else "left")
             .withColumn(out, F.col(amount) * F.col(price_column)).drop(price_column))
 

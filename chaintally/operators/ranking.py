@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, Window as W
 
 from chaintally.functions.columns import as_col, ratio
+from chaintally.operators.flows import fits_broadcast
 from chaintally.session import materialise
 
 
@@ -78,15 +79,17 @@ def share_of_total(df, measure, part=None, out="share"):
         total = df.agg(F.sum(measure).alias("t")).scalar()
         return df.withColumn(out, ratio(F.col(measure), total))
     totals = df.groupBy(part).agg(F.sum(measure).alias("_total"))
+    totals = materialise(totals)
+    if fits_broadcast(totals):
+        totals = F.broadcast(totals)
     return (df.join(totals, part, "left").withColumn(out, ratio(measure, "_total")).drop("_total"))
 
 
 def hhi(balance, measure="balance", part="date", out="hhi"):
     """Sum of squared shares per day (T24), as sum(b * b) / sum(b) ** 2 in one aggregate."""
     b = F.col(measure).cast("decimal(38,0)")
-    sums = balance.groupBy(part).agg(
-        F.sum(b).alias("_s"), F.sum(F.col(measure).cast("decimal(19,0)")
-                                    * F.col(measure).cast("decimal(19,0)")).alias("_q"))
+    square = F.col(measure).cast("double") * F.col(measure).cast("double")  # of any width
+    sums = balance.groupBy(part).agg(F.sum(b).alias("_s"), F.sum(square).alias("_q"))
     return sums.select(part, hhi_ratio(F.col("_s"), F.col("_q")).alias(out))
 
 

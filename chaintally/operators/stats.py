@@ -28,6 +28,10 @@ def avg_purchase_price(flows, close, decimals):
                     .alias("avg_purchase_price_usd")))
 
 
+#: Sizes to a piece of the holdings distribution.
+PIECE = 100_000
+
+
 def segment_counts(wide, rules, part="date", key="address"):
     """Addresses per ``part`` that meet each rule (T33); ``rules`` maps a name to a condition."""
     return wide.groupBy(part).agg(*[
@@ -39,7 +43,8 @@ def holdings_distribution(balances, measure="nfts_cnt", key="address", include_n
 
     Rows are folded to one per holding size before anything is ordered. With N items in all
     there are at most about sqrt(2 N) different positive sizes, so that order is small.
-    Sizes nobody holds are filled in by expanding each size up to the next.
+    Sizes nobody holds are filled in by expanding each size up to the next, in pieces that
+    many tasks share.
     """
     sizes = (balances.groupBy(F.col(measure).cast("long").alias("size"))
              .agg(F.count(key).alias("cnt")))
@@ -53,8 +58,10 @@ def holdings_distribution(balances, measure="nfts_cnt", key="address", include_n
         F.sum(items).over(upto).alias("cum_items"), F.sum("cnt").over(upto).alias("cum_addresses"),
         F.sum(items).over(total).alias("all_items"), F.sum("cnt").over(total).alias("all_addresses"))
     lo = F.col("size") if include_nonpositive else F.greatest("size", F.lit(1).cast("long"))
-    reach = F.when(lo <= F.col("_stop"), F.sequence(lo, F.col("_stop")))
-    filled = summed.withColumn("nfts_cnt", F.explode(reach))
+    # A wide gap becomes pieces first, and the pieces are spread before they become rows.
+    pieces = F.when(lo <= F.col("_stop"), F.sequence(lo, F.col("_stop"), F.lit(PIECE)))
+    cut = summed.withColumn("_from", F.explode(pieces)).repartition("_from")
+    filled = cut.withColumn("nfts_cnt", F.explode(F.sequence("_from", F.least("_stop", F.col("_from") + (PIECE - 1)))))
     own = F.col("nfts_cnt") == F.col("size")
     return filled.select(
         "nfts_cnt", F.when(own, F.col("cnt")).otherwise(0).alias("address_cnt"),

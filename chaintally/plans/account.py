@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, Window as W
 
 from chaintally.constants import WEI_DECIMALS
+from chaintally.functions import wide
 from chaintally.functions.columns import scaled, zero_if_null
 from chaintally.operators import activity, balances, flows, prices, spines, stats
 from chaintally.session import materialise
@@ -64,7 +65,9 @@ def _account_eth(src, account, gas):
     on every row, which counts a fee once per internal call.
     """
     calls = flows.account_transfers(flows.value_calls(src.table("traces"), False), account)
-    fees = flows.gas_cost(src.table("gas_fees")).select("tx_hash", "gas_wei")
+    calls = materialise(calls)  # few rows; the fee table is cut to their transactions
+    gas_rows = flows.restrict_to(src.table("gas_fees"), "tx_hash", calls, "tx_hash")
+    fees = flows.gas_cost(gas_rows).select("tx_hash", "gas_wei")
     if gas == "per_tx":
         outgoing = F.col("transfer_type") == "from"
         w = W.partitionBy("tx_hash", "transfer_type").orderBy(
@@ -89,19 +92,22 @@ def account_transfers_eth(src, account, gas="per_tx"):
 def account_balance_erc20(src, account, drop_unpriced=False):
     """Daily balance of every token the account touched, with its value.
 
-    Amounts are netted per (token, day) before metadata and prices are joined. Days before
-    a token first moved have no balance.
+    Amounts of any width are netted per (token, day) before metadata and prices are joined;
+    of the price ticks only those of the account's tokens and days are read on. Days before a
+    token first moved have no balance.
     """
+    rows = _account_erc20(src, account)
     net = materialise(flows.in_out_by_date(
-        _account_erc20(src, account), ["value"], keys=("contract_address",)))
+        rows.withColumns(wide.limbs("value")), list(wide.LIMBS), keys=("contract_address",)))
     daily = balances.running_balance(
         net, spines.first_day(net), src.today, keys=("contract_address",),
-        measures=("value_net",), out={"value_net": "raw"}, before_first=None)
+        measures=tuple(f"{n}_net" for n in wide.LIMBS), out={f"{n}_net": n for n in wide.LIMBS}, before_first=None)
     meta = flows.token_info(src.table("tokens_erc20")).select(
         F.col("token_ca").alias("contract_address"), F.col("token_symbol").alias("symbol"), "decimals")
     named = daily.join(meta, "contract_address", "left").select(
-        "date", "contract_address", "symbol", scaled("raw", "decimals").alias("balance_token"))
-    close = prices.daily_close(src.table("prices_usd"))
+        "date", "contract_address", "symbol", wide.as_units(*wide.LIMBS, "decimals").alias("balance_token"))
+    ticks = src.table("prices_usd").filter(F.col("minute") >= spines.first_day(net))
+    close = prices.daily_close(flows.restrict_to(ticks, "contract_address", net, "contract_address"))
     return prices.attach_usd(named, close, on=("date", "contract_address"),
                              drop_unpriced=drop_unpriced).select(
         "date", "contract_address", "symbol", "balance_token", "balance_usd")

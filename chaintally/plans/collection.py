@@ -66,8 +66,8 @@ def cohort_token_class(src, collection, token, scale=WEI_DECIMALS, symbol=None):
     people = materialise(collection_holders(src, collection))
     legs = flows.narrow_to(flows.signed_flows(
         rows.select(F.to_date("evt_block_time").alias("date"), F.col("from").alias("from_address"),
-                    F.col("to").alias("to_address"), "value"), "value", pre_aggregate=False),
-        "address", people)
+                    F.col("to").alias("to_address"), F.col("value").cast("decimal(38,0)").alias("value")),
+        "value", pre_aggregate=False), "address", people)
     owned = stats.current_balance(people, balances.current_totals(legs, out="raw"), "raw", [])
     valued = owned.withColumn("token_balance", F.round(scaled("balance", scale), 8)).withColumn(
         "token_balance_usd", F.col("token_balance") * _latest_quote(src, token, symbol))
@@ -272,4 +272,5 @@ def nft_token_stats(src, collection):
         F.round(ratio("_max", "_min") - 1, 4).alias("price_rate_high_low"),
         F.round(ratio("_recent", "_min") - 1, 4).alias("price_rate_recent_low"),
         "tx_count", F.round("_volume", 2).alias("tx_volume_usd"))
-    return stats.confidence_band(figures, "min_price_usd").orderBy("token_id")
+    # ids are whole numbers in text
+    return stats.confidence_band(figures, "min_price_usd").orderBy(F.length("token_id"), "token_id")

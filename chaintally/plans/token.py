@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chaintally.constants import WEI_DECIMALS
+from chaintally.functions import wide
 from chaintally.functions.columns import not_sink, scaled, zero_if_null
 from chaintally.operators import activity, balances, flows, prices, ranking, spines, stats
 from chaintally.session import materialise
@@ -34,8 +35,16 @@ def _named(df, src, token):
             .select("*", "_info.token_symbol", "_info.decimals").drop("_info"))
 
 
-def _ledger(src, token):
-    """Valid transfers of a registered token, in raw units."""
+def ledger(src, token):
+    """Valid transfers of a registered token, in raw units: the layer to store for its reports.
+
+    ``write_layer(ledger(src, token), path)`` stores it, and a ``Sources`` with it under
+    ``layers["ledger", token]`` gives it to every report of that token.
+    """
+    stored = src.layers.get(("ledger", token))
+    if stored is not None:
+        return stored.filter(F.col("date") <= src.today).select(
+            "datetime", "date", "tx_hash", "token_ca", "from_address", "to_address", "raw")
     rows = src.table("erc20_transfers").filter(
         (F.col("contract_address") == token) & F.col("evt_tx_hash").isNotNull()
         & F.col("from").isNotNull() & F.col("to").isNotNull())
@@ -46,8 +55,17 @@ def _ledger(src, token):
         F.col("value").alias("raw")).filter(_token_fields(src, token).isNotNull())
 
 
+def _amounts(src, token):
+    """The ledger with amounts to calculate with; one of over 38 digits raises, none is rounded.
+
+    Reports by day and rank of a single token use it. Holders and portfolios, where tokens of
+    absurd amounts occur, sum amounts of any width.
+    """
+    return ledger(src, token).withColumn("raw", F.col("raw").cast("decimal(38,0)"))
+
+
 def _legs(src, token, label=False):
-    return flows.signed_flows(_ledger(src, token), "raw", pre_aggregate=False, label=label)
+    return flows.signed_flows(_amounts(src, token), "raw", pre_aggregate=False, label=label)
 
 
 def _active(src, token):
@@ -80,7 +98,7 @@ def _in_units(df, src, token, columns, keep):
 
 def transfers(src, token):
     """Transfers of the token with amounts in token units."""
-    return _in_units(_ledger(src, token), src, token, {"raw": "value_token"}, [
+    return _in_units(ledger(src, token), src, token, {"raw": "value_token"}, [
         "datetime", "date", "tx_hash", "token_ca", "token_symbol", "from_address", "to_address"])
 
 
@@ -104,16 +122,17 @@ def price_daily(src, token):
     close = _close(src, token).select(
         "date", F.col("contract_address").alias("token_ca"), F.col("symbol").alias("token_symbol"),
         "close_price")
-    days = spines.date_spine(_ledger(src, token), "date", src.today)
+    days = spines.date_spine(ledger(src, token), "date", src.today)
     return days.join(F.broadcast(close), "date", "left")
 
 
 def holders(src, token):
     """Who owns the token now (R5): the sum of each address's flows, no calendar."""
-    totals = balances.current_totals(_legs(src, token))
-    owned = flows.exclude_addresses(totals.filter(F.col("balance") > 0))
-    return _in_units(owned, src, token, {"balance": "balance_token"},
-                     ["token_ca", "token_symbol", "address"])
+    totals = flows.signed_limbs(ledger(src, token), "raw").groupBy("address").agg(
+        *[F.sum(n).alias(n) for n in wide.LIMBS])
+    owned = flows.exclude_addresses(totals.filter(wide.is_positive(*wide.LIMBS)))
+    return _named(owned, src, token).select(
+        "token_ca", "token_symbol", "address", wide.as_units(*wide.LIMBS, "decimals").alias("balance_token"))
 
 
 def supply_mint_burn(src, token, gaps="carry"):
@@ -148,23 +167,30 @@ def overlap_erc20(src, token, drop_unpriced=False):
     """Other tokens that holders of the token own, with their value.
 
     Flows are cut to the holders before the shuffle when those are few, and always summed
-    per (contract, address) before they are joined.
+    per (contract, address) before they are joined. Amounts of any width are exact, so one
+    token of absurd amounts neither ends the report nor leaves holders of rounding errors.
+    Contracts are counted and broadcast while few: every holder owns the token itself, and a
+    shuffle by contract would bring all of them into one task.
     """
     rows = src.table("erc20_transfers").filter(
         F.col("evt_tx_hash").isNotNull() & F.col("from").isNotNull() & F.col("to").isNotNull())
     who = materialise(holders(src, token).select("token_ca", "token_symbol", "address"))
-    legs = flows.narrow_to(flows.signed_flows(
+    legs = flows.narrow_to(flows.signed_limbs(
         rows.select(F.to_date("evt_block_time").alias("date"), "contract_address",
                     F.col("from").alias("from_address"), F.col("to").alias("to_address"), "value"),
-        "value", keys=("contract_address",), pre_aggregate=False), "address", who)
-    owned = balances.current_totals(legs, ("contract_address", "address")).filter(F.col("balance") > 0)
+        "value", keys=("contract_address",)), "address", who)
+    owned = legs.groupBy("contract_address", "address").agg(
+        *[F.sum(n).alias(n) for n in wide.LIMBS]).filter(wide.is_positive(*wide.LIMBS))
     known = flows.token_info(src.table("tokens_erc20")).select(
         F.col("token_ca").alias("contract_address"), F.col("token_symbol").alias("symbol"), "decimals")
     # Contracts are joined among themselves first, so holdings meet them in a single join.
     priced = known.join(prices.latest_price(src.table("prices_usd")), "contract_address",
                         "inner" if drop_unpriced else "left")
+    priced = materialise(priced)
+    if flows.fits_broadcast(priced):
+        priced = F.broadcast(priced)
     return (who.join(owned, "address").join(priced, "contract_address")
-            .withColumn("balance_token", scaled("balance", "decimals"))
+            .withColumn("balance_token", wide.as_units(*wide.LIMBS, "decimals"))
             .select("token_ca", "token_symbol", "address", "contract_address", "symbol",
                     "balance_token", (F.col("balance_token") * F.col("last_price")).alias("balance_usd")))
 
@@ -180,7 +206,10 @@ def native_totals(src, who=None):
         F.struct(F.col("to").alias("address"), F.col("value").alias("wei_in"), none.alias("wei_out")),
         F.struct(F.col("from").alias("address"), none.alias("wei_in"), F.col("value").alias("wei_out")),
     ))).withColumn("wei_gas", none)
-    fees = flows.gas_cost(src.table("gas_fees")).select(
+    gas = src.table("gas_fees")
+    if "block_time" not in gas.columns:  # fees without a time are cut by their transactions
+        gas = gas.join(src.table("traces").select("tx_hash").distinct(), "tx_hash", "left_semi")
+    fees = flows.gas_cost(gas).select(
         F.col("tx_sender").alias("address"), none.alias("wei_in"), none.alias("wei_out"),
         F.col("gas_wei").alias("wei_gas"))
     events = legs.unionByName(fees)
@@ -221,8 +250,8 @@ def other_coins_erc20(src, token, other):
     who = materialise(holders(src, token).select("address"))
     legs = flows.narrow_to(flows.signed_flows(
         rows.select(F.to_date("evt_block_time").alias("date"), F.col("from").alias("from_address"),
-                    F.col("to").alias("to_address"), "value"), "value", pre_aggregate=False),
-        "address", who)
+                    F.col("to").alias("to_address"), F.col("value").cast("decimal(38,0)").alias("value")),
+        "value", pre_aggregate=False), "address", who)
     decimals = _token_row(src, other).agg(F.max("decimals").alias("d")).scalar()
     ticks = src.table("prices_usd").filter(F.col("contract_address") == other)
     price = prices.latest_price(ticks, by=()).select("last_price").scalar()
@@ -241,7 +270,7 @@ def other_coins_erc20(src, token, other):
 def active_addresses(src, token):
     """Senders and receivers per day and in the trailing 7 and 30 days."""
     counts = activity.rolling_distinct(
-        _ledger(src, token), {"from": "from_address", "to": "to_address"},
+        ledger(src, token), {"from": "from_address", "to": "to_address"},
         {"dau": 1, "wau": 7, "mau": 30}, src.today)
     return counts.orderBy("date")
 
@@ -321,7 +350,7 @@ def _sender_tops(src, token, measure, value, n, fill):
     to be counted among the population.
     """
     legs = flows.signed_flows(
-        _ledger(src, token), "raw", keys=("tx_hash",), pre_aggregate=False, label=True)
+        _amounts(src, token), "raw", keys=("tx_hash",), pre_aggregate=False, label=True)
     sent = F.col("transfer_type") == "sell"
     amount = F.when(sent, F.col("tx_hash") if value == "count" else -F.col("transfer_amount"))
     total = F.count(amount) if value == "count" else F.sum(amount)
@@ -394,8 +423,9 @@ def wealth_gap_volume_today(src, token, n=10):
 # --- markets -----------------------------------------------------------------------------
 
 def _by_volume(df):
+    keys = [c for c in df.columns if not c.startswith(("tx_", "trader", "addresses"))]
     return df.orderBy(ranking.descending("tx_volume_usd_buy"),
-                      ranking.descending("tx_volume_usd_sell"))
+                      ranking.descending("tx_volume_usd_sell"), *[ranking.ascending(c) for c in keys])
 
 
 def dex_dominance_by_platform(src, token):
@@ -411,7 +441,7 @@ def dex_pairs_by_symbol(src, token):
 
 def _on_calendar(src, token, daily):
     """Every day of the token's life, also those without a trade (counts are then zero)."""
-    days = spines.date_spine(_ledger(src, token), "date", src.today)
+    days = spines.date_spine(ledger(src, token), "date", src.today)
     joined = days.join(daily, "date", "left")
     return joined.select(*[zero_if_null(c).alias(c) if "_cnt_" in c else F.col(c)
                            for c in joined.columns]).orderBy("date")
@@ -455,7 +485,7 @@ def price_with_ma(src, token, exact=False):
 
 def volume(src, token):
     """Transactions and volume per day, valued at the close."""
-    daily = _ledger(src, token).groupBy("date").agg(
+    daily = _amounts(src, token).groupBy("date").agg(
         F.count_distinct("tx_hash").alias("txs_cnt"), F.sum("raw").alias("raw_volume"))
     daily = spines.fill_days(daily, src.today, on_day=["txs_cnt", "raw_volume"],
                              absent={"txs_cnt": 0})

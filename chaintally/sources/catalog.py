@@ -26,26 +26,31 @@ def normalise(df, name):
     return df
 
 
-def read_table(spark, root, name, normalised=True, amounts="exact"):
+def read_table(spark, root, name, normalised=True):
     """Scan one source table with its declared columns.
 
-    Amounts may be stored as text because they can be 256 bits wide. ``exact`` casts them to
-    ``decimal(38,0)``, and a wider value raises instead of being lost. ``double`` takes any
-    width to 15 digits, for reports over all tokens of a chain.
+    Amounts may be stored as text because they can be 256 bits wide, and stay as they are
+    stored. Item ids become text.
     """
-    wide = T.DoubleType() if amounts == "double" else schemas.RAW
     df = schemas.require_columns(spark.read.parquet(f"{root}/{name}"), schemas.SOURCES[name], name)
     kinds = {f.name: f.dataType for f in df.schema.fields}
 
     def stored(f):
-        want = {"value": wide, "values": T.ArrayType(wide)}.get(f.name, f.dataType)
-        cast = isinstance(f.dataType, (T.DecimalType, T.ArrayType)) and kinds[f.name] != want
-        return F.col(f.name).cast(want).alias(f.name) if cast else F.col(f.name)
+        named = f.name in ("tokenId", "id", "ids", "token_id") and kinds[f.name] != f.dataType
+        return F.col(f.name).cast(f.dataType).alias(f.name) if named else F.col(f.name)
 
-    df = df.select(*[stored(f) for f in schemas.SOURCES[name].fields])
+    when = [c for c in (schemas.EVENT_TIME.get(name),) if c in kinds and c not in schemas.SOURCES[name].names]
+    df = df.select(*[stored(f) for f in schemas.SOURCES[name].fields], *when)
     return df if normalised else normalise(df, name)
 
 
+def require_utc(spark):
+    """Days are calendar days of the chain, so zoned timestamps need a session in UTC."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone.upper() not in ("UTC", "ETC/UTC", "GMT", "ETC/GMT", "Z", "UCT", "ZULU", "+00:00", "UTC+00:00"):
+        raise ValueError(f"the session's time zone is {zone}; set spark.sql.session.timeZone to UTC")
+
+
 @dataclass
 class Sources:
     """The source tables of a run plus the day the run looks at.
@@ -57,12 +62,14 @@ class Sources:
     tables: dict
     as_of: dt.date
     chain: str = "ethereum"
+    #: Stored layers that reports read in place of the raw events, by (layer, contract).
+    layers: dict = field(default_factory=dict)
     _seen: dict = field(default_factory=dict, repr=False)
 
     @classmethod
-    def from_parquet(cls, spark, root, as_of, chain="ethereum", normalised=True, amounts="exact"):
+    def from_parquet(cls, spark, root, as_of, chain="ethereum", normalised=True):
         def opener(name):
-            return lambda: read_table(spark, root, name, normalised, amounts)
+            return lambda: read_table(spark, root, name, normalised)
 
         return cls({name: opener(name) for name in schemas.SOURCES}, as_of, chain)
 
@@ -74,7 +81,9 @@ class Sources:
             if "blockchain" in df.columns:
                 df = df.filter(F.col("blockchain") == self.chain)
             when = schemas.EVENT_TIME.get(name)
-            if when:
+            if when in df.columns:
+                if isinstance(df.schema[when].dataType, T.TimestampType):
+                    require_utc(df.sparkSession)
                 df = df.filter(F.col(when) < F.lit(self.as_of + dt.timedelta(days=1)))
             self._seen[name] = df
         return self._seen[name]
@@ -92,13 +101,16 @@ class Sources:
 def write_layer(df, path, partition_by=("date",), mode="overwrite", cluster_by=None):
     """Store a finished layer as Parquet, split by day.
 
-    ``cluster_by`` sorts inside each day's files so that row-group statistics prune lookups
-    by that column. Rows are spread by (day, hash of the cluster column), never by day
-    alone, so a heavy day does not land in one task.
+    Rows are dealt by ranges of (day, cluster column): a heavy day is split, light days share
+    a task, and there are about as many files as days and tasks together. Inside its files
+    the cluster column is sorted, so row-group statistics prune lookups by it. Overwriting
+    replaces only the days that ``df`` holds.
     """
     by = [c for c in partition_by if c in df.columns]
-    if cluster_by:
-        df = df.repartition(*by, cluster_by).sortWithinPartitions(*by, cluster_by)
-    writer = df.write.mode(mode)
+    cluster = cluster_by or next((c for c in df.columns if c not in by), None)
+    order = [*by, *([cluster] if cluster else [])]
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     (writer.partitionBy(*by) if by else writer).parquet(path)
     return df.sparkSession.read.parquet(path)

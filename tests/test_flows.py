@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 from chaintally.functions.columns import explorer_link, hex_address, ratio, scaled
 from chaintally.operators import flows
 from chaintally.schemas import SOURCES, require_columns
+from chaintally.functions import wide
 from chaintally.sources.catalog import Sources, normalise, write_layer
-from conftest import A, B, D, TINY, TRANSFER, at, day, sources, table
+from conftest import A, B, C, D, TINY, TRANSFER, at, day, sources, table
 
 
 def test_scale_amount_keeps_unknown_tokens_as_null(spark):
@@ -166,21 +167,93 @@ def test_layers_answer_sql(spark, tiny):
     assert spark.sql("SELECT count(*) AS n FROM tiny_transfers").first().n == 5
 
 
-def test_amounts_wider_than_decimal_raise_or_become_doubles(spark, tmp_path):
-    from chaintally.plans import token
-    huge = str(2 ** 255)
-    rows = [(at(D[1]), "h1", A, B, "tok", "70"), (at(D[1]), "h2", A, B, "oth", huge)]
+def test_amounts_of_any_width_are_exact(spark, tmp_path):
+    from chaintally.plans import account, token
+    huge, odd = 2 ** 255, 2 ** 255 // 7
+    rows = [(at(D[1]), "h1", A, B, "tok", "70"), (at(D[1]), "h2", A, B, "oth", str(huge))]
+    for i in range(40):  # what comes in goes out again, in other pieces
+        who = f"0x{i + 100}"
+        rows += [(at(D[1]), f"m{i}", A, who, "tok", "5"), (at(D[1]), f"i{i}", A, who, "oth", str(odd + i)),
+                 (at(D[2]), f"j{i}", A, who, "oth", str(odd * 2)), (at(D[3]), f"o{i}", who, C, "oth", str(odd * 3 + i))]
     spark.createDataFrame(rows, TRANSFER.replace("value raw", "value string")).write.parquet(
         str(tmp_path / "erc20_transfers"))
     for name, df in (("tokens_erc20", sources(spark, []).tables["tokens_erc20"]),
                      ("prices_usd", sources(spark, []).tables["prices_usd"])):
         df.write.parquet(str(tmp_path / name))
-    exact = Sources.from_parquet(spark, str(tmp_path), D[6])
-    assert day(token.holders(exact, "tok"), "address", "balance_token") == [(B, 70.0)]
-    with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE|CAST_INVALID|CAST_OVERFLOW|cannot be"):
-        token.overlap_erc20(exact, "tok").collect()
-    wide = Sources.from_parquet(spark, str(tmp_path), D[6], amounts="double")
-    assert day(token.overlap_erc20(wide, "tok"), "contract_address", "balance_token") == [
-        ("oth", float(2 ** 255) / 10), ("tok", 70.0)]
-    assert token.wealth_gap_balance(wide, "tok").count() == 6 * 2
-    assert token.balance(wide, "tok").count() == 2 * 6
+    src = Sources.from_parquet(spark, str(tmp_path), D[6])
+    assert token.holders(src, "tok").count() == 41
+    owned = token.overlap_erc20(src, "tok").filter("contract_address = 'oth'")
+    assert day(owned, "address", "balance_token") == [(B, float(huge) / 10)]
+    before = Sources.from_parquet(spark, str(tmp_path), D[2])
+    assert token.overlap_erc20(before, "tok").filter("contract_address = 'oth'").count() == 41
+    daily = account.account_balance_erc20(src, B).filter("contract_address = 'oth'")
+    assert {r.balance_token for r in daily.collect()} == {float(huge) / 10}
+    spent = account.account_balance_erc20(src, "0x103").filter("contract_address = 'oth'")
+    assert day(spent, "date", "balance_token")[-1] == (D[6], 0.0)
+
+
+def test_wide_sums_have_the_right_sign(spark):
+    values = [0, 1, 10 ** 26 - 1, 10 ** 26, 10 ** 52, 2 ** 256 - 1, 10 ** 40 + 7]
+    pairs = [(str(a), str(b)) for a in values for b in values]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    a, b = wide.limbs("a"), wide.limbs("b")
+    less = [a[n] - b[n] for n in wide.LIMBS]
+    got = df.select("a", "b", wide.is_positive(*less).alias("more"), wide.as_units(*less, 0).alias("units")).collect()
+    for r in got:
+        exact = int(r.a) - int(r.b)
+        assert r.more == (exact > 0) and r.units == pytest.approx(float(exact), rel=1e-15)
+
+
+def test_item_ids_of_any_width(spark):
+    from chaintally.plans import account
+    big = str(2 ** 255)
+    moves = spark.createDataFrame([(at(D[1]), "h", A, B, "col", big)],
+                                  TRANSFER.replace("value raw", "tokenId string"))
+    src = Sources({"erc721_transfers": moves}, D[6])
+    assert day(account.account_transfers_erc721(src, B), "tokenId") == [(big,)]
+
+
+def test_types_and_time_zone_are_checked_at_the_boundary(spark):
+    rows = [(at(D[1]), "h1", A, B, "tok", 7)]
+    wrong = spark.createDataFrame([("2024-01-01", *rows[0][1:])], TRANSFER.replace("timestamp_ntz", "string").replace("raw", "long"))
+    with pytest.raises(ValueError, match="wrong type"):
+        Sources({"erc20_transfers": wrong}, D[6]).table("erc20_transfers")
+    zoned = spark.createDataFrame(rows, TRANSFER.replace("timestamp_ntz", "timestamp").replace("raw", "long"))
+    assert Sources({"erc20_transfers": zoned}, D[6]).table("erc20_transfers").count() == 1
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        with pytest.raises(ValueError, match="time zone"):
+            Sources({"erc20_transfers": zoned}, D[6]).table("erc20_transfers")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+@pytest.mark.parametrize("timed", [True, False])
+def test_fees_after_the_day_looked_at_are_not_charged(spark, timed):
+    from chaintally.plans.token import native_totals
+    traces = spark.createDataFrame(
+        [(at(D[1]), "t1", B, A, 5, b"", "call", "call", True), (at(D[9]), "t2", A, B, 0, b"", "call", "call", True)],
+        "block_time timestamp_ntz, tx_hash string, `from` string, `to` string, value long, input binary, type string, call_type string, success boolean")
+    gas = spark.createDataFrame([("t1", "ethereum", B, 1.0, 1, at(D[1])), ("t2", "ethereum", A, 1.0, 1, at(D[9]))],
+                                "tx_hash string, blockchain string, tx_sender string, gas_price_gwei double, gas_used long, block_time timestamp_ntz")
+    tables = {"traces": traces, "gas_fees": gas if timed else gas.drop("block_time")}
+    got = {r.address: r.wei_gas for r in native_totals(Sources(tables, D[3])).collect()}
+    assert got == {A: None, B: 10 ** 9}
+    assert {r.address: r.wei_gas for r in native_totals(Sources(tables, D[9])).collect()} == {A: 10 ** 9, B: 10 ** 9}
+
+
+def test_layer_has_about_as_many_files_as_days_and_takes_single_days(spark, tmp_path):
+    days = [D[1 + i % 30] for i in range(3000)]
+    df = spark.createDataFrame([(d, f"0x{i % 97}", i) for i, d in enumerate(days)], "date date, address string, v int").repartition(8)
+    for path, cluster in ((tmp_path / "plain", None), (tmp_path / "sorted", "address")):
+        assert write_layer(df, str(path), cluster_by=cluster).count() == 3000
+        assert len(list(path.glob("date=*/*.parquet"))) <= 30 + 8
+    one = spark.createDataFrame([(D[1], "0xnew", -1)], "date date, address string, v int")
+    back = write_layer(one, str(tmp_path / "plain"))
+    assert back.filter(F.col("date") == D[1]).count() == 1 and back.count() == 2901
+
+
+def test_a_fee_is_charged_once(spark):
+    rows = spark.createDataFrame([(D[1], "from", 10, 4, 1), (D[1], "to", 7, 3, 1)], "date date, transfer_type string, a int, b int, fee int")
+    got = flows.in_out_by_date(rows, ["a", "b"], out_only=["fee"])
+    assert day(got, "a_net", "b_net") == [(-4, -1)]

@@ -123,3 +123,15 @@ def test_current_balance_treats_missing_totals_as_zero(spark):
     totals = spark.createDataFrame([(A, 5, None), (B, 1, 4)], "address string, i long, o long")
     assert day(stats.current_balance(who, totals, "i", ["o"]), "address", "balance") == [(A, 5), (B, -3), (C, 0)]
     assert day(stats.current_balance(who, totals, "i", ["o"], positive=True), "address") == [(A,)]
+
+
+def test_hhi_of_amounts_with_eighteen_decimals(spark):
+    df = spark.createDataFrame([(D[1], f"0x{i}", str(11 * 10 ** 18)) for i in range(4)], "date date, address string, balance string")
+    assert day(ranking.hhi(df.withColumn("balance", F.col("balance").cast("decimal(38,0)"))), "date", "hhi") == [(D[1], 0.25)]
+
+
+def test_wide_gap_between_holding_sizes(spark):
+    df = spark.createDataFrame([("0x1", 1), ("0x2", 3_000_000)], "address string, nfts_cnt long")
+    got = stats.holdings_distribution(df)
+    assert got.count() == 3_000_000
+    assert day(got.filter("nfts_cnt IN (1, 2, 2999999, 3000000)"), "nfts_cnt", "address_cnt") == [(1, 1), (2, 0), (2999999, 0), (3000000, 1)]

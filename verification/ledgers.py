@@ -108,10 +108,10 @@ class Ledgers:
         return self.events().select(
             F.col("hash").alias("tx_hash"), F.lit("ethereum").alias("blockchain"),
             addr("sender").alias("tx_sender"), F.col("value").alias("gas_price_gwei"),
-            (F.lit(21000) + F.col("event_id") % 1000).alias("gas_used"))
+            (F.lit(21000) + F.col("event_id") % 1000).alias("gas_used"), F.col("ts").alias("block_time"))
 
     def erc1155_single(self):
-        return self.erc20_events().withColumn("id", F.col("evt_tx_hash").cast("decimal(38,0)"))
+        return self.erc20_events().withColumn("id", F.col("evt_tx_hash"))
 
     # --- order ledger --------------------------------------------------------------------
 
@@ -129,7 +129,7 @@ class Ledgers:
             F.col("l_shipdate").alias("evt_block_time"), F.col("hash").alias("evt_tx_hash"),
             addr("l_suppkey").alias("from"), addr("receiver").alias("to"),
             F.col("p_brand").alias("contract_address"),
-            F.col("l_partkey").cast("decimal(38,0)").alias("tokenId"))
+            F.col("l_partkey").cast("string").alias("tokenId"))
 
     def items_funded(self):
         spent = self.items().filter(F.col("from") != DEAD_ADDRESS)
@@ -140,7 +140,7 @@ class Ledgers:
                           F.concat_ws("-", F.lit("mint"), "b", "s_suppkey", "k").alias("evt_tx_hash"),
                           F.lit(ZERO_ADDRESS).alias("from"), addr("s_suppkey").alias("to"),
                           F.concat(F.lit("Brand#"), F.col("b").cast("string")).alias("contract_address"),
-                          (F.col("s_suppkey") * 100 + F.col("k") + 1000000).cast("decimal(38,0)")
+                          (F.col("s_suppkey") * 100 + F.col("k") + 1000000).cast("string")
                           .alias("tokenId")))
         return spent.unionByName(minted)
 
@@ -179,7 +179,7 @@ class Ledgers:
         return self.order_lines().select(
             F.to_date("l_shipdate").alias("block_date"), F.col("l_shipdate").alias("block_time"),
             F.lit("ethereum").alias("blockchain"), F.col("p_brand").alias("nft_contract_address"),
-            F.col("l_partkey").cast("decimal(38,0)").alias("token_id"), F.col("hash").alias("tx_hash"),
+            F.col("l_partkey").cast("string").alias("token_id"), F.col("hash").alias("tx_hash"),
             addr("l_suppkey").alias("tx_from"), addr("receiver").alias("tx_to"),
             price.alias("amount_usd"), (price * F.col("l_tax")).alias("platform_fee_amount_usd"),
             (price * F.col("l_discount")).alias("royalty_fee_amount_usd"))
@@ -188,13 +188,13 @@ class Ledgers:
         line = F.struct("l_linenumber", "l_partkey", "l_quantity")
         lines = self.order_lines().groupBy("hash", "o_orderdate", "o_orderpriority", "receiver").agg(
             F.sort_array(F.collect_list(line)).alias("lines"))
-        field = lambda name: F.transform("lines", lambda x: x[name].cast("decimal(38,0)"))
+        field = lambda name, kind: F.transform("lines", lambda x: x[name].cast(kind))
         return lines.select(
             F.col("o_orderdate").alias("evt_block_time"), F.col("hash").alias("evt_tx_hash"),
             addr("receiver").alias("from"),
             addr(F.pmod(F.col("hash").cast("bigint"), F.lit(10))).alias("to"),
             F.col("o_orderpriority").alias("contract_address"),
-            field("l_partkey").alias("ids"), field("l_quantity").alias("values"))
+            field("l_partkey", "string").alias("ids"), field("l_quantity", "decimal(38,0)").alias("values"))
 
     def contracts(self):
         def entries(df, column, label):

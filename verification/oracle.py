@@ -19,10 +19,14 @@ def addr(i):
             f"ELSE '0x' || lpad(CAST({i} AS VARCHAR), 40, '0') END")
 
 
+#: Where the statements read the events; ``earlier`` cuts both.
+EVENTS_READ = "FROM events AS every_event"
+PRICES_READ = "FROM events WHERE event_type <> 'signup'"
+
 BASE = f"""
 ev AS (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents, CAST(event_id AS VARCHAR) AS hash,
     (user_id * 31 + event_id * 17 + 5) % (SELECT max(user_id) + 1 FROM events) AS receiver
-  FROM events),
+  {EVENTS_READ}),
 erc20_e AS (SELECT ts AS evt_block_time, hash AS evt_tx_hash, {addr('user_id')} AS "from",
     {addr('receiver')} AS "to", event_type AS contract_address, cents AS value FROM ev),
 erc20_ef AS (SELECT * FROM erc20_e WHERE "from" <> '{DEAD}'
@@ -34,7 +38,7 @@ erc20_ef AS (SELECT * FROM erc20_e WHERE "from" <> '{DEAD}'
 tokens_e AS (SELECT DISTINCT event_type AS contract_address, upper(event_type) AS symbol,
     2 AS decimals FROM events WHERE event_type <> 'error'),
 prices_e AS (SELECT ts AS minute, event_type AS contract_address, upper(event_type) AS symbol,
-    value AS price FROM events WHERE event_type <> 'signup'),
+    value AS price {PRICES_READ}),
 traces_e AS (SELECT ts AS block_time, hash AS tx_hash, {addr('user_id')} AS "from",
     {addr('receiver')} AS "to", CAST(cents AS HUGEINT) * 10000000000000000 AS value, props AS input,
     CASE event_type WHEN 'signup' THEN 'create' ELSE 'call' END AS type,
@@ -653,4 +657,22 @@ ct AS (SELECT p.address, coalesce(CAST(raw AS DOUBLE) / 100, 0) AS b,
       * (SELECT last_price FROM last WHERE contract_address = '{token}') AS u
   FROM people p LEFT JOIN tt ON p.address = tt.address)""",
             bands("ct", "b", "u", "token_balance_usd_min", "token_balance_usd_max"))
+    oracle["a01_wide_amounts"] = (
+        f"SELECT address, contract_address, round(balance_token, 6) AS balance_token FROM ({oracle['r07_overlap_erc20']})")
+    oracle["a02_wide_ids"] = (
+        f"""SELECT * REPLACE (lpad(CAST("tokenId" AS VARCHAR), 78, '9') AS "tokenId") FROM ({oracle['r34_account_transfers_erc721']})""")
+    oracle["a13_holders_from_layer"] = oracle["r05_holders"]
+    oracle["a14_volume_from_layer"] = oracle["r30_volume"]
+    for name in ("r08_overlap_eth", "r15_other_coins_eth", "r42_cohort_eth_class"):
+        oracle[f"{name}_earlier"] = earlier(oracle[name])
     return oracle
+
+
+def earlier(statement):
+    """The statement over the events up to 15 January 2024; users keep their numbers."""
+    cut = "WHERE ts < TIMESTAMP '2024-01-16 00:00:00'"
+    for whole, part in ((EVENTS_READ, f"{EVENTS_READ} {cut}"), (PRICES_READ, f"{PRICES_READ} AND {cut[6:]}")):
+        if statement.count(whole) != 1:
+            raise ValueError(f"expected {whole!r} once")
+        statement = statement.replace(whole, part)
+    return statement

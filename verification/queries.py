@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from functools import partial, reduce
 
 from pyspark.sql import functions as F
 
+from chaintally import Sources
 from chaintally.constants import ADDRESS_PAGE
 from chaintally.functions.columns import explorer_link, scaled
 from chaintally.operators import activity, balances, flows, prices, ranking, spines, stats
 from chaintally.plans import account, collection, token
+from chaintally.session import shared_folder
+from chaintally.sources.catalog import write_layer
 from verification.ledgers import (
     ACCOUNT, COLLECTION, FAMILY, OTHER_TOKEN, TOKEN, Ledgers)
 
@@ -301,9 +306,11 @@ def t42(spark, root):
 
 # --- reports -----------------------------------------------------------------------------
 
-def event(report, *args, funded=False, places=None, **kw):
+def event(report, *args, funded=False, places=None, as_of=None, **kw):
     def run(spark, root):
-        df = report(_events(spark, root, funded), *(args or (TOKEN,)), **kw)
+        src = _events(spark, root, funded)
+        src.as_of = as_of or src.as_of
+        df = report(src, *(args or (TOKEN,)), **kw)
         return rounded(df, **places) if places else df
 
     return run
@@ -317,6 +324,39 @@ def order(report, *args, funded=False, places=None, **kw):
     return run
 
 
+# --- sources and layers ------------------------------------------------------------------
+
+#: A day before the end of the events, for reports that look back.
+EARLIER = dt.date(2024, 1, 15)
+
+
+def a01_wide_amounts(spark, root):
+    """R7 over amounts of 60 more digits, in text."""
+    src = _events(spark, root)
+    wide = src.table("erc20_transfers").withColumn("value", F.concat(F.col("value").cast("string"), F.lit("0" * 60)))
+    info = src.table("tokens_erc20").withColumn("decimals", F.lit(62))
+    src = Sources({**src.tables, "erc20_transfers": wide, "tokens_erc20": info}, src.as_of)
+    return rounded(token.overlap_erc20(src, TOKEN).select("address", "contract_address", "balance_token"), balance_token=6)
+
+
+def a02_wide_ids(spark, root):
+    """R34 over item ids of 78 digits."""
+    src = _orders(spark, root)
+    named = src.table("erc721_transfers").withColumn("tokenId", F.lpad("tokenId", 78, "9"))
+    return account.account_transfers_erc721(Sources({"erc721_transfers": named}, src.as_of), ACCOUNT)
+
+
+def _from_layer(report, funded):
+    def run(spark, root):
+        src = _events(spark, root, funded)
+        path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex[:12]}"
+        stored = write_layer(token.ledger(src, TOKEN), path, cluster_by="from_address")
+        names = ("tokens_erc20", "prices_usd")
+        return report(Sources({n: src.tables[n] for n in names}, src.as_of, layers={("ledger", TOKEN): stored}), TOKEN)
+
+    return run
+
+
 def _r32(spark, root):
     return cents(account.account_transfers_erc1155(_events(spark, root), ACCOUNT), "id", "value")
 
@@ -349,6 +389,13 @@ NFT = {"tx_volume_usd": 2, **dict.fromkeys([f"min_price_usd_ma_{n}d" for n in (7
 
 def all_queries():
     found = {
+        "a01_wide_amounts": a01_wide_amounts, "a02_wide_ids": a02_wide_ids,
+        "a13_holders_from_layer": _from_layer(token.holders, True),
+        "a14_volume_from_layer": _from_layer(token.volume, False),
+        "r08_overlap_eth_earlier": event(token.overlap_eth, as_of=EARLIER),
+        "r15_other_coins_eth_earlier": event(token.other_coins_eth, as_of=EARLIER),
+        "r42_cohort_eth_class_earlier": event(
+            collection.cohort_eth_class, COLLECTION, TOKEN, "Click", funded=True, as_of=EARLIER),
         "t01_scale_amount": t01, "t02_token_info": t02, "t03_account_transfers": t03,
         "t04_explode_batch": t04, "t04_explode_batch_cross": partial(t04, pairing="cross"),
         "t05_value_calls": t05, "t06_gas_cost": t06, "t07_signed_flows": t07, "t08_net_flows": t08,
