@@ -77,7 +77,9 @@ def running_balance(net, start, as_of, keys=("address",), measures=("net_amount"
 
 def top_balances(net, start, as_of, n, key="address", measure="net_amount", out="balance",
                  block=32, leaders=1000):
-    """The (day, key) rows that can be among the ``n`` largest balances of a day.
+    """The (day, key) rows of positive balance that can be among the ``n`` largest of a day.
+
+    Balances of zero and below are never expanded: ``sign_counts`` tells how many there are.
 
     Within a block of days the n-th largest of some keys' lowest balances is a floor: at
     least n keys stay on or above it all the time, whichever keys are looked at. A balance
@@ -107,7 +109,8 @@ def top_balances(net, start, as_of, n, key="address", measure="net_amount", out=
               .agg(F.min("_low").alias("_floor"), F.count(F.lit(1)).alias("_keys"))
               .filter(F.col("_keys") == n).select("_block", "_floor"))
     # One row per block of the calendar.
-    near = by_block(balance_spans(net, start, as_of, (key,), measure, out)).join(
+    held = balance_spans(net, start, as_of, (key,), measure, out).filter(F.col(out) > 0)
+    near = by_block(held).join(
         F.broadcast(floors), "_block", "left").filter(
         F.col("_floor").isNull() | (F.col(out) >= F.col("_floor")))
     opens = F.date_add(first, F.col("_block") * block)
@@ -115,6 +118,30 @@ def top_balances(net, start, as_of, n, key="address", measure="net_amount", out=
     return near.select(day.alias("date"), key, out)
 
 
+def sign_counts(net, as_of, key="address", measure="net_amount"):
+    """Number of keys above (``_above``) and below zero (``_below``) per day, from active days only."""
+    def step(sign):
+        now, before = (F.col("balance") * sign > 0).cast("long"), (F.col("prev_balance") * sign > 0).cast("long")
+        return now - before
+
+    changes = active_balances(net, (key,), (measure,)).select(
+        "date", step(1).alias("_above"), step(-1).alias("_below"))
+    return daily_totals(changes, as_of, ["_above", "_below"])
+
+
+def lowest_balances(net, start, as_of, days, n, key="address", measure="net_amount", out="balance"):
+    """The largest balances below zero on the few ``days (date, _nonnegative)`` that need them.
+
+    On those days fewer than ``n`` keys stand at zero or above; ranks follow theirs.
+    """
+    debts = balance_spans(net, start, as_of, (key,), measure, out).filter(F.col(out) < 0)
+    # at most one row per calendar day
+    rows = debts.join(F.broadcast(days), F.col("date").between(F.col("lo"), F.col("hi")))
+    return top_ranks(rows, out, key=key, n=n).withColumn(
+        "rank", (F.col("rank") + F.col("_nonnegative")).cast("int")).filter(
+        F.col("rank") <= n).select("date", key, out, "rank")
+
+
 def daily_totals(changes, as_of, measures, null_if_never=()):
     """Running total per day of changes that happened on active days.
 

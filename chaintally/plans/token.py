@@ -380,8 +380,10 @@ def wealth_gap_volume(src, token, n=10):
 def wealth_gap_balance(src, token, gaps="carry", n=10):
     """Balance per day of each of the ten largest holders and of all others.
 
-    Only balances that can be among the ten largest of a day are expanded to days; the rest
-    is the day's total less its top, and the totals come from the daily flows.
+    Only positive balances that can be among the ten largest of a day are expanded to days.
+    Zeros fill the ranks behind them, and balances below zero are looked at only on days on
+    which hardly anybody stands above. The rest is the day's total less its top, and the
+    totals come from the daily flows.
     """
     if gaps == "sparse":
         grid = flows.exclude_addresses(_raw_balance(src, token, gaps))
@@ -389,14 +391,18 @@ def wealth_gap_balance(src, token, gaps="carry", n=10):
     else:
         net = _net(src, token)
         people = _population(net)
-        near = balances.top_balances(
-            flows.exclude_addresses(net), spines.first_day(net), src.today, n)
+        owners, first = flows.exclude_addresses(net), spines.first_day(net)
+        near = balances.top_balances(owners, first, src.today, n)
         # Days on which only sinks moved still belong to the calendar.
         own = F.when(not_sink("address"), F.col("net_amount")).otherwise(0)
         days = balances.daily_totals(
             net.select("date", own.alias("_all")), src.today, ["_all"]).withColumn("_filled", people)
-        top = ranking.top_ranks(near, "balance", n=n)
-        tops = ranking.label_tops(top, days, people, "balance", n=n)
+        above = ranking.top_ranks(near, "balance", n=n).select("date", "address", "balance", "rank")
+        poor = balances.sign_counts(owners, src.today).withColumn(
+            "_nonnegative", people - F.col("_below")).filter(F.col("_nonnegative") < n).select("date", "_nonnegative")
+        below = balances.lowest_balances(owners, first, src.today, poor, n)
+        # what no row of a rank stands for is an address that holds nothing
+        tops = ranking.label_tops(above.unionByName(below), days, people, "balance", n=n, fill=0)
     return _in_units(tops, src, token, {"balance": "balance_token"},
                      ["date", "top10"]).orderBy("date", "top10")
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from chaintally.constants import DEAD_ADDRESS
@@ -67,12 +68,36 @@ def test_top_balances_lose_nothing(spark):
     net = net_of(sources(spark, rows, as_of=D[31]))
     start, end = spines.first_day(net), today(D[31])
     dense = ranking.top_ranks(balances.running_balance(net, start, end), "balance", n=3)
-    want = day(dense, "date", "rank", "address", "balance")
+    want = day(dense.filter("balance > 0"), "date", "rank", "address", "balance")
     for block, leaders in ((1, 100), (4, 3), (64, 1)):
         near = balances.top_balances(net, start, end, 3, block=block, leaders=leaders)
         got = ranking.top_ranks(near, "balance", n=3)
         assert day(got, "date", "rank", "address", "balance") == want
-    assert balances.top_balances(net, start, end, 50).count() == 13 * 31
+    everyone = balances.running_balance(net, start, end)
+    assert balances.top_balances(net, start, end, 50).count() == everyone.filter("balance > 0").count()
+
+
+@pytest.mark.parametrize("n", [1, 3, 12])
+def test_tops_with_zeros_and_debts_equal_the_dense_frame(spark, n):
+    rows = [(at(D[1 + (7 * i) % 29]), f"h{i}", f"a{(i * 5) % 13}", f"a{(i * i) % 11}", "tok", 10 + (i * i) % 40) for i in range(60)]
+    src = sources(spark, rows, as_of=D[31])
+    net = net_of(src)
+    dense = balances.running_balance(net, spines.first_day(net), today(D[31]))
+    want = ranking.topn_with_others(dense, "balance", n=n)
+    got = token.wealth_gap_balance(src, "tok", n=n)
+    assert day(got, "date", "top10", "balance_token") == day(
+        want.withColumn("balance_token", F.col("balance").cast("double")), "date", "top10", "balance_token")
+
+
+def test_work_follows_flows_not_addresses_times_days(spark):
+    late, days, n = 3000, 300, 10
+    flows_ = spark.range(late).select(
+        F.date_add(F.lit(D[1]), (F.col("id") % 50 + days - 50).cast("int")).alias("date"), F.col("id").cast("string").alias("address"),
+        (F.col("id") % 97 + 1).cast("decimal(38,0)").alias("net_amount"))
+    early = spark.range(20).select(F.lit(D[1]).alias("date"), F.concat(F.lit("e"), "id").alias("address"), F.lit(500).cast("decimal(38,0)").alias("net_amount"))
+    net = flows_.unionByName(early)
+    near = balances.top_balances(net, F.lit(D[1]).cast("date"), F.date_add(F.lit(D[1]), days), n)
+    assert near.count() <= 2 * (late + 20 + days * n)
 
 
 def test_daily_totals_null_if_never(spark):
