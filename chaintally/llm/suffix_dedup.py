@@ -9,7 +9,7 @@ neighbouring windows with one key form a region, and the work goes in four steps
 2. Per shard, equal texts fold into one. Regions whose key occurs in another text or shard are
    kept, equal regions fold into the one of the smallest doc_id, and the rest go on by key.
 3. Regions of a key meet in one task, in blocks of bounded size. A block is sorted as a suffix
-   array by Larsson-Sadakane refinement (7 bytes, then doubling, unsorted groups only), Kasai's
+   array by Larsson-Sadakane refinement (4 bytes, then doubling, unsorted groups only), Kasai's
    method gives the common prefixes, walking all regions in step, and runs of at least
    ``SPAN`` common bytes give each window its smallest document. A key with more regions than a
    block is cut into several suffix arrays, merged by binary search in sorted windows.
@@ -43,6 +43,8 @@ SHARD, FEWEST, TOGETHER, BLOCK = 16_000_000, 32, 2_000_000, 2_000_000
 #: Windows to a region at most; documents with a key above which its windows are dealt singly.
 WIDTH, HOT = 200, 1_000_000
 LAST = np.iinfo(np.int64).max
+#: Bits of a position in a suffix array.
+PLACES = 21
 DDL = "dest int, kind int, a binary, b binary, c binary, d binary"
 SCHEMA = pa.schema([("dest", pa.int32()), ("kind", pa.int32()), *[(c, pa.binary()) for c in "abcd"]])
 TEXTS, COUNTED, SHARED, REGIONS, REMOVED = range(5)
@@ -302,39 +304,43 @@ def local(shards):
 
 
 def suffix_array(text, starts):
-    """Positions of all suffixes in order; a suffix ends with its region, equal ones stand in text order."""
+    """Positions of all suffixes in order; a suffix ends with its region, equal ones stand in text order.
+
+    Group, rank behind and position share one 64-bit number, so a round is a plain sort of numbers.
+    """
     n = len(text)
+    if n >= 1 << PLACES:
+        raise ValueError("a block must be shorter than 2 ** 21 bytes")
+    place, low = np.uint64(PLACES), np.uint64((1 << PLACES) - 1)
     sizes = np.diff(starts)
-    end = np.repeat(starts[1:], sizes)
-    rest = end - np.arange(n)  # bytes to the end of the region
-    wide = np.zeros(n + 7, np.uint64)
+    rest = np.repeat(starts[1:], sizes) - np.arange(n)  # bytes to the end of the region
+    wide = np.zeros(n + 4, np.uint64)
     wide[:n] = text
     wide[:n] += 1
     first = np.zeros(n, np.uint64)
-    for j in range(7):
+    for j in range(4):
         first = (first << np.uint64(9)) | np.where(rest > j, wide[j:j + n], np.uint64(0))
-    order = np.argsort(first, kind="stable")
-    key = first[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    del first, key, wide
+    first = np.sort((first << place) | np.arange(n, dtype=np.uint64))
+    order = (first & low).astype(np.int64)
+    first >>= place
+    new = np.concatenate([[True], first[1:] != first[:-1]])
     rank = np.empty(n, np.int64)
     rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]  # a group's rank is the place of its first suffix
-    depth, longest = 7, int(sizes.max(initial=0))
+    depth, longest = 4, int(sizes.max(initial=0))
     while depth < longest:
-        single = new & np.append(new[1:], True)
-        open_ = np.flatnonzero(~single)
+        open_ = np.flatnonzero(~(new & np.append(new[1:], True)))
         if not len(open_):
             break
         at = order[open_]
-        group = rank[at]
         behind = np.where(rest[at] > depth, rank[np.minimum(at + depth, n - 1)] + 1, 0)
-        sort = np.lexsort((behind, group))  # stable: equal suffixes stay in text order
-        at, group, behind = at[sort], group[sort], behind[sort]
+        key = (rank[at].astype(np.uint64) << np.uint64(2 * PLACES + 1)) | (behind.astype(np.uint64) << place) | at.astype(np.uint64)
+        key.sort()
+        at = (key & low).astype(np.int64)
+        key >>= place
         order[open_] = at
-        parted = np.concatenate([[True], (group[1:] != group[:-1]) | (behind[1:] != behind[:-1])])
+        parted = np.concatenate([[True], key[1:] != key[:-1]])
         new[open_] |= parted
-        heads = np.maximum.accumulate(np.where(parted, open_, 0))
-        rank[at] = heads
+        rank[at] = np.maximum.accumulate(np.where(parted, open_, 0))
         depth *= 2
     return order
 
