@@ -48,7 +48,7 @@ def quoted(messages):
     known = lines(messages).filter(F.col("key").isNotNull() & F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & (F.col("level") <= 1))
     per_turn = known.groupBy("conv_id", "key", "turn").agg(
         F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).alias("n_quoted"), F.max(F.col("level") == 0).alias("own"))
-    wanted = per_turn.withColumn("block", F.floor(F.col("turn") / BLOCK))
+    wanted = stored(per_turn.withColumn("block", F.floor(F.col("turn") / BLOCK)), "quoted-lines")
     before = Window.partitionBy("conv_id", "key", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     inside = wanted.withColumn("found", F.max(F.when(F.col("own"), F.col("turn"))).over(before))
     blocks = wanted.groupBy("conv_id", "key", "block").agg(F.max(F.when(F.col("own"), F.col("turn"))).alias("last"))
