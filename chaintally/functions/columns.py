@@ -16,10 +16,6 @@ def hex_address(binary):
     return F.lower(F.concat(F.lit("0x"), F.hex(binary)))
 
 
-def day_of(column):
-    return F.to_date(column)
-
-
 def scaled(raw, decimals):
     """An integer amount in display units.
 

@@ -140,7 +140,8 @@ def contract_profile(contracts, transfers, address):
     """Registry entry of a contract with the standard its transfers reveal.
 
     ``transfers`` maps a standard to the tables that would hold its transfers, in order of
-    precedence. Only existence matters, so each probe stops at the first row it finds.
+    precedence. Only existence matters: each task of a probe stops at its first row, and layers stored in
+    the order of their contracts let statistics skip the files of others.
     """
     kind = F.lit("Unknown")
     for standard, tables in reversed(list(transfers.items())):

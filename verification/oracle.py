@@ -383,9 +383,18 @@ ov AS (SELECT m.contract_address, count(DISTINCT m.address) FILTER (WHERE m.n >
   FROM mv m JOIN people p ON m.address = p.address WHERE m.got > 0 GROUP BY 1)"""
 
 
-def profile(address, kind, label):
-    return (f"SELECT '{address.lower()}' AS project, '{label}' AS contract_name, '{kind}' AS contract_type, "
-            f"'{ACCOUNT}' AS deployer")
+def profile(address):
+    """Registry entry of a contract, its standard probed in order over the tables of transfers."""
+    return f"""
+SELECT project, contract_name, CASE
+    WHEN EXISTS (SELECT 1 FROM erc20_e WHERE contract_address = {address}) THEN 'ERC-20'
+    WHEN EXISTS (SELECT 1 FROM items_o WHERE contract_address = {address}) THEN 'ERC-721'
+    WHEN EXISTS (SELECT 1 FROM batch_o WHERE contract_address = {address}) THEN 'ERC-1155'
+    ELSE 'Unknown' END AS contract_type, '{ACCOUNT}' AS deployer
+FROM (SELECT DISTINCT event_type AS address, lower(event_type) AS project, 'event' AS contract_name FROM events
+  UNION ALL SELECT DISTINCT p_brand, lower(p_brand), 'part' FROM part
+  UNION ALL SELECT DISTINCT o_orderpriority, lower(o_orderpriority), 'order' FROM orders
+  UNION ALL SELECT n_name, lower(n_name), 'nation' FROM nation) WHERE address = {address}"""
 
 
 def sql():
@@ -511,7 +520,7 @@ g AS (SELECT d.date, s.p FROM ({days('s', ORDER_DAY)}) d LEFT JOIN s ON d.date =
         "t40_supply_mint_burn": q(EV, SUPPLY, "SELECT date, total_supply, total_mint, total_burn FROM sup"),
         "t41_explorer_link": q(EV, f"SELECT address, {link('address', 'address/')} AS link, "
                                f"{link('address', 'address/', 'Click')} AS short_link FROM addrs"),
-        "t42_contract_profile": q(profile(THIRD, "ERC-721", "part")),
+        "t42_contract_profile": q(profile(f"'{THIRD}'")),
         # token reports
         "r01_transfers": q(EV, f"SELECT datetime, date, tx_hash, {NAMED}, from_address, to_address, "
                            f"{units.format('raw')} AS value_token FROM l"),
@@ -527,6 +536,14 @@ FROM bal b LEFT JOIN net n ON b.date = n.date AND b.address = n.address"""),
         "r04_price_daily": q(EV, CLOSE, PRICE_DAILY, "SELECT * FROM pd"),
         "r05_holders": q(EVF, holders),
         "r06_supply_mint_burn": q(EVF, SUPPLY, SUPPLY_SELECT),
+        "r06_supply_mint_burn_sparse": q(EV, f"""
+act AS (SELECT b.date, b.address, n.net IS NOT NULL AS moved, CASE WHEN n.net IS NOT NULL THEN balance ELSE 0 END AS v
+  FROM bal b LEFT JOIN net n ON b.date = n.date AND b.address = n.address)""", f"""
+SELECT date, CASE WHEN moved THEN 'click' END AS token_ca, CASE WHEN moved THEN 'CLICK' END AS token_symbol,
+  CAST(sum(v) FILTER (WHERE address NOT IN {SINKS}) AS DOUBLE) / 100 AS total_supply,
+  CAST(sum(v) FILTER (WHERE address = '{ZERO}') * -1 AS DOUBLE) / 100 AS total_mint,
+  CAST(sum(v) FILTER (WHERE address = '{DEAD}') * -1 AS DOUBLE) / 100 AS total_burn
+FROM act GROUP BY date, moved"""),
         "r07_overlap_erc20": q(EV, LAST, OVERLAP, f"""
 SELECT {NAMED}, h.address, p.contract_address, t.symbol, {units.format('p.raw')} AS balance_token,
   {units.format('p.raw')} * last_price AS balance_usd
@@ -610,10 +627,8 @@ SELECT date, contract_address, coalesce(symbol, contract_address) AS symbol,
         "r54_balance_erc20_total": q(ABAL20, "SELECT date, round(sum(balance_usd), 6) AS balance_usd "
                                      "FROM r36b GROUP BY 1"),
         "r55_balance_eth_view": q(ACC_ETH, "SELECT date, balance_eth FROM aeb"),
-        "r46_contract_profile": q(" UNION ALL ".join([
-            profile("click", "ERC-20", "event"), profile(MAIN, "ERC-721", "part"),
-            profile("1-URGENT", "ERC-1155", "order"), "SELECT lower(n_name), 'nation', 'Unknown', "
-            f"'{ACCOUNT}' FROM nation WHERE n_nationkey = 0"])),
+        "r46_contract_profile": q(" UNION ALL ".join(profile(a) for a in (
+            "'click'", f"'{MAIN}'", "'1-URGENT'", "(SELECT n_name FROM nation WHERE n_nationkey = 0)"))),
         "r52_contract_active_users": q(USERS, f"SELECT d.date{rolling('tc', 'who', '')} FROM td d"),
         "r53_contract_cumulative_users": q(USERS, """SELECT d.date,
   (SELECT count(DISTINCT who) FROM tc WHERE tc.date = d.date) AS dau,
@@ -659,6 +674,7 @@ ct AS (SELECT p.address, coalesce(CAST(raw AS DOUBLE) / 100, 0) AS b,
             bands("ct", "b", "u", "token_balance_usd_min", "token_balance_usd_max"))
     oracle["a01_wide_amounts"] = (
         f"SELECT address, contract_address, round(balance_token, 6) AS balance_token FROM ({oracle['r07_overlap_erc20']})")
+    oracle["r07_overlap_erc20_priced"] = f"SELECT * FROM ({oracle['r07_overlap_erc20']}) WHERE balance_usd IS NOT NULL"
     oracle["a02_wide_ids"] = (
         f"""SELECT * REPLACE (lpad(CAST("tokenId" AS VARCHAR), 78, '9') AS "tokenId") FROM ({oracle['r34_account_transfers_erc721']})""")
     oracle["a13_holders_from_layer"] = oracle["r05_holders"]

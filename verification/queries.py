@@ -420,7 +420,9 @@ def all_queries():
         "r04_price_daily": event(token.price_daily),
         "r05_holders": event(token.holders, funded=True),
         "r06_supply_mint_burn": event(token.supply_mint_burn, funded=True),
+        "r06_supply_mint_burn_sparse": event(token.supply_mint_burn, gaps="sparse"),
         "r07_overlap_erc20": event(token.overlap_erc20),
+        "r07_overlap_erc20_priced": event(token.overlap_erc20, drop_unpriced=True),
         "r08_overlap_eth": event(token.overlap_eth),
         "r09_active_addresses": event(token.active_addresses),
         "r10_avg_purchase_price": event(token.avg_purchase_price, places={"avg_purchase_price_usd": 6}),
