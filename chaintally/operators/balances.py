@@ -135,8 +135,10 @@ def lowest_balances(net, start, as_of, days, n, key="address", measure="net_amou
     On those days fewer than ``n`` keys stand at zero or above; ranks follow theirs.
     """
     debts = balance_spans(net, start, as_of, (key,), measure, out).filter(F.col(out) < 0)
-    # at most one row per calendar day
-    rows = debts.join(F.broadcast(days), F.col("date").between(F.col("lo"), F.col("hi")))
+    # one list with at most one entry per calendar day
+    poor = days.agg(F.collect_list(F.struct("date", "_nonnegative")).alias("d")).scalar()
+    mine = F.filter("_poor", lambda d: d["date"].between(F.col("lo"), F.col("hi")))
+    rows = debts.withColumn("_poor", poor).select(key, out, F.inline(mine))
     return top_ranks(rows, out, key=key, n=n).withColumn(
         "rank", (F.col("rank") + F.col("_nonnegative")).cast("int")).filter(
         F.col("rank") <= n).select("date", key, out, "rank")
