@@ -122,7 +122,8 @@ def as_mail(messages):
 
 def digest(messages):
     """conv_id, turn, role, reply_to (-1: none), thread, depth, n_quoted, n_linked, body of the messages in mail form."""
-    return conversations(as_mail(messages.select("conv_id", "turn", "role", "text"))).select(
+    mail = stored(as_mail(messages.select("conv_id", "turn", "role", "text")), "mail")
+    return conversations(mail).select(
         "conv_id", "turn", "role", F.coalesce("reply_to", F.lit(-1)).alias("reply_to"), "thread", "depth", "n_quoted", "n_linked", "body")
 
 
