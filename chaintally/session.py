@@ -43,7 +43,8 @@ def shared_folder(spark):
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.conf.get("spark.master", "").startswith("local["):
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="chaintally-"))
