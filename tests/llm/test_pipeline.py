@@ -3,6 +3,7 @@ import sentencepiece
 import corpus_pipeline as cp
 from chaintally.llm import secret_ledger
 from chaintally.llm.queries import vocabulary_path
+from chaintally.session import stored
 from conftest import TESTDATA
 from llm_cases import AWKWARD, awkward, table
 from test_contamination import brute as leaks
@@ -14,7 +15,7 @@ ROOT = f"{TESTDATA}/sf0.001"
 def test_stages_follow_one_another(spark):
     docs = spark.read.parquet(f"{ROOT}/documents.parquet")
     for name, stage in cp.STAGES[:-1]:
-        docs = stage(spark, docs, ROOT).checkpoint()
+        docs = stored(stage(spark, docs, ROOT))
         assert docs.columns == list(cp.COLUMNS), name
     last = cp.STAGES[-1][1](spark, docs, ROOT)
     assert table(cp.run(spark, ROOT)) == table(last) and last.count() > 100
