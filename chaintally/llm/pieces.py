@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -206,7 +207,7 @@ class Encoder:
         self.vocabulary, self.known, self.size = vocabulary, {}, 0
 
     def _learn(self, words):
-        """known[word] = (ids as decimal text, their number, decoded bytes, ids)."""
+        """known[word] = (ids as decimal text, their number, decoded bytes, ids as int32 bytes)."""
         v = self.vocabulary
         plain = [w[max(0, len(w) - len(w.lstrip(SPACE)) - 1):] for w in words]
         symbols, starts = v.merge(plain)
@@ -221,7 +222,7 @@ class Encoder:
                 if of[:1] == [one]:
                     ids, spare = ids[len(v.ids(one)):], spare + 1
                 ids = v.spaces(spare) + ids
-            self.known[w] = (b",".join([v.id_text[i] for i in ids]), len(ids), b"".join([v.id_bytes[i] for i in ids]), ids)
+            self.known[w] = (b",".join([v.id_text[i] for i in ids]), len(ids), b"".join([v.id_bytes[i] for i in ids]), array("i", ids).tobytes())
         self.size += sum(map(len, words))
 
     def words(self, text):
@@ -283,9 +284,9 @@ def _batched(sent, finish, ddl):
 
 
 def _lists(texts):
-    flat = [i for words in texts for x in words for i in x[3]]
+    flat = np.frombuffer(b"".join([x[3] for words in texts for x in words]), np.int32)
     starts = np.concatenate([[0], np.cumsum([sum([x[1] for x in words]) for words in texts], dtype=np.int64)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.array(flat, np.int32)))
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat))
 
 
 def _digests(texts):
