@@ -47,23 +47,29 @@ SMALL = 48
 TOGETHER = 1 << 16
 
 
-def fingerprint(data: bytes) -> int:
-    """The signed 64-bit SimHash of a text's bytes."""
+def shingle_hashes(data: bytes, length: int = SHINGLE):
+    """Hashes of a text's runs of ``length`` words (of all words, if they are fewer), ``TOGETHER`` at once."""
     import xxhash
 
     words = data.lower().split()
     if not words:
-        return 0
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate([[0], ends[:-1] + 1])
-    text, n, digest = b" ".join(words), max(1, len(words) - SHINGLE + 1), xxhash.xxh64_intdigest
-    ends = ends[min(SHINGLE, len(words)) - 1:]
+    text, n, digest = b" ".join(words), max(1, len(words) - length + 1), xxhash.xxh64_intdigest
+    ends = ends[min(length, len(words)) - 1:]
     del words
-    counts = np.zeros(64, np.int64)
     for i in range(0, n, TOGETHER):
         j = min(n, i + TOGETHER)
-        hashes = np.array([digest(text[a:b], SEED) for a, b in zip(begins[i:j].tolist(), ends[i:j].tolist())], np.uint64)
+        yield np.array([digest(text[a:b], SEED) for a, b in zip(begins[i:j].tolist(), ends[i:j].tolist())], np.uint64)
+
+
+def fingerprint(data: bytes) -> int:
+    """The signed 64-bit SimHash of a text's bytes."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(data):
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
 
 
@@ -201,7 +207,11 @@ def near_duplicates(docs):
 
 def keep_one(docs):
     """One document of each component, the one with the smallest doc_id, with all its columns."""
-    found = stored(near_duplicates(docs), "near-duplicates")
+    return keep_first(docs, stored(near_duplicates(docs), "near-duplicates"))
+
+
+def keep_first(docs, found):
+    """The document with the smallest doc_id of each ``root`` in ``found (doc_id, text_hash, root)``."""
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
     rows = found.groupBy("doc_id", "text_hash", "root").agg(F.count("*").alias("__rows"))
     chosen = first.join(rows, (first["root"] == rows["root"]) & first["first.doc_id"].eqNullSafe(rows["doc_id"])
