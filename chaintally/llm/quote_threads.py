@@ -1,10 +1,12 @@
 """Conversations rebuilt from quotations, in built-in functions only.
 
 Messages carry quoted lines marked by `>` once per level. Every line is parsed into its level
-and its normalised text; a message's own lines are level 0. Level-1 lines are hashed and joined
-to the own lines of earlier messages of the conversation: each finds the latest earlier message
-that wrote it, and the message that most lines point to (the later of equals) is what a message
-replies to. Reply links give every message its thread and depth by doubling steps, so deep
+and its normalised text; a message's own lines are level 0. Quoted lines of every level are hashed
+and joined to the own lines of earlier messages of the conversation: each finds the latest earlier
+message that wrote it. The message that most lines of level 1 point to (the later of equals) is
+what a message replies to; if no line of level 1 is linked, the shallowest deeper level with a
+linked line decides. ``n_quoted`` and ``n_linked`` count level 1, ``n_nested`` and
+``n_nested_linked`` the deeper levels. Reply links give every message its thread and depth by doubling steps, so deep
 threads take few rounds, and the quotes are cut from the text.
 
 The latest earlier author of a line is found in blocks of turns: within a block by a window,
@@ -45,26 +47,30 @@ def body(text="text"):
 
 def quoted(messages):
     """Quoted lines with ``found``, the latest earlier turn of the conversation that wrote the line itself."""
-    known = lines(messages).filter(F.col("key").isNotNull() & F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & (F.col("level") <= 1))
-    per_turn = known.groupBy("conv_id", "key", "turn").agg(
-        F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).alias("n_quoted"), F.max(F.col("level") == 0).alias("own"))
+    known = lines(messages).filter(F.col("key").isNotNull() & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    # a line's own writing and its quotations at each level are rows of their own
+    per_turn = known.groupBy("conv_id", "key", "turn", "level").agg(F.count("*").alias("n_quoted")).withColumn("own", F.col("level") == 0)
     wanted = stored(per_turn.withColumn("block", F.floor(F.col("turn") / BLOCK)), "quoted-lines")
-    before = Window.partitionBy("conv_id", "key", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id", "key", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     inside = wanted.withColumn("found", F.max(F.when(F.col("own"), F.col("turn"))).over(before))
     blocks = wanted.groupBy("conv_id", "key", "block").agg(F.max(F.when(F.col("own"), F.col("turn"))).alias("last"))
     earlier = Window.partitionBy("conv_id", "key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.select("conv_id", "key", "block", F.max("last").over(earlier).alias("carried")).filter("carried IS NOT NULL")
-    return inside.filter("n_quoted > 0").join(carried, ["conv_id", "key", "block"], "left").select(
-        "conv_id", "turn", "n_quoted", F.coalesce("found", "carried").alias("found"))
+    return inside.filter("level > 0").join(carried, ["conv_id", "key", "block"], "left").select(
+        "conv_id", "turn", "level", "n_quoted", F.coalesce("found", "carried").alias("found"))
 
 
 def replies(messages):
-    """conv_id, turn, n_quoted, n_linked, reply_to for every message that quotes something."""
-    votes = quoted(messages).groupBy("conv_id", "turn", "found").agg(F.sum("n_quoted").alias("n"))
-    found = F.col("found").isNotNull()
+    """conv_id, turn, n_quoted, n_linked, n_nested, n_nested_linked, reply_to for every message that quotes something."""
+    votes = quoted(messages).groupBy("conv_id", "turn", "level", "found").agg(F.sum("n_quoted").alias("n"))
+    found, first = F.col("found").isNotNull(), F.col("level") == 1
+
+    def total(rows):
+        return F.sum(F.when(rows, F.col("n")).otherwise(0))
+
     return votes.groupBy("conv_id", "turn").agg(
-        F.sum("n").alias("n_quoted"), F.sum(F.when(found, F.col("n")).otherwise(0)).alias("n_linked"),
-        F.max(F.when(found, F.struct("n", "found")))["found"].alias("reply_to"))
+        total(first).alias("n_quoted"), total(first & found).alias("n_linked"), total(~first).alias("n_nested"), total(~first & found).alias("n_nested_linked"),
+        F.max(F.when(found, F.struct((-F.col("level")).alias("near"), "n", "found")))["found"].alias("reply_to"))
 
 
 def threads(links, most_rounds=64):
@@ -86,20 +92,20 @@ def threads(links, most_rounds=64):
 
 
 def conversations(messages):
-    """``messages`` with body, reply_to, thread, depth, n_quoted and n_linked.
+    """``messages`` with body, reply_to, thread, depth, n_quoted, n_linked, n_nested and n_nested_linked.
 
     (conv_id, thread, depth, turn) is the order of replies.
     """
     links = stored(replies(messages), "replies")
     linked = links.join(threads(links), ["conv_id", "turn"], "left")
-    names = ("reply_to", "thread", "depth", "n_quoted", "n_linked")
+    names = ("reply_to", "thread", "depth", "n_quoted", "n_linked", "n_nested", "n_nested_linked")
     linked = linked.select(F.col("conv_id").alias("__conv"), F.col("turn").alias("__turn"), *[F.col(c).alias(f"__{c}") for c in names])
     own = messages.withColumn("body", body())
     joined = own.join(linked, (own["conv_id"] == F.col("__conv")) & (own["turn"] == F.col("__turn")), "left")
     zero = F.lit(0).cast("bigint")
     return joined.withColumns({
         "reply_to": F.col("__reply_to"), "thread": F.coalesce("__thread", "turn"), "depth": F.coalesce("__depth", zero),
-        "n_quoted": F.coalesce("__n_quoted", zero), "n_linked": F.coalesce("__n_linked", zero),
+        **{c: F.coalesce(f"__{c}", zero) for c in names[3:]},
     }).drop("__conv", "__turn", *[f"__{c}" for c in names])
 
 

@@ -25,6 +25,16 @@ def test_nested_quotes(spark):
     assert found[1, 2]["body"] == "Good." and found[1, 4]["body"] == "Nothing linked."
 
 
+def test_every_level_is_linked_and_counted(spark):
+    rows = [(1, 0, "a", "Hello there.\nHow are you?"), (1, 1, "b", "Fine."), (1, 2, "c", "> Fine.\n>> Hello there.\n>> Lost words.\n>>> How are you?\nGood."),
+            (1, 3, "a", ">> Hello there.\nDeeper quotes only."), (1, 4, "b", "> Trimmed.\n>>> Hello there.\n>>> How are you?\n>> Good.\nLevel two is nearer."),
+            (1, 5, "b", "> Hello there.\n>> Hello there.\nHello there."), (2, 2, "a", ">> Hello there.\nOther conversation.")]
+    found = {(r["conv_id"], r["turn"]): r for r in qt.conversations(messages(spark, rows)).collect()}
+    assert {k: (r["reply_to"], r["depth"], r["n_quoted"], r["n_linked"], r["n_nested"], r["n_nested_linked"]) for k, r in found.items()} == {
+        (1, 0): (None, 0, 0, 0, 0, 0), (1, 1): (None, 0, 0, 0, 0, 0), (1, 2): (1, 1, 1, 1, 3, 2), (1, 3): (0, 1, 0, 0, 1, 1), (1, 4): (2, 2, 1, 0, 3, 3),
+        (1, 5): (0, 1, 1, 1, 1, 1), (2, 2): (None, 0, 0, 0, 1, 0)}
+
+
 def test_deep_threads_and_block_borders(spark):
     n = 3 * qt.BLOCK // 2
     rows = [(1, t, "a", (f"> line {t - 1}\n" if t else "") + f"line {t}") for t in range(0, n, 97)]
