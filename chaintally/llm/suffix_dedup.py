@@ -5,7 +5,8 @@ smaller doc_id. Every window of ``SPAN`` bytes is keyed by its anchor, the least
 ``GRAM``-byte strings inside it, so equal windows have equal keys wherever they stand. Runs of
 neighbouring windows with one key form a region, and the work goes in four steps:
 
-1. Texts are dealt to shards by content. Each shard's distinct keys are counted across shards.
+1. Texts are dealt to shards by content, copies within a task folded before they are dealt, so a
+   text reaches its shard at most once per batch of rows, however many copies it has. Each shard's distinct keys are counted across shards.
 2. Per shard, equal texts fold into one. Regions whose key occurs in another text or shard are
    kept, equal regions fold into the one of the smallest doc_id, and the rest go on by key.
 3. Regions of a key meet in one task, in blocks of bounded size. A block is sorted as a suffix
@@ -13,7 +14,8 @@ neighbouring windows with one key form a region, and the work goes in four steps
    method gives the common prefixes, walking all regions in step, and runs of at least
    ``SPAN`` common bytes give each window its smallest document. A key with more regions than a
    block is cut into several suffix arrays, merged by binary search in sorted windows.
-4. The removals found return to the shards of the texts and are applied.
+4. The removals found return to the shards of the texts and are applied once per text. Documents
+   get the result of their text by a join on its hash, in which a text of many copies can be split.
 
 Hashes only choose what is compared: equality of windows is decided by bytes. A key found in
 more than ``HOT`` documents is dealt by its single windows, so no task gathers more of one key
@@ -142,14 +144,17 @@ def unpack(table):
 
 
 def pack(shards):
-    """Texts to rows (shard, TEXTS, ids, hashes, lengths, bytes), compressed."""
+    """Texts to rows (shard, TEXTS, ids, hashes, lengths, bytes), compressed; a copy only goes out under a smaller id."""
     def run(batches):
+        given = {}
         for batch in batches:
-            if not len(batch):
-                continue
             ids = batch["doc_id"].fill_null(LAST).to_numpy(zero_copy_only=False)
             hashes = batch["hash"].to_numpy(zero_copy_only=False)
-            texts = batch["data"].to_pylist()
+            keep = [k for k in distinct(ids, hashes) if hashes[k] not in given or ids[k] < given[hashes[k]]]
+            if not keep:
+                continue
+            ids, hashes, texts = ids[keep], hashes[keep], batch["data"].take(pa.array(keep)).to_pylist()
+            given.update(zip(hashes.tolist(), ids.tolist()))
             shard = hashes.view(np.uint64) % np.uint64(shards)
             order = np.argsort(shard, kind="stable")
             found = []
@@ -231,7 +236,7 @@ def removed_row(shard, texts, first, last):
     return (int(shard), REMOVED, squeeze(texts[order].astype(np.int64)), squeeze(first[order].astype(np.int64)), squeeze(last[order].astype(np.int64)), b"")
 
 
-def distinct(ids, hashes, texts):
+def distinct(ids, hashes):
     """Numbers of the rows that stand for their text, the one with the smallest id."""
     best = {}
     for k, h in enumerate(hashes.tolist()):
@@ -249,7 +254,7 @@ def local(shards):
         shard = found[0]["dest"]
         of = [r for r in found if r["kind"] == TEXTS]
         ids, hashes, texts = unpack(of)
-        keep = distinct(ids, hashes, texts)
+        keep = distinct(ids, hashes)
         ids, hashes, texts = ids[keep].tolist(), hashes[keep], [texts[k] for k in keep]
         shared = [r for r in found if r["kind"] == SHARED]
         known = np.sort(np.concatenate([expand(r["a"], np.uint64) for r in shared])) if shared else np.empty(0, np.uint64)
@@ -493,37 +498,33 @@ def compare(block):
     return run
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
+OUT = pa.schema([("hash", pa.int64()), ("least", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
                  ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
 def apply_removals(with_bytes):
-    """One shard's texts and removals to its result rows."""
+    """One shard's texts and removals to a row for each text, as its smallest document keeps it."""
     def run(table):
         found = table.to_pylist()
         of = [r for r in found if r["kind"] == TEXTS]
         if not of:
             return pa.Table.from_pylist([], OUT)
         ids, hashes, texts = unpack(of)
-        standing = {int(hashes[k]): int(ids[k]) for k in distinct(ids, hashes, texts)}
+        keep = distinct(ids, hashes)
         gone = [r for r in found if r["kind"] == REMOVED]
         text, first, last = (np.concatenate([np.empty(0, np.int64), *[expand(r[c], np.int64) for r in gone]]) for c in "abc")
         order = np.lexsort((first, text))
         text, first, last = text[order], first[order], last[order]
         out = []
-        for doc, h, data in zip(ids.tolist(), hashes.tolist(), texts):
-            n = len(data)
-            if doc > standing[h]:
-                a, z = (np.array([0]), np.array([n])) if n >= SPAN else (first[:0], last[:0])
-            else:
-                x, y = np.searchsorted(text, h), np.searchsorted(text, h, side="right")
-                a, z = runs(first[x:y], last[x:y])
+        for doc, h, data in zip(ids[keep].tolist(), hashes[keep].tolist(), [texts[k] for k in keep]):
+            x, y = np.searchsorted(text, h), np.searchsorted(text, h, side="right")
+            a, z = runs(first[x:y], last[x:y])
             kept, at = [], 0
             for p, q in zip(a.tolist(), z.tolist()):
                 kept.append(data[at:p])
                 at = q
             rest = b"".join([*kept, data[at:]])
-            out.append((None if doc == LAST else doc, n, n - len(rest), len(a), hashlib.sha256(rest).hexdigest(), rest if with_bytes else None))
+            out.append((h, doc, len(data), len(data) - len(rest), len(a), hashlib.sha256(rest).hexdigest(), rest if with_bytes else None))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), OUT)], schema=OUT)
     return run
 
@@ -540,8 +541,15 @@ def deduplicate(docs, with_bytes=True, hot=HOT, block=BLOCK, shard_bytes=SHARD,
     texts = source.mapInArrow(pack(shards), DDL)
     shared = meet(source.mapInArrow(count_keys(shards), DDL), share_keys(hot))
     removals = meet(meet(texts.unionByName(shared), local(shards)), compare(block))
-    out = meet(texts.unionByName(removals), apply_removals(with_bytes),
-               "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    of = meet(texts.unionByName(removals), apply_removals(with_bytes),
+              "hash bigint, least bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    # of the documents of one text, those after the smallest lose all of it, if it fills a window
+    copy = (F.coalesce("doc_id", F.lit(LAST)) > F.col("least")) & (F.col("n_bytes") >= SPAN)
+    out = source.select("doc_id", "hash").join(of, "hash").select(
+        "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(copy, F.lit(1).cast("bigint")).otherwise(F.col("n_spans")).alias("n_spans"),
+        F.when(copy, F.lit(hashlib.sha256().hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+        F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept"))
     return out if with_bytes else out.drop("kept")
 
 

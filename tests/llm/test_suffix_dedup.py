@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chaintally.llm import suffix_dedup as sd
@@ -92,3 +93,16 @@ def test_slices_and_wide_runs(monkeypatch):
     monkeypatch.setattr(sd, "TOGETHER", 700)
     monkeypatch.setattr(sd, "WIDTH", 3)
     assert windows() == whole and len(whole) == sum(max(0, len(t) - sd.SPAN + 1) for t in texts)
+
+
+def test_copies_fold_before_they_are_dealt(spark):
+    schema = pa.schema([("doc_id", pa.int64()), ("data", pa.binary()), ("hash", pa.int64())])
+    batches = [pa.RecordBatch.from_pylist([{"doc_id": i, "data": b"copy" * 30, "hash": 7} for i in range(x, x + 500)], schema) for x in (900, 200, 5000)]
+    found = [r for batch in sd.pack(4)(iter(batches)) for r in batch.to_pylist()]
+    ids, hashes, texts = sd.unpack(found)
+    assert ids.tolist() == [900, 200] and len(texts) == 2
+    docs = [(i, "the same text for all of these documents " * 3) for i in range(300)] + [(i, "short") for i in range(300, 330)] + [(None, "short")]
+    docs += [(-5, "the same text for all of these documents and others"), (0, docs[0][1])]
+    random.Random(8).shuffle(docs)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert table(sd.deduplicate(frame)) == brute(docs)
