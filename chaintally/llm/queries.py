@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chaintally.llm import contamination, crf_quality, fixity, language_id, pieces, quote_threads, rule_ledger, secret_ledger, simhash, suffix_dedup
+from chaintally.llm import contamination, crf_quality, filter_audit, fixity, language_id, pieces, quote_threads, rule_ledger, secret_ledger, simhash, suffix_dedup
 from chaintally.llm.common import read
 
 
@@ -46,6 +46,10 @@ def op10_decontamination(spark, root):
     return contamination.digest(read(spark, root, "documents"), read(spark, root, "benchmark"))
 
 
+def op11_filter_audit(spark, root):
+    return filter_audit.digest(read(spark, root, "documents"), read(spark, root, "labels"))
+
+
 def vocabulary_path(name="piece_bpe_32k.model"):
     import public_tokenizers
 
@@ -54,6 +58,7 @@ def vocabulary_path(name="piece_bpe_32k.model"):
 
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_fixity, op3_secrets, op4_sentencepiece, op5_simhash, op6_conversations, op7_quality_rules, op8_suffix_arrays, op9_language, op10_decontamination,
+    op11_filter_audit,
 )}
 
 ORACLE_SQL = {
@@ -61,4 +66,5 @@ ORACLE_SQL = {
     "op6_conversations": quote_threads.SQL,
     "op7_quality_rules": rule_ledger.SQL,
     "op10_decontamination": contamination.SQL,
+    "op11_filter_audit": filter_audit.SQL,
 }
