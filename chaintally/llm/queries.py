@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chaintally.llm import contamination, crf_quality, filter_audit, fixity, language_id, line_ledger, pieces, quote_threads, rule_ledger, secret_ledger, simhash, suffix_dedup
+from chaintally.llm import contamination, crf_quality, filter_audit, fixity, language_id, line_ledger, phrase_mining, pieces, quote_threads, rule_ledger, secret_ledger, simhash, suffix_dedup
 from chaintally.llm.common import read
 
 
@@ -50,6 +50,10 @@ def op11_filter_audit(spark, root):
     return filter_audit.digest(read(spark, root, "documents"), read(spark, root, "labels"))
 
 
+def op12_phrase_mining(spark, root):
+    return phrase_mining.digest(read(spark, root, "documents"))
+
+
 def op13_line_ledger(spark, root):
     return line_ledger.digest(read(spark, root, "documents"))
 
@@ -62,7 +66,7 @@ def vocabulary_path(name="piece_bpe_32k.model"):
 
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_fixity, op3_secrets, op4_sentencepiece, op5_simhash, op6_conversations, op7_quality_rules, op8_suffix_arrays, op9_language, op10_decontamination,
-    op11_filter_audit, op13_line_ledger,
+    op11_filter_audit, op12_phrase_mining, op13_line_ledger,
 )}
 
 ORACLE_SQL = {
@@ -71,5 +75,6 @@ ORACLE_SQL = {
     "op7_quality_rules": rule_ledger.SQL,
     "op10_decontamination": contamination.SQL,
     "op11_filter_audit": filter_audit.SQL,
+    "op12_phrase_mining": phrase_mining.SQL,
     "op13_line_ledger": line_ledger.SQL,
 }
