@@ -98,7 +98,7 @@ def test_one_long_text_is_mined_in_bounded_shards(monkeypatch):
     assert len(found) > 5 and max(s.total for s, _ in found) < 130_000
     total = Counter()
     for shard, _ in found:
-        for columns, n in pm.grow(np.concatenate(shard.runs["en"]), shard.lead.get("en", 0), len(shard.numbers), lambda c, _: np.ones(len(c[0]), bool)):
+        for columns, n in pm.grow(np.concatenate(shard.runs.get("en", [np.zeros(1, np.int32)])), shard.lead.get("en", 0), len(shard.numbers), lambda c, _: np.ones(len(c[0]), bool)):
             known = list(shard.numbers)
             total.update({tuple(known[c[i]] for c in columns): int(n[i]) for i in range(len(n))})
     w = text.split()
