@@ -4,8 +4,8 @@ Each stage works on all rows that the one before it has kept and is written as P
 shared folder before the next one reads it, so that a lost executor costs a re-read of files.
 
 * quality: documents that score below the acceptance threshold go, among them empty ones.
-* near_duplicates: of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest
-  doc_id stays.
+* near_duplicates: of each group of near copies (SimHash over three-word shingles, 3 bits) the document with the
+  smallest doc_id stays.
 * decontamination: documents that share a window of words with a benchmark item go.
 * secrets: every secret in a text is replaced by a mask, and n_chars is counted anew.
 * tokens: the texts become piece ids.
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chaintally.llm import contamination, crf_quality, near_copies, pieces, secret_ledger, simhash
+from chaintally.llm import contamination, crf_quality, pieces, secret_ledger, simhash
 from chaintally.llm.common import read
 from chaintally.llm.queries import vocabulary_path
 from chaintally.session import stored
@@ -28,14 +28,9 @@ def quality(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One of each group by the rule of op5 (three words, 3 bits); the stage takes ``similar_documents``."""
     return simhash.keep_one(docs).select(*COLUMNS)
 
 
-def similar_documents(spark, docs, sf_dir):
-    return near_copies.keep_one(docs).select(*COLUMNS)
-
-
 def decontamination(spark, docs, sf_dir):
     return contamination.remove_documents(docs, read(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
@@ -50,7 +45,7 @@ def tokens(spark, docs, sf_dir):
         "doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
 
 
-STAGES = [("quality", quality), ("near_duplicates", similar_documents), ("decontamination", decontamination),
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
           ("secrets", secrets), ("tokens", tokens)]
 
 #: The quality score, the fingerprints and the merges have no SQL form; tests hold the stages against brute force.
