@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, Window as W
 
+from chaintally.functions import wide
 from chaintally.operators.spines import fill_days
 
 PERIODS = {"day": lambda c: c, "week": lambda c: F.trunc(c, "week"),
@@ -117,7 +118,7 @@ def transitions_from_active(active, as_of, measure="balance"):
 
 def new_holders(balance, period="day", out="new_cnt", measure="balance", first_time_only=False):
     """Addresses that hold in a period and did not in the one before (T31), dense form."""
-    holding = F.sum(F.when(F.col(measure) > 0, 1).otherwise(0))
+    holding = F.sum(F.when(wide.of(balance, measure).above_zero(measure), 1).otherwise(0))
     per = (balance.groupBy(PERIODS[period](F.col("date")).alias(period), "address")
            .agg(holding.alias("days")))
     w = W.partitionBy("address").orderBy(period)
@@ -140,7 +141,7 @@ def new_holders_from_active(active, as_of, period="day", out="new_cnt", measure=
     """
     start = PERIODS[period](F.col("date"))
     stop = PERIODS[period](F.coalesce(F.date_sub("next_date", 1), as_of))
-    spans = (active.filter(F.col(measure) > 0)
+    spans = (active.filter(wide.of(active, measure).above_zero(measure))
              .select("address", "date", start.alias(period), stop.alias("_until")))
     reached = F.lag("_until").over(W.partitionBy("address").orderBy("date"))
     fresh = reached.isNull()

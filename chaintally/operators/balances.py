@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F, Window as W
 
+from chaintally.functions import wide
 from chaintally.operators.ranking import top_ranks
 from chaintally.operators.spines import fill_days
 
@@ -27,10 +28,15 @@ def active_balances(net, keys=("address",), measures=("net_amount",), out=None):
     before = w.rowsBetween(W.unboundedPreceding, -1)
     cols = []
     for m in measures:
-        cols += [F.sum(F.coalesce(m, F.lit(0))).over(upto).alias(out[m]),
-                 F.coalesce(F.sum(F.coalesce(m, F.lit(0))).over(before), F.lit(0))
-                 .alias(f"prev_{out[m]}")]
-    return net.select("date", *keys, *cols, F.lead("date").over(w).alias("next_date"))
+        number = wide.of(net, m)
+        cols += [number.total(number.or_zero(m), upto).alias(out[m]),
+                 number.total(number.or_zero(m), before).alias(f"prev_{out[m]}")]
+    active = net.select("date", *keys, *cols, F.lead("date").over(w).alias("next_date"))
+    for m in measures:
+        number = wide.of(net, m)
+        active = number.settled(active, out[m], f"prev_{out[m]}")
+        active = active.withColumn(f"prev_{out[m]}", number.or_zero(f"prev_{out[m]}"))
+    return active
 
 
 def balance_spans(net, start, as_of, keys=("address",), measure="net_amount", out="balance"):
@@ -71,8 +77,12 @@ def running_balance(net, start, as_of, keys=("address",), measures=("net_amount"
     shown = F.col("_day") >= F.col("date")
     if gaps == "sparse":
         shown, before_first = F.col("_day") == F.col("date"), None
+
+    def opening_of(n):
+        return wide.of(spread, n).zero if before_first == 0 else F.lit(before_first)
+
     return spread.select(F.col("_day").alias("date"), *keys, *[
-        F.when(shown, F.col(n)).otherwise(F.lit(before_first)).alias(n) for n in names])
+        F.when(shown, F.col(n)).otherwise(opening_of(n)).alias(n) for n in names])
 
 
 def top_balances(net, start, as_of, n, key="address", measure="net_amount", out="balance",
@@ -97,8 +107,10 @@ def top_balances(net, start, as_of, n, key="address", measure="net_amount", out=
 
         return spans.withColumn("_block", F.explode(F.sequence(number(F.col("lo")), number(F.col("hi")))))
 
-    reach = net.groupBy(key).agg(
-        F.sum(measure).alias("_now"), F.sum(F.greatest(measure, F.lit(0))).alias("_received"))
+    number = wide.of(net, measure)
+    reach = number.settled(net.groupBy(key).agg(
+        number.total(measure).alias("_now"),
+        number.total(F.greatest(F.col(measure), number.zero)).alias("_received")), "_now", "_received")
     lead = reduce(lambda x, y: x.union(y), [
         reach.orderBy(F.col(c).desc_nulls_last(), key).limit(max(leaders, n)).select(key)
         for c in ("_now", "_received")]).distinct()
@@ -109,7 +121,7 @@ def top_balances(net, start, as_of, n, key="address", measure="net_amount", out=
               .agg(F.min("_low").alias("_floor"), F.count(F.lit(1)).alias("_keys"))
               .filter(F.col("_keys") == n).select("_block", "_floor"))
     # One row per block of the calendar.
-    held = balance_spans(net, start, as_of, (key,), measure, out).filter(F.col(out) > 0)
+    held = balance_spans(net, start, as_of, (key,), measure, out).filter(number.above_zero(out))
     near = by_block(held).join(
         F.broadcast(floors), "_block", "left").filter(
         F.col("_floor").isNull() | (F.col(out) >= F.col("_floor")))
@@ -120,12 +132,13 @@ def top_balances(net, start, as_of, n, key="address", measure="net_amount", out=
 
 def sign_counts(net, as_of, key="address", measure="net_amount"):
     """Number of keys above (``_above``) and below zero (``_below``) per day, from active days only."""
-    def step(sign):
-        now, before = (F.col("balance") * sign > 0).cast("long"), (F.col("prev_balance") * sign > 0).cast("long")
-        return now - before
+    number = wide.of(net, measure)
+
+    def step(side):
+        return side("balance").cast("long") - side("prev_balance").cast("long")
 
     changes = active_balances(net, (key,), (measure,)).select(
-        "date", step(1).alias("_above"), step(-1).alias("_below"))
+        "date", step(number.above_zero).alias("_above"), step(number.below_zero).alias("_below"))
     return daily_totals(changes, as_of, ["_above", "_below"])
 
 
@@ -134,7 +147,7 @@ def lowest_balances(net, start, as_of, days, n, key="address", measure="net_amou
 
     On those days fewer than ``n`` keys stand at zero or above; ranks follow theirs.
     """
-    debts = balance_spans(net, start, as_of, (key,), measure, out).filter(F.col(out) < 0)
+    debts = balance_spans(net, start, as_of, (key,), measure, out).filter(wide.of(net, measure).below_zero(out))
     # one list with at most one entry per calendar day
     poor = days.agg(F.collect_list(F.struct("date", "_nonnegative")).alias("d")).scalar()
     mine = F.filter("_poor", lambda d: d["date"].between(F.col("lo"), F.col("hi")))
@@ -151,20 +164,21 @@ def daily_totals(changes, as_of, measures, null_if_never=()):
     is ordered in one task has one row per calendar day. Measures in ``null_if_never`` are
     NULL throughout when no row ever contributed to them, and zero until the first one did.
     """
-    per_day = changes.groupBy("date").agg(*[F.sum(m).alias(m) for m in measures])
+    numbers = {m: wide.of(changes, m) for m in measures}
+    per_day = changes.groupBy("date").agg(*[numbers[m].total(m).alias(m) for m in measures])
+    per_day = reduce(lambda df, m: numbers[m].settled(df, m), measures, per_day)
     w = W.orderBy("date")
     upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     ever = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
 
-    def total(m):
-        value = F.sum(m).over(upto)
-        if m in null_if_never:
-            value = F.when(F.count(m).over(ever) > 0, F.coalesce(value, F.lit(0)))
-        return value.alias(m)
-
-    return fill_days(per_day.select("date", *[total(m) for m in measures]), as_of, carry=measures)
+    totals = per_day.select("date", *[numbers[m].total(m, upto).alias(m) for m in measures], *[
+        (F.count(m).over(ever) > 0).alias(f"_ever_{m}") for m in null_if_never])
+    totals = reduce(lambda df, m: numbers[m].settled(df, m), measures, totals).withColumns({
+        m: F.when(F.col(f"_ever_{m}"), numbers[m].or_zero(m)) for m in null_if_never})
+    return fill_days(totals, as_of, carry=measures)
 
 
 def current_totals(flows, keys=("address",), amount="transfer_amount", out="balance"):
     """Latest balance per key: the plain sum of its flows, no calendar needed."""
-    return flows.groupBy(*keys).agg(F.sum(amount).alias(out))
+    number = wide.of(flows, amount)
+    return number.settled(flows.groupBy(*keys).agg(number.total(amount).alias(out)), out)

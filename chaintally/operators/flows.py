@@ -95,15 +95,16 @@ def signed_flows(transfers, amount, keys=(), pre_aggregate=True, label=False,
 
     One pass over the transfers: both legs come from an array, so the source is read once.
     """
+    number = wide.of(transfers, amount)
     legs = F.array(
         F.struct(F.col(to_col).alias("address"), F.lit("buy").alias("transfer_type"),
                  F.col(amount).alias("transfer_amount")),
         F.struct(F.col(from_col).alias("address"), F.lit("sell").alias("transfer_type"),
-                 (-F.col(amount)).alias("transfer_amount")))
+                 number.negative(amount).alias("transfer_amount")))
     flows = transfers.select("date", *keys, F.inline(legs))
     if pre_aggregate:
-        flows = (flows.groupBy("date", *keys, "address", "transfer_type")
-                 .agg(F.sum("transfer_amount").alias("transfer_amount")))
+        flows = number.settled(flows.groupBy("date", *keys, "address", "transfer_type").agg(
+            number.total("transfer_amount").alias("transfer_amount")), "transfer_amount")
     return flows if label else flows.drop("transfer_type")
 
 
@@ -122,7 +123,8 @@ def net_flows(flows, keys=("date", "address"), amount="transfer_amount", out="ne
     Grouping includes the day, and partial sums are taken before the shuffle, so an address
     that takes part in a third of all transfers becomes at most one row per day and task.
     """
-    return flows.groupBy(*keys).agg(F.sum(amount).alias(out))
+    number = wide.of(flows, amount)
+    return number.settled(flows.groupBy(*keys).agg(number.total(amount).alias(out)), out)
 
 
 def in_out_by_date(transfers, measures, keys=(), out_only=()):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, Window as W
 
+from chaintally.functions import wide
 from chaintally.functions.columns import as_col, ratio
 from chaintally.operators.flows import fits_broadcast
 from chaintally.session import materialise
@@ -38,9 +39,10 @@ def topn_with_others(df, measure, part="date", key="address", n=10, out=None):
     the rest is the part's total less its top, so no part is ever gathered in one task.
     Ties go to the smaller key. NULL measures rank last and count as missing.
     """
-    totals = df.groupBy(part).agg(
-        F.count(F.lit(1)).alias("_rows"), F.sum(measure).alias("_all"),
-        F.count(measure).alias("_filled"))
+    number = wide.of(df, measure)
+    totals = number.settled(df.groupBy(part).agg(
+        F.count(F.lit(1)).alias("_rows"), number.total(measure).alias("_all"),
+        F.count(measure).alias("_filled")), "_all")
     return label_tops(top_ranks(df, measure, part, key, n), totals, F.col("_rows"), measure, part,
                       n, None, out)
 
@@ -54,17 +56,19 @@ def label_tops(top, totals, population, measure, part="date", n=10, fill=None, o
     the sum ``_all`` and the number ``_filled`` of rows that carry a value; ``fill`` is what
     a row without one is worth.
     """
+    number = wide.of(top, measure)
     tops = top.groupBy(part).agg(
         F.map_from_entries(F.collect_list(F.struct("rank", measure))).alias("_values"),
-        F.sum(measure).alias("_top"))
+        number.total(measure).alias("_top"))
     slots = F.least(population, F.lit(n + 1)).cast("int")
     frame = totals.join(tops, part, "left").withColumn(
         "rank", F.explode(F.when(slots > 0, F.sequence(F.lit(1), slots))))
-    rest = F.when(F.col("_filled") > n, F.col("_all") - F.col("_top"))
+    frame = number.settled(frame.withColumn("_rest", number.minus("_all", "_top")), "_rest")
+    rest = F.when(F.col("_filled") > n, F.col("_rest"))
     named = F.col("rank") <= n
     value = F.when(named, F.try_element_at("_values", "rank")).otherwise(rest)
     if fill is not None:
-        value = F.coalesce(value, F.lit(fill))
+        value = F.coalesce(value, number.zero if fill == 0 else F.lit(fill))
     return frame.select(part, F.when(named, topn_labels(n)("rank")).otherwise("(Others)")
                         .alias("top10"), value.alias(out or measure))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, Window as W
 
 from chaintally.constants import CONFIDENCE_Z, DEAD_ADDRESS, SINK_ADDRESSES, ZERO_ADDRESS
+from chaintally.functions import wide
 from chaintally.functions.columns import as_col, not_sink, ratio, zero_if_null
 
 
@@ -15,17 +16,16 @@ def avg_purchase_price(flows, close, decimals):
     the price join small. Days without a price count tokens but no value.
     """
     unit = F.pow(F.lit(10.0), as_col(decimals))
-    buys = F.col("transfer_type") == "buy"
-    daily = (flows.groupBy("date", "address")
-             .agg(F.sum("transfer_amount").alias("net"),
-                  F.sum(F.when(buys, F.col("transfer_amount"))).alias("bought")))
+    buys, number = F.col("transfer_type") == "buy", wide.of(flows, "transfer_amount")
+    daily = number.settled(flows.groupBy("date", "address").agg(
+        number.total("transfer_amount").alias("net"),
+        number.total(F.when(buys, F.col("transfer_amount"))).alias("bought")), "net", "bought")
     valued = daily.join(close.select("date", "close_price"), "date", "left")
-    return (valued.groupBy("address")
-            .agg(F.sum("net").alias("_net"), F.sum("bought").alias("_bought"),
-                 F.sum(F.col("bought").cast("double") / unit * F.col("close_price")).alias("_paid"))
-            .select("address", (F.col("_net").cast("double") / unit).alias("balance_token"),
-                    F.try_divide(F.col("_paid"), F.col("_bought").cast("double") / unit)
-                    .alias("avg_purchase_price_usd")))
+    per = number.settled(valued.groupBy("address").agg(
+        number.total("net").alias("_net"), number.total("bought").alias("_bought"),
+        F.sum(number.double("bought") / unit * F.col("close_price")).alias("_paid")), "_net", "_bought")
+    return per.select("address", (number.double("_net") / unit).alias("balance_token"),
+                      F.try_divide(F.col("_paid"), number.double("_bought") / unit).alias("avg_purchase_price_usd"))
 
 
 #: Sizes to a piece of the holdings distribution.
@@ -116,11 +116,11 @@ def current_balance(holders, totals, plus, minus, on="address", out="balance", p
     and an address with very many events arrives as a single row.
     """
     joined = holders.join(totals, on, "left")
-    value = zero_if_null(plus)
+    number = wide.of(joined, plus)
+    joined = joined.withColumn(out, number.or_zero(plus))
     for m in minus:
-        value = value - zero_if_null(m)
-    joined = joined.withColumn(out, value)
-    return joined.filter(F.col(out) > 0) if positive else joined
+        joined = number.settled(joined.withColumn(out, number.minus(out, number.or_zero(m))), out)
+    return joined.filter(number.above_zero(out)) if positive else joined
 
 
 def supply_mint_burn(balance, measure="balance", keys=("date",)):
@@ -128,12 +128,14 @@ def supply_mint_burn(balance, measure="balance", keys=("date",)):
 
     The zero address runs negative as it mints, so mint is positive and burn negative.
     """
-    b = F.coalesce(F.col(measure), F.lit(0))
-    address = F.col("address")
-    return balance.groupBy(*keys).agg(
-        F.sum(F.when(not_sink(address, SINK_ADDRESSES), b)).alias("total_supply"),
-        (F.sum(F.when(address == ZERO_ADDRESS, b)) * -1).alias("total_mint"),
-        (F.sum(F.when(address == DEAD_ADDRESS, b)) * -1).alias("total_burn"))
+    number = wide.of(balance, measure)
+    b, address = number.or_zero(measure), F.col("address")
+    split = number.settled(balance.groupBy(*keys).agg(
+        number.total(F.when(not_sink(address, SINK_ADDRESSES), b)).alias("total_supply"),
+        number.total(F.when(address == ZERO_ADDRESS, number.negative(b))).alias("total_mint"),
+        number.total(F.when(address == DEAD_ADDRESS, number.negative(b))).alias("total_burn")),
+        "total_supply", "total_mint", "total_burn")
+    return split
 
 
 def contract_profile(contracts, transfers, address):

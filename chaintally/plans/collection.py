@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chaintally.constants import (
     ADDRESS_PAGE, HHI_LINES, NFT_PAGE, SINK_ADDRESSES, WEI_DECIMALS, ZERO_ADDRESS)
+from chaintally.functions import wide
 from chaintally.functions.columns import explorer_link, not_sink, ratio, scaled
 from chaintally.operators import activity, balances, flows, prices, ranking, spines, stats
 from chaintally.plans.token import native_totals
@@ -61,15 +62,15 @@ def _latest_quote(src, contract, symbol):
 
 def cohort_token_class(src, collection, token, scale=WEI_DECIMALS, symbol=None):
     """Wealth bands of the collection's holders by how much of ``token`` they own."""
-    rows = src.table("erc20_transfers").filter(
-        (F.col("contract_address") == token) & (F.col("value") > 0))
+    moved = wide.amounts(src.table("erc20_transfers").filter(F.col("contract_address") == token).select(
+        F.to_date("evt_block_time").alias("date"), F.col("from").alias("from_address"),
+        F.col("to").alias("to_address"), "value"), "value")
     people = materialise(collection_holders(src, collection))
+    number = wide.of(moved, "value")
     legs = flows.narrow_to(flows.signed_flows(
-        rows.select(F.to_date("evt_block_time").alias("date"), F.col("from").alias("from_address"),
-                    F.col("to").alias("to_address"), F.col("value").cast("decimal(38,0)").alias("value")),
-        "value", pre_aggregate=False), "address", people)
+        moved.filter(number.above_zero("value")), "value", pre_aggregate=False), "address", people)
     owned = stats.current_balance(people, balances.current_totals(legs, out="raw"), "raw", [])
-    valued = owned.withColumn("token_balance", F.round(scaled("balance", scale), 8)).withColumn(
+    valued = owned.withColumn("token_balance", F.round(number.units("balance", scale), 8)).withColumn(
         "token_balance_usd", F.col("token_balance") * _latest_quote(src, token, symbol))
     bands = ranking.percentile_class(
         valued, "token_balance", "token_balance_usd",

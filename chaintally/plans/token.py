@@ -56,12 +56,8 @@ def ledger(src, token):
 
 
 def _amounts(src, token):
-    """The ledger with amounts to calculate with; one of over 38 digits raises, none is rounded.
-
-    Reports by day and rank of a single token use it. Holders and portfolios, where tokens of
-    absurd amounts occur, sum amounts of any width.
-    """
-    return ledger(src, token).withColumn("raw", F.col("raw").cast("decimal(38,0)"))
+    """The ledger with exact amounts to calculate with: decimals, or limbs where the ledger holds text."""
+    return wide.amounts(ledger(src, token))
 
 
 def _legs(src, token, label=False):
@@ -91,7 +87,7 @@ def _close(src, token):
 def _in_units(df, src, token, columns, keep):
     """Name the token and turn raw columns into token units."""
     named = _named(df, src, token)
-    return named.select(*keep, *[scaled(raw, "decimals").alias(out) for raw, out in columns.items()])
+    return named.select(*keep, *[wide.of(df, raw).units(raw, "decimals").alias(out) for raw, out in columns.items()])
 
 
 # --- ledger layers -----------------------------------------------------------------------
@@ -109,12 +105,13 @@ def trades(src, token):
 
 def balance(src, token, gaps="carry"):
     """Balance of every address on every day (R3). The one report whose size is the grid."""
-    named = _named(_raw_balance(src, token, gaps), src, token)
+    grid = _raw_balance(src, token, gaps)
+    named, number = _named(grid, src, token), wide.of(grid, "balance")
     filled = F.col("balance").isNotNull()
     return named.select(
         "date", F.when(filled, F.col("token_ca")).alias("token_ca"),
         F.when(filled, F.col("token_symbol")).alias("token_symbol"), "address",
-        scaled("balance", "decimals").alias("balance_token"))
+        number.units("balance", "decimals").alias("balance_token"))
 
 
 def price_daily(src, token):
@@ -149,7 +146,7 @@ def supply_mint_burn(src, token, gaps="carry"):
         return named.select(
             "date", F.when(F.col("_known"), F.col("token_ca")).alias("token_ca"),
             F.when(F.col("_known"), F.col("token_symbol")).alias("token_symbol"), *[
-                scaled(m, "decimals").alias(m) for m in ("total_supply", "total_mint", "total_burn")])
+                wide.of(split, m).units(m, "decimals").alias(m) for m in ("total_supply", "total_mint", "total_burn")])
     measures = ("total_supply", "total_mint", "total_burn")
     return _in_units(_supply_raw(src, token), src, token, {m: m for m in measures},
                      ["date", "token_ca", "token_symbol"])
@@ -249,14 +246,15 @@ def other_coins_erc20(src, token, other):
         & F.col("from").isNotNull() & F.col("to").isNotNull())
     who = materialise(holders(src, token).select("address"))
     legs = flows.narrow_to(flows.signed_flows(
-        rows.select(F.to_date("evt_block_time").alias("date"), F.col("from").alias("from_address"),
-                    F.col("to").alias("to_address"), F.col("value").cast("decimal(38,0)").alias("value")),
+        wide.amounts(rows.select(F.to_date("evt_block_time").alias("date"), F.col("from").alias("from_address"),
+                                 F.col("to").alias("to_address"), "value"), "value"),
         "value", pre_aggregate=False), "address", who)
     decimals = _token_row(src, other).agg(F.max("decimals").alias("d")).scalar()
     ticks = src.table("prices_usd").filter(F.col("contract_address") == other)
     price = prices.latest_price(ticks, by=()).select("last_price").scalar()
-    owned = who.join(balances.current_totals(legs), "address", "left").withColumn(
-        "balance", zero_if_null(scaled("balance", decimals)))
+    totals = balances.current_totals(legs)
+    owned = who.join(totals, "address", "left").withColumn(
+        "balance", zero_if_null(wide.of(totals, "balance").units("balance", decimals)))
     placed = ranking.cumulative_position(
         owned, [ranking.ascending("balance"), ranking.ascending("address")])
     return placed.select(
@@ -291,12 +289,13 @@ def avg_purchase_price(src, token):
 def current_holders(src, token, gaps="carry"):
     """Number of holders per day; days without any are left out."""
     active = flows.exclude_addresses(_active(src, token))
+    holds = wide.of(active, "balance").above_zero
     if gaps == "sparse":
-        counts = (active.filter(F.col("balance") > 0).groupBy("date")
+        counts = (active.filter(holds("balance")).groupBy("date")
                   .agg(F.count("address").alias("holders_cnt")))
     else:
-        moves = active.select("date", ((F.col("balance") > 0).cast("long")
-                                       - (F.col("prev_balance") > 0).cast("long")).alias("holders_cnt"))
+        moves = active.select("date", (holds("balance").cast("long")
+                                       - holds("prev_balance").cast("long")).alias("holders_cnt"))
         counts = balances.daily_totals(moves, src.today, ["holders_cnt"]).filter("holders_cnt > 0")
     return counts.orderBy("date")
 
@@ -351,14 +350,16 @@ def _sender_tops(src, token, measure, value, n, fill):
     """
     legs = flows.signed_flows(
         _amounts(src, token), "raw", keys=("tx_hash",), pre_aggregate=False, label=True)
-    sent = F.col("transfer_type") == "sell"
-    amount = F.when(sent, F.col("tx_hash") if value == "count" else -F.col("transfer_amount"))
-    total = F.count(amount) if value == "count" else F.sum(amount)
-    per = materialise(legs.groupBy("date", "address").agg(
-        total.alias(measure), F.count(F.when(sent, 1)).alias("_sent")))
+    sent, number = F.col("transfer_type") == "sell", wide.of(legs, "transfer_amount")
+    amount = F.when(sent, F.col("tx_hash") if value == "count" else number.negative("transfer_amount"))
+    total = F.count(amount) if value == "count" else number.total(amount)
+    per = legs.groupBy("date", "address").agg(total.alias(measure), F.count(F.when(sent, 1)).alias("_sent"))
+    number = wide.of(per, measure)
+    per = materialise(number.settled(per, measure))
     own = not_sink("address") & (F.col("_sent") > 0)
-    days = per.groupBy("date").agg(F.sum(F.when(own, F.col(measure))).alias("_all"),
-                                   F.count(F.when(own, F.col(measure))).alias("_filled"))
+    days = number.settled(per.groupBy("date").agg(
+        number.total(F.when(own, F.col(measure))).alias("_all"),
+        F.count(F.when(own, F.col(measure))).alias("_filled")), "_all")
     days = spines.fill_days(days, src.today, on_day=["_all", "_filled"], absent={"_filled": 0})
     top = ranking.top_ranks(per.filter(own), measure, n=n)
     return ranking.label_tops(top, days, _population(per), measure, n=n, fill=fill)
@@ -394,7 +395,7 @@ def wealth_gap_balance(src, token, gaps="carry", n=10):
         owners, first = flows.exclude_addresses(net), spines.first_day(net)
         near = balances.top_balances(owners, first, src.today, n)
         # Days on which only sinks moved still belong to the calendar.
-        own = F.when(not_sink("address"), F.col("net_amount")).otherwise(0)
+        own = F.when(not_sink("address"), F.col("net_amount")).otherwise(wide.of(net, "net_amount").zero)
         days = balances.daily_totals(
             net.select("date", own.alias("_all")), src.today, ["_all"]).withColumn("_filled", people)
         above = ranking.top_ranks(near, "balance", n=n).select("date", "address", "balance", "rank")
@@ -491,8 +492,10 @@ def price_with_ma(src, token, exact=False):
 
 def volume(src, token):
     """Transactions and volume per day, valued at the close."""
-    daily = _amounts(src, token).groupBy("date").agg(
-        F.count_distinct("tx_hash").alias("txs_cnt"), F.sum("raw").alias("raw_volume"))
+    moved = _amounts(src, token)
+    number = wide.of(moved, "raw")
+    daily = number.settled(moved.groupBy("date").agg(
+        F.count_distinct("tx_hash").alias("txs_cnt"), number.total("raw").alias("raw_volume")), "raw_volume")
     daily = spines.fill_days(daily, src.today, on_day=["txs_cnt", "raw_volume"],
                              absent={"txs_cnt": 0})
     daily = _in_units(daily, src, token, {"raw_volume": "volume_token"}, ["date", "txs_cnt"])

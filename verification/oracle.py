@@ -679,11 +679,39 @@ ct AS (SELECT p.address, coalesce(CAST(raw AS DOUBLE) / 100, 0) AS b,
         f"""SELECT * REPLACE (lpad(CAST("tokenId" AS VARCHAR), 78, '9') AS "tokenId") FROM ({oracle['r34_account_transfers_erc721']})""")
     oracle["a13_holders_from_layer"] = oracle["r05_holders"]
     oracle["a14_volume_from_layer"] = oracle["r30_volume"]
+    oracle["r20_wealth_gap_balance_poor"] = q(EV, TOP_BAL, "SELECT * FROM top")
+    for name, columns in WIDE.items():
+        oracle[f"{name}_wide"] = rounded(oracle[name], columns)
+    del oracle["r20_wealth_gap_balance_poor"]
+    oracle["r40_cohort_token_class_wide"] = rounded(
+        oracle["r40_cohort_token_class_click"], ("token_balance_usd_min", "token_balance_usd_max"))
     for name in ("r08_overlap_eth", "r15_other_coins_eth", "r42_cohort_eth_class"):
         oracle[f"{name}_earlier"] = earlier(oracle[name])
     return oracle
 
 
+#: Reports that are also asked over wide amounts, and their columns of doubles.
+WIDE = {
+    "r03_balance": ("balance_token",),
+    "r06_supply_mint_burn": ("total_supply", "total_mint", "total_burn"),
+    "r06_supply_mint_burn_sparse": ("total_supply", "total_mint", "total_burn"),
+    "r10_avg_purchase_price": ("balance_token", "avg_purchase_price_usd"),
+    "r11_current_holders": (), "r12_new_holders_daily": (),
+    "r16_other_coins_erc20": ("balance_token", "balance_usd"), "r18_wealth_gap_txs": (),
+    "r20_wealth_gap_balance": ("balance_token",), "r20_wealth_gap_balance_poor": ("balance_token",),
+    "r22_wealth_gap_volume": ("tx_volume_token",), "r28_marketcap": ("marketcap",),
+    "r30_volume": ("volume_token", "volume_usd"),
+}
+
+
+def rounded(statement, columns, places=6):
+    """The statement with its doubles rounded; an amount n (10^36 + 10^18) of 36 more decimals is n but for the last digit."""
+    if not columns:
+        return statement
+    replaced = ", ".join(f"round({c}, {places}) AS {c}" for c in columns)
+    return f"SELECT * REPLACE ({replaced}) FROM ({statement})"
+
+
 def earlier(statement):
     """The statement over the events up to 15 January 2024; users keep their numbers."""
     cut = "WHERE ts < TIMESTAMP '2024-01-16 00:00:00'"

@@ -339,6 +339,33 @@ def a01_wide_amounts(spark, root):
     return rounded(token.overlap_erc20(src, TOKEN).select("address", "contract_address", "balance_token"), balance_token=6)
 
 
+def _wide(src):
+    """The sources with amounts of 33 to 45 digits in text: every amount n becomes n (10^36 + 10^18), in tokens of 36 more digits.
+
+    The two copies of n lie in two limbs, and sums of the lower ones carry.
+    """
+    rows = src.table("erc20_transfers")
+    n = F.col("value").cast("string")
+    rows = rows.withColumn("value", F.when(F.col("value") == 0, "0").otherwise(F.concat(n, F.lpad(n, 18, "0"), F.lit("0" * 18))))
+    info = src.table("tokens_erc20").withColumn("decimals", F.col("decimals") + 36)
+    return Sources({**src.tables, "erc20_transfers": rows, "tokens_erc20": info}, src.as_of)
+
+
+def wide_event(report, *columns, funded=False, **kw):
+    """A report over wide amounts; the last digits of its doubles are rounded away."""
+    def run(spark, root):
+        df = report(_wide(_events(spark, root, funded)), TOKEN, **kw)
+        return rounded(df, **dict.fromkeys(columns, 6))
+
+    return run
+
+
+def _wide_cohort(spark, root):
+    bands = ("token_balance_usd_min", "token_balance_usd_max")
+    df = collection.cohort_token_class(_wide(_mixed(spark, root)), COLLECTION, TOKEN, 38)
+    return rounded(df, **dict.fromkeys(bands, 6))
+
+
 def a02_wide_ids(spark, root):
     """R34 over item ids of 78 digits."""
     src = _orders(spark, root)
@@ -418,7 +445,23 @@ def all_queries():
         "r03_balance_orders": order(token.balance),
         "r03_balance_sparse": event(token.balance, gaps="sparse"),
         "r04_price_daily": event(token.price_daily),
+        "r03_balance_wide": wide_event(token.balance, "balance_token"),
         "r05_holders": event(token.holders, funded=True),
+        "r06_supply_mint_burn_wide": wide_event(token.supply_mint_burn, "total_supply", "total_mint", "total_burn", funded=True),
+        "r06_supply_mint_burn_sparse_wide": wide_event(
+            token.supply_mint_burn, "total_supply", "total_mint", "total_burn", gaps="sparse"),
+        "r10_avg_purchase_price_wide": wide_event(token.avg_purchase_price, "balance_token", "avg_purchase_price_usd"),
+        "r11_current_holders_wide": wide_event(token.current_holders),
+        "r12_new_holders_daily_wide": wide_event(token.new_holders_daily),
+        "r16_other_coins_erc20_wide": wide_event(
+            partial(token.other_coins_erc20, other=OTHER_TOKEN), "balance_token", "balance_usd"),
+        "r18_wealth_gap_txs_wide": wide_event(token.wealth_gap_txs),
+        "r20_wealth_gap_balance_wide": wide_event(token.wealth_gap_balance, "balance_token", funded=True),
+        "r20_wealth_gap_balance_poor_wide": wide_event(token.wealth_gap_balance, "balance_token"),
+        "r22_wealth_gap_volume_wide": wide_event(token.wealth_gap_volume, "tx_volume_token"),
+        "r28_marketcap_wide": wide_event(token.marketcap, "marketcap", funded=True),
+        "r30_volume_wide": wide_event(token.volume, "volume_token", "volume_usd"),
+        "r40_cohort_token_class_wide": _wide_cohort,
         "r06_supply_mint_burn": event(token.supply_mint_burn, funded=True),
         "r06_supply_mint_burn_sparse": event(token.supply_mint_burn, gaps="sparse"),
         "r07_overlap_erc20": event(token.overlap_erc20),
