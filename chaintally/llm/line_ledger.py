@@ -281,8 +281,9 @@ class LineLedger:
 
     def clean(self, docs):
         """``docs`` with the frequent lines out of ``text``, and n_lines (before), n_dropped."""
-        bad = self.matches(stored(occurrences(docs), "line-keys")).groupBy("t1", "t2").agg(
-            F.collect_set(F.struct("k1", "k2")).alias("bad"))
+        # stored, so that the copies of a text can be split where they meet its one row
+        bad = stored(self.matches(stored(occurrences(docs), "line-keys")).groupBy("t1", "t2").agg(
+            F.collect_set(F.struct("k1", "k2")).alias("bad")), "line-drops")
 
         def make():
             def drop(row):
