@@ -85,6 +85,9 @@ class Plain:
     def minus(self, a, b):
         return as_col(a) - as_col(b)
 
+    def plus(self, a, b):
+        return as_col(a) + as_col(b)
+
     def above_zero(self, c):
         return as_col(c) > self.zero
 
@@ -126,6 +129,9 @@ class Limbs(Plain):
     def minus(self, a, b):
         return F.struct(*[(as_col(a)[n] - as_col(b)[n]).cast(_KIND).alias(n) for n in reversed(LIMBS)])
 
+    def plus(self, a, b):
+        return F.struct(*[(as_col(a)[n] + as_col(b)[n]).cast(_KIND).alias(n) for n in reversed(LIMBS)])
+
     def double(self, c):
         return as_double(*[as_col(c)[n] for n in LIMBS])
 
@@ -138,6 +144,12 @@ def of(df, column):
     return Limbs() if isinstance(df.schema[column].dataType, T.StructType) else Plain()
 
 
+def gathered(df, column):
+    """``df`` with its three columns of summed limbs as one settled ``column``."""
+    whole = df.withColumn(column, F.struct(*reversed(LIMBS)))
+    return Limbs().settled(whole, column).drop(*LIMBS)
+
+
 def amounts(df, column="raw"):
     """``df`` with an amount to calculate with: numbers as decimals, text, which may be wider, as limbs."""
     if not isinstance(df.schema[column].dataType, T.StringType):

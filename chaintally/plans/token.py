@@ -14,6 +14,7 @@ from chaintally.functions import wide
 from chaintally.functions.columns import not_sink, scaled, zero_if_null
 from chaintally.operators import activity, balances, flows, prices, ranking, spines, stats
 from chaintally.session import materialise
+from chaintally.sources.layers import LayerStore
 
 
 # --- shared pieces -----------------------------------------------------------------------
@@ -39,9 +40,10 @@ def ledger(src, token):
     """Valid transfers of a registered token, in raw units: the layer to store for its reports.
 
     ``write_layer(ledger(src, token), path)`` stores it, and a ``Sources`` with it under
-    ``layers["ledger", token]`` gives it to every report of that token.
+    ``layers["ledger", token]`` gives it to every report of that token. With a ``LayerStore`` the
+    reports share its net flows instead, which are far smaller.
     """
-    stored = src.layers.get(("ledger", token))
+    stored = src.layers.get(("ledger", token)) if isinstance(src.layers, dict) else None
     if stored is not None:
         return stored.filter(F.col("date") <= src.today).select(
             "datetime", "date", "tx_hash", "token_ca", "from_address", "to_address", "raw")
@@ -64,13 +66,40 @@ def _legs(src, token, label=False):
     return flows.signed_flows(_amounts(src, token), "raw", pre_aggregate=False, label=label)
 
 
+_LEDGER = ("erc20_transfers", "tokens_erc20")
+
+
+def net_flows(src, token):
+    """Net flows per day and address: the view that balances, holders and supply are made of."""
+    stored = _stored_net(src, token)
+    return flows.net_flows(_legs(src, token)) if stored is None else stored
+
+
+def _stored_net(src, token):
+    found = src.view("net_flows", token, _LEDGER, lambda: flows.net_flows(_legs(src, token)))
+    return None if found is None else found.filter(F.col("date") <= src.today)
+
+
+def _moves(src, token):
+    """Rows whose amounts sum to the flows: the stored net flows, or the legs of the ledger."""
+    stored = _stored_net(src, token)
+    return _legs(src, token) if stored is None else stored.withColumnRenamed("net_amount", "transfer_amount")
+
+
+def _days(src, token):
+    """Rows that span the days of the token's ledger."""
+    stored = _stored_net(src, token)
+    return ledger(src, token) if stored is None else stored
+
+
 def _active(src, token):
-    return balances.active_balances(flows.net_flows(_legs(src, token)))
+    return balances.active_balances(net_flows(src, token))
 
 
 def _net(src, token):
     """Net flows per day and address, written once for reports that use them repeatedly."""
-    return materialise(flows.net_flows(_legs(src, token)))
+    stored = _stored_net(src, token)
+    return materialise(net_flows(src, token)) if stored is None else stored
 
 
 def _raw_balance(src, token, gaps="carry"):
@@ -80,8 +109,12 @@ def _raw_balance(src, token, gaps="carry"):
 
 def _close(src, token):
     """Daily close of one token: one row per calendar day."""
-    ticks = src.table("prices_usd").filter(F.col("contract_address") == token)
-    return prices.daily_close(ticks, labels=("symbol",))
+    def build():
+        ticks = src.table("prices_usd").filter(F.col("contract_address") == token)
+        return prices.daily_close(ticks, labels=("symbol",))
+
+    stored = src.view("price_daily", token, ("prices_usd",), build)
+    return build() if stored is None else stored.filter(F.col("date") <= src.today)
 
 
 def _in_units(df, src, token, columns, keep):
@@ -114,22 +147,64 @@ def balance(src, token, gaps="carry"):
         number.units("balance", "decimals").alias("balance_token"))
 
 
+def store_balances(src, token, store):
+    """Extend a ``BalanceStore`` of the token to ``as_of``, reading only events of days that it lacks."""
+    def legs(since):
+        rows = ledger(src, token)
+        if since is not None:  # on the time itself, so that the cut reaches the scan
+            rows = rows.filter(F.col("datetime") >= F.lit(since))
+        return flows.signed_flows(wide.amounts(rows), "raw", pre_aggregate=False)
+
+    return store.append(legs, src.as_of)
+
+
+def _shown(df, src, token, *keys):
+    number = wide.of(df, "balance")
+    return _named(df, src, token).select(
+        *keys, "token_ca", "token_symbol", "address", number.units("balance", "decimals").alias("balance_token"))
+
+
+def balance_from_store(src, token, store):
+    """R3 up to ``as_of`` from stored intervals, without the ledger."""
+    return _shown(store.daily(src.as_of), src, token, "date")
+
+
+def balance_on_day(src, token, day, store):
+    """Balance of every address on one day (R3 of that day) from stored intervals; no other day is expanded."""
+    return _shown(store.on_day(day), src, token).withColumn("date", F.lit(day).cast("date"))
+
+
 def price_daily(src, token):
     """Closing price of each day of the token's life."""
     close = _close(src, token).select(
         "date", F.col("contract_address").alias("token_ca"), F.col("symbol").alias("token_symbol"),
         "close_price")
-    days = spines.date_spine(ledger(src, token), "date", src.today)
+    days = spines.date_spine(_days(src, token), "date", src.today)
     return days.join(F.broadcast(close), "date", "left")
 
 
 def holders(src, token):
     """Who owns the token now (R5): the sum of each address's flows, no calendar."""
-    totals = flows.signed_limbs(ledger(src, token), "raw").groupBy("address").agg(
-        *[F.sum(n).alias(n) for n in wide.LIMBS])
-    owned = flows.exclude_addresses(totals.filter(wide.is_positive(*wide.LIMBS)))
+    owned = _owned(src, token)
     return _named(owned, src, token).select(
-        "token_ca", "token_symbol", "address", wide.as_units(*wide.LIMBS, "decimals").alias("balance_token"))
+        "token_ca", "token_symbol", "address", wide.of(owned, "balance").units("balance", "decimals").alias("balance_token"))
+
+
+def _owned(src, token):
+    """Positive balances of today; with a store, the view ``holders``."""
+    def build():
+        stored = _stored_net(src, token)
+        if stored is None:
+            totals = flows.signed_limbs(ledger(src, token), "raw").groupBy("address").agg(
+                *[F.sum(n).alias(n) for n in wide.LIMBS])
+            totals = wide.gathered(totals, "balance")
+        else:
+            totals = balances.current_totals(stored, amount="net_amount")
+        return flows.exclude_addresses(totals.filter(wide.of(totals, "balance").above_zero("balance")))
+
+    if not isinstance(src.layers, LayerStore):
+        return build()
+    return src.view("holders", token, _LEDGER, build)
 
 
 def supply_mint_burn(src, token, gaps="carry"):
@@ -154,7 +229,7 @@ def supply_mint_burn(src, token, gaps="carry"):
 
 def _supply_raw(src, token):
     measures = ("total_supply", "total_mint", "total_burn")
-    per_day = stats.supply_mint_burn(_legs(src, token), "transfer_amount")
+    per_day = stats.supply_mint_burn(_moves(src, token), "transfer_amount")
     return balances.daily_totals(per_day, src.today, measures, null_if_never=measures)
 
 
@@ -448,7 +523,7 @@ def dex_pairs_by_symbol(src, token):
 
 def _on_calendar(src, token, daily):
     """Every day of the token's life, also those without a trade (counts are then zero)."""
-    days = spines.date_spine(ledger(src, token), "date", src.today)
+    days = spines.date_spine(_days(src, token), "date", src.today)
     joined = days.join(daily, "date", "left")
     return joined.select(*[zero_if_null(c).alias(c) if "_cnt_" in c else F.col(c)
                            for c in joined.columns]).orderBy("date")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from chaintally import schemas
 from chaintally.functions.columns import hex_address
+from chaintally.sources.layers import LayerStore
 
 
 def normalise(df, name):
@@ -62,8 +63,8 @@ class Sources:
     tables: dict
     as_of: dt.date
     chain: str = "ethereum"
-    #: Stored layers that reports read in place of the raw events, by (layer, contract).
-    layers: dict = field(default_factory=dict)
+    #: Stored layers that reports read in place of the raw events: frames by (layer, contract), or a LayerStore.
+    layers: dict | LayerStore = field(default_factory=dict)
     _seen: dict = field(default_factory=dict, repr=False)
 
     @classmethod
@@ -88,6 +89,12 @@ class Sources:
             self._seen[name] = df
         return self._seen[name]
 
+    def view(self, name, contract, tables, build):
+        """A stored view of a contract, written by ``build()`` if a store lacks it; None where no layer holds it."""
+        if isinstance(self.layers, LayerStore):
+            return self.layers.resolve(self, name, contract, tables, build)
+        return self.layers.get((name, contract))
+
     @property
     def today(self):
         return F.lit(self.as_of).cast("date")

@@ -679,6 +679,14 @@ ct AS (SELECT p.address, coalesce(CAST(raw AS DOUBLE) / 100, 0) AS b,
         f"""SELECT * REPLACE (lpad(CAST("tokenId" AS VARCHAR), 78, '9') AS "tokenId") FROM ({oracle['r34_account_transfers_erc721']})""")
     oracle["a13_holders_from_layer"] = oracle["r05_holders"]
     oracle["a14_volume_from_layer"] = oracle["r30_volume"]
+    for name, report in {
+            "holders": "r05_holders", "supply": "r06_supply_mint_burn", "current_holders": "r11_current_holders",
+            "top_holders": "r17_top_holders_list", "wealth_gap_balance": "r20_wealth_gap_balance",
+            "marketcap": "r28_marketcap", "price_daily": "r04_price_daily"}.items():
+        oracle[f"a13_{name}_from_views"] = oracle[report]
+    oracle["a14_balance_appended"] = oracle["a14_balance_by_days"] = oracle["r03_balance"]
+    oracle["a14_balance_appended_wide"] = rounded(oracle["r03_balance"], ("balance_token",))
+    oracle["r03_on_day"] = f"SELECT * FROM ({oracle['r03_balance']}) WHERE date = DATE '2024-01-10'"
     oracle["r20_wealth_gap_balance_poor"] = q(EV, TOP_BAL, "SELECT * FROM top")
     for name, columns in WIDE.items():
         oracle[f"{name}_wide"] = rounded(oracle[name], columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import uuid
 from functools import partial, reduce
 
@@ -14,7 +15,9 @@ from chaintally.functions.columns import explorer_link, scaled
 from chaintally.operators import activity, balances, flows, prices, ranking, spines, stats
 from chaintally.plans import account, collection, token
 from chaintally.session import shared_folder
+from chaintally.sources.balance_store import BalanceStore
 from chaintally.sources.catalog import write_layer
+from chaintally.sources.layers import LayerStore
 from verification.ledgers import (
     ACCOUNT, COLLECTION, FAMILY, OTHER_TOKEN, TOKEN, Ledgers)
 
@@ -384,6 +387,55 @@ def _from_layer(report, funded):
     return run
 
 
+def _store(spark):
+    return BalanceStore(spark, f"{shared_folder(spark)}/balances-{uuid.uuid4().hex[:12]}")
+
+
+def _appended(spark, root, shape=lambda src: src):
+    """A store of balances up to EARLIER, then extended from sources that lack all days before."""
+    src = shape(_events(spark, root))
+    store = _store(spark)
+    token.store_balances(Sources(src.tables, EARLIER), TOKEN, store)
+    rows = src.table("erc20_transfers").filter(F.col("evt_block_time") >= F.lit(EARLIER + dt.timedelta(days=1)))
+    src = Sources({**src.tables, "erc20_transfers": rows}, src.as_of)
+    token.store_balances(src, TOKEN, store)
+    return src, store
+
+
+def a14_balance_appended(spark, root):
+    src, store = _appended(spark, root)
+    return token.balance_from_store(src, TOKEN, store)
+
+
+def a14_balance_appended_wide(spark, root):
+    src, store = _appended(spark, root, _wide)
+    return rounded(token.balance_from_store(src, TOKEN, store), balance_token=6)
+
+
+def a14_balance_by_days(spark, root):
+    """A store that grows day by day, until its snapshots are folded."""
+    src, store = _events(spark, root), _store(spark)
+    for n in (30, 29, 28, 27, 26, 25, 24, 23, 22, 21, 20, 19, 18, 17, 16, 14, 7, 0):
+        token.store_balances(Sources(src.tables, src.as_of - dt.timedelta(days=n)), TOKEN, store)
+    return token.balance_from_store(src, TOKEN, store)
+
+
+def r03_on_day(spark, root):
+    src, store = _appended(spark, root)
+    return token.balance_on_day(src, TOKEN, dt.date(2024, 1, 10), store)
+
+
+def _from_store(report, funded=True):
+    """Reports that share one stored view of net flows, for all runs of the process over the same tables."""
+    def run(spark, root):
+        src = _events(spark, root, funded)
+        name = hashlib.sha256(root.encode()).hexdigest()[:12]
+        src.layers = LayerStore(spark, f"{shared_folder(spark)}/layers-{name}-{'funded' if funded else 'raw'}")
+        return report(src, TOKEN)
+
+    return run
+
+
 def _r32(spark, root):
     return cents(account.account_transfers_erc1155(_events(spark, root), ACCOUNT), "id", "value")
 
@@ -423,6 +475,18 @@ def all_queries():
         "r15_other_coins_eth_earlier": event(token.other_coins_eth, as_of=EARLIER),
         "r42_cohort_eth_class_earlier": event(
             collection.cohort_eth_class, COLLECTION, TOKEN, "Click", funded=True, as_of=EARLIER),
+        "a13_holders_from_views": _from_store(token.holders),
+        "a13_supply_from_views": _from_store(token.supply_mint_burn),
+        "a13_current_holders_from_views": _from_store(token.current_holders, False),
+        "a13_top_holders_from_views": _from_store(
+            lambda src, t: rounded(token.top_holders_list(src, t), share=9)),
+        "a13_wealth_gap_balance_from_views": _from_store(token.wealth_gap_balance),
+        "a13_marketcap_from_views": _from_store(token.marketcap),
+        "a13_price_daily_from_views": _from_store(token.price_daily, False),
+        "a14_balance_appended": a14_balance_appended,
+        "a14_balance_appended_wide": a14_balance_appended_wide,
+        "a14_balance_by_days": a14_balance_by_days,
+        "r03_on_day": r03_on_day,
         "t01_scale_amount": t01, "t02_token_info": t02, "t03_account_transfers": t03,
         "t04_explode_batch": t04, "t04_explode_batch_cross": partial(t04, pairing="cross"),
         "t05_value_calls": t05, "t06_gas_cost": t06, "t07_signed_flows": t07, "t08_net_flows": t08,
