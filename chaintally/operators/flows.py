@@ -14,6 +14,9 @@ from chaintally.session import materialise
 # A row of an address set or of token metadata takes some 100 bytes, so this many take well
 # under 100 MB on an executor.
 BROADCAST_ROWS = 500_000
+# Bits of the filter that stands in for a larger address set, at most: 2 ** 20 rows of 64 bits are sent around,
+# whatever the set. It lets through every address of the set and, up to 8 million of them, one in eight others.
+FILTER_BITS = 1 << 26
 
 
 def token_info(meta, chain=None):
@@ -110,7 +113,7 @@ def signed_flows(transfers, amount, keys=(), pre_aggregate=True, label=False,
 
 def signed_limbs(transfers, amount, keys=(), from_col="from_address", to_col="to_address"):
     """``signed_flows`` for amounts of any width: one column per limb."""
-    parts = wide.limbs(amount)
+    parts = wide.limbs(amount, transfers.schema[amount].dataType)
     legs = F.array(*[F.struct(F.col(c).alias("address"), *[(sign * x).alias(n) for n, x in parts.items()])
                      for c, sign in ((to_col, F.lit(1)), (from_col, F.lit(-1)))])
     return transfers.select("date", *keys, F.inline(legs)).withColumns(
@@ -162,26 +165,54 @@ def fits_broadcast(df, max_rows=BROADCAST_ROWS):
 def restrict_to(df, column, holders, holder_column="address", max_rows=BROADCAST_ROWS):
     """Keep rows whose ``column`` is in the holder set.
 
-    A counted, small set is broadcast and ``df`` is filtered where it is scanned. A larger
-    one is joined by shuffle, where AQE splits the partitions of very active addresses.
+    A counted, small set is broadcast and ``df`` is filtered where it is scanned. For a larger
+    one the filter of the set goes first, and the rows that pass it are joined by shuffle,
+    where AQE splits the partitions of very active addresses.
     """
     wanted = materialise(holders.select(F.col(holder_column).alias(column)).distinct())
-    if fits_broadcast(wanted, max_rows):
-        wanted = F.broadcast(wanted)
-    return df.join(wanted, column, "left_semi")
+    count = wanted.count()
+    if count <= max_rows:
+        return df.join(F.broadcast(wanted), column, "left_semi")
+    return pass_filter(df, column, address_filter(wanted, column, count)).join(wanted, column, "left_semi")
 
 
 def narrow_to(df, column, holders, max_rows=BROADCAST_ROWS):
-    """Drop rows a later join to ``holders`` would drop anyway, when that costs no shuffle.
+    """Drop rows a later join to ``holders`` would drop anyway, without a shuffle.
 
-    ``holders`` should be materialised, because it is counted here and joined later. With a
-    small set this removes nearly all rows before they are aggregated. With a large
-    one the rows are aggregated first, which folds very active addresses on the map side,
-    and the later join does the restriction. The result of the join is the same.
+    ``holders`` should be materialised, because it is counted here and joined later. A small
+    set is broadcast. Of a larger one only a filter of bounded size is, which is applied in
+    the scan and lets some strangers through; the later join drops those. So the rows that
+    are aggregated are those of the holders, and the filter's errors, at any size of the set.
     """
-    if not fits_broadcast(holders, max_rows):
-        return df
-    return df.join(F.broadcast(holders.select(F.col("address").alias(column))), column, "left_semi")
+    count = holders.count()
+    if count <= max_rows:
+        return df.join(F.broadcast(holders.select(F.col("address").alias(column))), column, "left_semi")
+    return pass_filter(df, column, address_filter(holders, "address", count))
+
+
+def _spot(column, bits):
+    return F.xxhash64(column).bitwiseAND(F.lit(bits - 1))
+
+
+def address_filter(addresses, column, count, most=None):
+    """(word, mask, bits): a bit for the hash of every address, 64 to a row, as a stored table.
+
+    Bits of a word are united on the map side, so the table has at most ``bits / 64`` rows
+    and each task sends at most that many.
+    """
+    bits = max(1 << 10, min(most or FILTER_BITS, 1 << (8 * count).bit_length()))
+    spot = _spot(column, bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))
+    words = addresses.select(F.call_function("shiftright", spot, F.lit(6)).alias("_word"), one.alias("_bit"))
+    return materialise(words.groupBy("_word").agg(F.bit_or("_bit").alias("_mask"))), bits
+
+
+def pass_filter(df, column, table):
+    """Rows whose ``column`` may be in the set of an ``address_filter``."""
+    masks, bits = table
+    marked = df.withColumn("_spot", _spot(column, bits)).withColumn("_word", F.call_function("shiftright", "_spot", F.lit(6)))
+    hit = F.call_function("shiftrightunsigned", F.col("_mask"), F.col("_spot").bitwiseAND(F.lit(63)).cast("int"))
+    return marked.join(F.broadcast(masks), "_word").filter(hit.bitwiseAND(F.lit(1)) == 1).drop("_spot", "_word", "_mask")
 
 
 def orient_trades(trades, token):

@@ -68,7 +68,7 @@ def cohort_token_class(src, collection, token, scale=WEI_DECIMALS, symbol=None):
     people = materialise(collection_holders(src, collection))
     number = wide.of(moved, "value")
     legs = flows.narrow_to(flows.signed_flows(
-        moved.filter(number.above_zero("value")), "value", pre_aggregate=False), "address", people)
+        moved.filter(number.above_zero("value")), "value", pre_aggregate=False), "address", people, src.broadcast_rows)
     owned = stats.current_balance(people, balances.current_totals(legs, out="raw"), "raw", [])
     valued = owned.withColumn("token_balance", F.round(number.units("balance", scale), 8)).withColumn(
         "token_balance_usd", F.col("token_balance") * _latest_quote(src, token, symbol))
@@ -107,7 +107,7 @@ def cohort_nft_overlap(src, collection, family=(), drop_unlabelled=False):
         F.col("contract_address").isNotNull() & ~F.col("contract_address").isin(*own))
     people = materialise(collection_holders(src, collection))
     legs = _item_flows(rows, keys=("contract_address",), label=True)
-    moved = (flows.narrow_to(legs, "address", people)
+    moved = (flows.narrow_to(legs, "address", people, src.broadcast_rows)
              .groupBy("address", "contract_address")
              .agg(F.sum("transfer_amount").alias("items"),
                   F.count(F.when(F.col("transfer_type") == "buy", 1)).alias("received")))

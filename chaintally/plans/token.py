@@ -247,12 +247,14 @@ def overlap_erc20(src, token, drop_unpriced=False):
     rows = src.table("erc20_transfers").filter(
         F.col("evt_tx_hash").isNotNull() & F.col("from").isNotNull() & F.col("to").isNotNull())
     who = materialise(holders(src, token).select("token_ca", "token_symbol", "address"))
-    legs = flows.narrow_to(flows.signed_limbs(
-        rows.select(F.to_date("evt_block_time").alias("date"), "contract_address",
-                    F.col("from").alias("from_address"), F.col("to").alias("to_address"), "value"),
-        "value", keys=("contract_address",)), "address", who)
-    owned = legs.groupBy("contract_address", "address").agg(
-        *[F.sum(n).alias(n) for n in wide.LIMBS]).filter(wide.is_positive(*wide.LIMBS))
+    sides = rows.select("contract_address", "value", F.inline(F.array(
+        F.struct(F.col("to").alias("address"), F.lit(1).alias("_sign")),
+        F.struct(F.col("from").alias("address"), F.lit(-1).alias("_sign")))))
+    legs = flows.narrow_to(sides, "address", who, src.broadcast_rows)  # before any amount is looked at
+    parts = wide.limbs("value", legs.schema["value"].dataType)
+    owned = legs.groupBy("contract_address", "address").agg(*[
+        F.sum(F.when(F.col("_sign") > 0, x).otherwise(-x)).alias(n) for n, x in parts.items()]).filter(
+        wide.is_positive(*wide.LIMBS))
     known = flows.token_info(src.table("tokens_erc20")).select(
         F.col("token_ca").alias("contract_address"), F.col("token_symbol").alias("symbol"), "decimals")
     # Contracts are joined among themselves first, so holdings meet them in a single join.
@@ -286,7 +288,7 @@ def native_totals(src, who=None):
         F.col("gas_wei").alias("wei_gas"))
     events = legs.unionByName(fees)
     if who is not None:
-        events = flows.narrow_to(events, "address", who)
+        events = flows.narrow_to(events, "address", who, src.broadcast_rows)
     return events.groupBy("address").agg(*[F.sum(m).alias(m) for m in ("wei_in", "wei_out", "wei_gas")])
 
 
@@ -323,7 +325,7 @@ def other_coins_erc20(src, token, other):
     legs = flows.narrow_to(flows.signed_flows(
         wide.amounts(rows.select(F.to_date("evt_block_time").alias("date"), F.col("from").alias("from_address"),
                                  F.col("to").alias("to_address"), "value"), "value"),
-        "value", pre_aggregate=False), "address", who)
+        "value", pre_aggregate=False), "address", who, src.broadcast_rows)
     decimals = _token_row(src, other).agg(F.max("decimals").alias("d")).scalar()
     ticks = src.table("prices_usd").filter(F.col("contract_address") == other)
     price = prices.latest_price(ticks, by=()).select("last_price").scalar()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from chaintally import schemas
 from chaintally.functions.columns import hex_address
+from chaintally.operators.flows import BROADCAST_ROWS
 from chaintally.sources.layers import LayerStore
 
 
@@ -65,6 +66,8 @@ class Sources:
     chain: str = "ethereum"
     #: Stored layers that reports read in place of the raw events: frames by (layer, contract), or a LayerStore.
     layers: dict | LayerStore = field(default_factory=dict)
+    #: Address sets up to this many rows are sent to every task, larger ones as a filter of bounded size.
+    broadcast_rows: int = BROADCAST_ROWS
     _seen: dict = field(default_factory=dict, repr=False)
 
     @classmethod

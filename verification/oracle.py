@@ -684,6 +684,9 @@ ct AS (SELECT p.address, coalesce(CAST(raw AS DOUBLE) / 100, 0) AS b,
             "top_holders": "r17_top_holders_list", "wealth_gap_balance": "r20_wealth_gap_balance",
             "marketcap": "r28_marketcap", "price_daily": "r04_price_daily"}.items():
         oracle[f"a13_{name}_from_views"] = oracle[report]
+    for name in ("t39_restrict_to", "r07_overlap_erc20", "r08_overlap_eth", "r15_other_coins_eth", "r16_other_coins_erc20",
+                 "r40_cohort_token_class_click", "r41_cohort_nft_overlap", "r42_cohort_eth_class"):
+        oracle[f"{name}_beyond"] = oracle[name]
     oracle["a14_balance_appended"] = oracle["a14_balance_by_days"] = oracle["r03_balance"]
     oracle["a14_balance_appended_wide"] = rounded(oracle["r03_balance"], ("balance_token",))
     oracle["r03_on_day"] = f"SELECT * FROM ({oracle['r03_balance']}) WHERE date = DATE '2024-01-10'"

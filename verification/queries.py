@@ -475,6 +475,16 @@ def all_queries():
         "r15_other_coins_eth_earlier": event(token.other_coins_eth, as_of=EARLIER),
         "r42_cohort_eth_class_earlier": event(
             collection.cohort_eth_class, COLLECTION, TOKEN, "Click", funded=True, as_of=EARLIER),
+        "t39_restrict_to_beyond": t39_beyond,
+        "r07_overlap_erc20_beyond": beyond(token.overlap_erc20, _events, TOKEN),
+        "r08_overlap_eth_beyond": beyond(token.overlap_eth, _events, TOKEN),
+        "r15_other_coins_eth_beyond": beyond(token.other_coins_eth, _events, TOKEN),
+        "r16_other_coins_erc20_beyond": beyond(token.other_coins_erc20, _events, TOKEN, OTHER_TOKEN),
+        "r40_cohort_token_class_click_beyond": beyond(collection.cohort_token_class, _mixed, COLLECTION, TOKEN, 2),
+        "r41_cohort_nft_overlap_beyond": beyond(
+            collection.cohort_nft_overlap, partial(_events, funded=True), COLLECTION, (FAMILY["second"], FAMILY["third"])),
+        "r42_cohort_eth_class_beyond": beyond(
+            collection.cohort_eth_class, partial(_events, funded=True), COLLECTION, TOKEN, "Click"),
         "a13_holders_from_views": _from_store(token.holders),
         "a13_supply_from_views": _from_store(token.supply_mint_burn),
         "a13_current_holders_from_views": _from_store(token.current_holders, False),
@@ -596,6 +606,22 @@ def _cohort(contract):
     return run
 
 
+def beyond(report, sources, *args, **kw):
+    """A report whose address sets are all above the limit for sending them to every task."""
+    def run(spark, root):
+        src = sources(spark, root)
+        src.broadcast_rows = 0
+        return report(src, *args, **kw)
+
+    return run
+
+
+def t39_beyond(spark, root):
+    src = _events(spark, root)
+    kept = flows.restrict_to(src.table("traces"), "from", token.holders(src, TOKEN), max_rows=0)
+    return kept.select("tx_hash", F.col("value").cast("double").alias("value"))
+
+
 def _mixed(spark, root):
     src = Ledgers(spark, root).event_sources()
     src.tables["erc721_transfers"] = Ledgers(spark, root).items_funded
