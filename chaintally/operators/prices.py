@@ -50,6 +50,34 @@ def attach_usd(df, price, on=("date",), amount="balance_token", out="balance_usd
             .withColumn(out, F.col(amount) * F.col(price_column)).drop(price_column))
 
 
+def attach_as_of(df, ticks, by="contract_address", at="evt_block_time", out="last_price", block=3600):
+    """The latest price of a contract at or before the time ``at`` of each row (T16 by the minute).
+
+    Rows and ticks meet in one sorted stream per contract and block of ``block`` seconds, where
+    the price is the last tick above. What a block starts with is the last tick of any block
+    before, carried by a running value over one row per contract and block; it enters the stream
+    as its first row. So a contract with a third of all rows is spread over the blocks of time.
+    Of two ticks at one time the higher price counts. Rows without a tick before them, a contract or a time get NULL.
+    """
+    def number(column):
+        return F.floor(F.unix_micros(F.col(column).cast("timestamp")) / (block * 1_000_000)).cast("long")
+
+    known = ticks.filter(F.col(by).isNotNull() & F.col("price").isNotNull() & F.col("minute").isNotNull()).select(
+        F.col(by).alias("_by"), number("minute").alias("_block"), F.col("minute").alias("_at"), F.col("price").alias("_price"))
+    events = df.select(F.col(by).alias("_by"), number(at).alias("_block"), F.col(at).alias("_at"), F.struct(*df.columns).alias("_row"))
+    last = known.groupBy("_by", "_block").agg(F.max_by("_price", F.struct("_at", "_price")).alias("_last"))
+    asked = events.select("_by", "_block", F.lit(True).alias("_asked")).distinct()
+    before = W.partitionBy("_by").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    carried = last.join(asked, ["_by", "_block"], "full").withColumn(
+        "_price", F.last("_last", ignorenulls=True).over(before)).filter("_asked AND _price IS NOT NULL")
+    stream = events.withColumn("_kind", F.lit(2)).unionByName(
+        known.withColumn("_kind", F.lit(1)), allowMissingColumns=True).unionByName(
+        carried.select("_by", "_block", "_price", F.lit(0).alias("_kind")), allowMissingColumns=True)
+    above = W.partitionBy("_by", "_block").orderBy(F.col("_at").asc_nulls_first(), "_kind", F.col("_price").asc_nulls_first())
+    priced = stream.withColumn(out, F.last("_price", ignorenulls=True).over(above.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return priced.filter("_kind = 2").select("_row.*", out)
+
+
 def moving_average(df, value, windows, order="date", by=(), exact=False):
     """Trailing means of a day-grain series.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F, Window as W
 from chaintally.functions import wide
 from chaintally.functions.columns import as_col, ratio
 from chaintally.operators.flows import fits_broadcast
-from chaintally.session import materialise
+from chaintally.session import materialise, ordered
 
 
 def latest_per_key(df, keys, order="date"):
@@ -107,9 +107,10 @@ def global_order(df, order):
 
     The range sort samples its bounds, so the result is written to the checkpoint folder
     before anything else reads it: every later use, also after executors are lost, sees the
-    same chunks. Equal values are split between chunks when ``order`` ends in a unique key.
+    same chunks, and in their order. Equal values are split between chunks when ``order`` ends
+    in a unique key.
     """
-    placed = materialise(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
+    placed = ordered(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
     return (placed.withColumn("_chunk", F.shiftrightunsigned("_place", 33))
             .withColumn("_pos", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
             .drop("_place"))
@@ -123,19 +124,43 @@ def _chunk_offsets(ordered, weight):
 
 
 def cumulative_position(df, order, out="address_idx", dist="address_idx_cumulative_dist"):
-    """Row number over everything and its fraction of the row count.
+    """Row number over everything and its fraction of the row count (T25), in that order.
 
-    ``order`` must end in a unique key. Row number = rows in earlier chunks + position.
+    ``order`` must end in a unique key. Row number = rows in earlier chunks + position. The
+    frame is sorted and written once, and the rows come out as they were sorted.
     """
-    ordered = global_order(df, order)
-    offsets = _chunk_offsets(ordered, F.lit(1).cast("long"))
-    total = ordered.agg(F.count(F.lit(1)).alias("n")).scalar()
-    placed = ordered.join(F.broadcast(offsets), "_chunk")
+    rows = global_order(df, order)
+    offsets = _chunk_offsets(rows, F.lit(1).cast("long"))
+    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    placed = rows.join(F.broadcast(offsets), "_chunk")
     return (placed.withColumn(out, F.col("_before") + F.col("_pos"))
             .withColumn(dist, F.col(out).cast("double") / total.cast("double"))
             .select(dist, out, *df.columns))
 
 
+def middle(df, part, value, out="median"):
+    """The median of ``value`` per ``part``: the least value that half of the rows do not exceed.
+
+    Rows fold to one per part and value, and these are ordered over the whole cluster, so a
+    part of any size is spread over as many tasks as it needs. The middle is then found by
+    position: rows of the part in earlier chunks, plus a running count inside the chunk.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(part, value).agg(F.count(F.lit(1)).alias("_n"))
+    rows = global_order(counted, [F.col(part).asc_nulls_first(), F.col(value).asc()])
+    sizes = rows.groupBy(part, "_chunk").agg(F.sum("_n").alias("_w"))
+    by_part = W.partitionBy(part).orderBy("_chunk")
+    # one row per part and chunk: no more than there are parts and chunks together
+    bounds = sizes.select(
+        F.col(part).alias("_part"), "_chunk",
+        F.coalesce(F.sum("_w").over(by_part.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_w").over(W.partitionBy(part)).alias("_all"))
+    upto = W.partitionBy("_chunk", part).orderBy("_pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = rows.withColumn("_upto", F.sum("_n").over(upto)).withColumnRenamed("_chunk", "_at")
+    found = found.join(F.broadcast(bounds), (found["_at"] == bounds["_chunk"]) & found[part].eqNullSafe(bounds["_part"]))
+    place, want = F.col("_before") + F.col("_upto"), F.ceil(F.col("_all") / 2)
+    return found.filter((place >= want) & (place - F.col("_n") < want)).select(part, F.col(value).alias(out))
+
+
 def class_labels(bands=10):
     """'TOP 100%' for the lowest tenth up to 'TOP 10%' for the highest."""
     step = 100 // bands
@@ -153,12 +178,12 @@ def percentile_class(df, measure, value, key="address", bands=10,
     folded = df.groupBy(F.col(measure).alias("_m")).agg(
         F.count(F.lit(1)).alias("_n"), F.count(key).alias("_keys"),
         F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    ordered = global_order(folded, [F.col("_m").asc_nulls_last()])
-    offsets = _chunk_offsets(ordered, F.col("_n"))
+    rows = global_order(folded, [F.col("_m").asc_nulls_last()])
+    offsets = _chunk_offsets(rows, F.col("_n"))
     inside = W.partitionBy("_chunk").orderBy("_pos").rowsBetween(W.unboundedPreceding, -1)
     smaller = F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    total = ordered.agg(F.sum("_n").alias("n")).scalar()
-    ranked = (ordered.join(F.broadcast(offsets), "_chunk")
+    total = rows.agg(F.sum("_n").alias("n")).scalar()
+    ranked = (rows.join(F.broadcast(offsets), "_chunk")
               .withColumn("_smaller", smaller)
               .withColumn("_rank", F.when(total > 1, F.col("_smaller").cast("double")
                                           / (total - 1).cast("double")).otherwise(F.lit(0.0))))

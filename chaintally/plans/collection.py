@@ -236,20 +236,18 @@ def _sales(src, collection):
         & F.col("amount_usd").isNotNull() & not_sink("tx_from") & not_sink("tx_to"))
 
 
-def nft_price_volume(src, collection, median="approx", accuracy=10000, exact_windows=False):
+def nft_price_volume(src, collection, exact_windows=False):
     """Prices and volume per day with trailing means of the lowest price.
 
-    Days without a sale repeat the latest prices. The default median is a mergeable sketch,
-    exact up to ``accuracy`` sales a day; ``exact`` averages the middle two and keeps every
-    distinct price of a day in one task.
+    Days without a sale repeat the latest prices. The median is exact at any number of sales:
+    the least price that half of the day's sales do not exceed.
     """
-    middle = (F.percentile_approx("amount_usd", 0.5, accuracy) if median == "approx"
-              else F.percentile("amount_usd", 0.5))
-    daily = (_sales(src, collection).groupBy(F.to_date("block_date").alias("date"))
-             .agg(F.min("amount_usd").alias("min_price_usd"), middle.alias("median_price_usd"),
-                  F.max("amount_usd").alias("max_price_usd"),
-                  F.count_distinct("tx_hash").alias("tx_count"),
-                  F.sum("amount_usd").alias("tx_volume_usd")))
+    sales = materialise(_sales(src, collection).select(F.to_date("block_date").alias("date"), "amount_usd", "tx_hash"))
+    # one row per calendar day
+    medians = F.broadcast(ranking.middle(sales, "date", "amount_usd", "median_price_usd"))
+    daily = sales.groupBy("date").agg(
+        F.min("amount_usd").alias("min_price_usd"), F.max("amount_usd").alias("max_price_usd"),
+        F.count_distinct("tx_hash").alias("tx_count"), F.sum("amount_usd").alias("tx_volume_usd")).join(medians, "date")
     dense = spines.fill_days(
         daily, src.today, carry=["min_price_usd", "median_price_usd", "max_price_usd"],
         on_day=["tx_count", "tx_volume_usd"], absent={"tx_count": 0})

@@ -313,7 +313,7 @@ def other_coins_eth(src, token):
         scaled("wei_out", WEI_DECIMALS).alias("eth_out"),
         scaled("wei_gas", WEI_DECIMALS).alias("gas_spent"),
         scaled(F.round("wei", 8 - WEI_DECIMALS), WEI_DECIMALS).alias("balance_eth"),
-    ).orderBy("address_idx")
+    )
 
 
 def other_coins_erc20(src, token, other):
@@ -337,7 +337,7 @@ def other_coins_erc20(src, token, other):
     return placed.select(
         "address_idx_cumulative_dist", "address_idx", "address",
         F.round("balance", 8).alias("balance_token"),
-        F.round(zero_if_null(F.col("balance") * price), 2).alias("balance_usd")).orderBy("address_idx")
+        F.round(zero_if_null(F.col("balance") * price), 2).alias("balance_usd"))
 
 
 # --- holders and activity ----------------------------------------------------------------
@@ -360,7 +360,7 @@ def avg_purchase_price(src, token):
     placed = ranking.cumulative_position(
         kept, [ranking.ascending("avg_purchase_price_usd"), ranking.ascending("address")])
     return placed.select("address_idx", "balance_token", "avg_purchase_price_usd",
-                         "address_idx_cumulative_dist").orderBy("address_idx")
+                         "address_idx_cumulative_dist")
 
 
 def current_holders(src, token, gaps="carry"):

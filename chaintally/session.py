@@ -68,6 +68,17 @@ def stored(df, name="table", partition_by=()):
 materialise = stored
 
 
+def ordered(df):
+    """``df``, sorted before, as a checkpoint in the shared folder, whose rows keep their order and partitions.
+
+    A table read back from files has no order; a checkpoint has, so nothing needs to be sorted again.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/checkpoints")
+    return df.checkpoint()
+
+
 def drop_stored(spark):
     """Remove every intermediate table of this process; frames that read them end here."""
     jvm = spark._jvm

@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 import pytest
@@ -121,3 +122,24 @@ def test_average_purchase_price(spark, tiny):
     # Equal transfers of one address on one day are not merged.
     twice = sources(spark, [(at(D[1], i), f"h{i}", B, A, "tok", 5) for i in range(2)])
     assert token.avg_purchase_price(twice, "tok").first().balance_token == 10.0
+
+
+def test_as_of_prices_equal_brute_force(spark):
+    """One contract has most rows, blocks lie empty between ticks, times tie, and some rows lack a time or contract."""
+    rng, start = random.Random(11), dt.datetime(2024, 1, 1)
+
+    def when():
+        return start + dt.timedelta(seconds=rng.randrange(0, 200_000, 50))
+
+    events = [(i, rng.choice(["hot"] * 6 + ["cold", "never", None]), when() if i % 50 else None) for i in range(1500)]
+    ticks = [(when(), rng.choice(["hot", "cold", None]), rng.choice([None, 1.0, 2.0, 3.0, 4.0])) for _ in range(150)]
+    frames = (spark.createDataFrame(events, "id int, contract_address string, evt_block_time timestamp_ntz").repartition(4),
+              spark.createDataFrame(ticks, "minute timestamp_ntz, contract_address string, price double"))
+    want = {}
+    for i, contract, at_ in events:
+        seen = [(m, p) for m, c, p in ticks if c == contract and c and p is not None and at_ and m <= at_]
+        want[i] = max(seen)[1] if seen else None
+    for block in (600, 3600, 10**6):
+        got = prices.attach_as_of(*frames, block=block)
+        assert got.columns == ["id", "contract_address", "evt_block_time", "last_price"]
+        assert {r["id"]: r["last_price"] for r in got.collect()} == want

@@ -135,3 +135,27 @@ def test_wide_gap_between_holding_sizes(spark):
     got = stats.holdings_distribution(df)
     assert got.count() == 3_000_000
     assert day(got.filter("nfts_cnt IN (1, 2, 2999999, 3000000)"), "nfts_cnt", "address_cnt") == [(1, 1), (2, 0), (2999999, 0), (3000000, 1)]
+
+
+def test_the_middle_is_exact_for_days_of_any_size(spark):
+    """One day with two thirds of all rows and few values, days of one row, ties, NULL values."""
+    rng = random.Random(8)
+    rows = [(rng.choice([1] * 8 + [2, 3, 4, 5]), rng.choice([None] + [round(rng.random() * 50) / 2 for _ in range(30)])) for _ in range(6000)]
+    rows += [(6, 1.5), (7, None), (8, 2.0), (8, 1.0), (None, 3.0)]
+    df = spark.createDataFrame(rows, "date int, v double").repartition(7)
+    want = {}
+    for part in {r[0] for r in rows}:
+        found = sorted(v for p, v in rows if p == part and v is not None)
+        if found:
+            want[part] = found[(len(found) + 1) // 2 - 1]
+    assert {r["date"]: r["median"] for r in ranking.middle(df, "date", "v").collect()} == want
+    assert ranking.middle(df.limit(0), "date", "v").count() == 0
+
+
+def test_positions_come_out_in_order_without_a_second_sort(spark):
+    df = spark.range(5000).selectExpr("concat('0x', id * 7919 % 5000) AS address", "id % 3 AS balance").repartition(5)
+    placed = ranking.cumulative_position(df, [ranking.ascending("balance"), ranking.ascending("address")])
+    rows = placed.collect()
+    assert [r["address_idx"] for r in rows] == list(range(1, 5001))
+    assert [(r["balance"], r["address"]) for r in rows] == sorted((r["balance"], r["address"]) for r in rows)
+    assert "rangepartitioning" not in placed._jdf.queryExecution().executedPlan().toString()

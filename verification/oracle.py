@@ -462,6 +462,12 @@ SELECT n.date, n.contract_address, n.address, {units.format('n.v')} AS amount,
   {units.format('n.v')} * c.close_price AS amount_usd
 FROM (SELECT date, contract_address, address, sum(v) AS v FROM lg GROUP BY 1, 2, 3) n
 LEFT JOIN close c ON n.date = c.date AND n.contract_address = c.contract_address"""),
+        "t16_as_of": q("""
+ticks AS (SELECT contract_address, minute, max(price) AS last_price FROM prices_e
+  WHERE extract('minute' FROM minute) % 7 = 0 GROUP BY 1, 2)""", """
+SELECT evt_tx_hash, e.contract_address, evt_block_time, CAST(value AS DOUBLE) / 100 AS amount, last_price,
+  CAST(value AS DOUBLE) / 100 * last_price AS amount_usd
+FROM erc20_e e ASOF LEFT JOIN ticks t ON e.contract_address = t.contract_address AND e.evt_block_time >= t.minute"""),
         "t17_rolling_distinct": q(all_l, f"SELECT d.date{rolling('al', 'to_address', '')} "
                                   f"FROM ({days('al', EVENT_DAY)}) d"),
         "t18_cumulative_distinct": q(all_l, f"""SELECT d.date,

@@ -154,6 +154,14 @@ def t16(spark, root):
                              ("date", "contract_address"), "amount", "amount_usd")
 
 
+def t16_as_of(spark, root):
+    src = _events(spark, root)
+    ticks = src.table("prices_usd").filter("minute(minute) % 7 = 0")
+    rows = _all_transfers(src).select("evt_tx_hash", "contract_address", "evt_block_time", scaled("value", 2).alias("amount"))
+    priced = prices.attach_as_of(rows, ticks)
+    return priced.select("*", (F.col("amount") * F.col("last_price")).alias("amount_usd"))
+
+
 def t17(spark, root):
     src = _events(spark, root)
     return activity.rolling_distinct(_all_transfers(src), {"": "to_address"},
@@ -475,6 +483,7 @@ def all_queries():
         "r15_other_coins_eth_earlier": event(token.other_coins_eth, as_of=EARLIER),
         "r42_cohort_eth_class_earlier": event(
             collection.cohort_eth_class, COLLECTION, TOKEN, "Click", funded=True, as_of=EARLIER),
+        "t16_as_of": t16_as_of,
         "t39_restrict_to_beyond": t39_beyond,
         "r07_overlap_erc20_beyond": beyond(token.overlap_erc20, _events, TOKEN),
         "r08_overlap_eth_beyond": beyond(token.overlap_eth, _events, TOKEN),
