@@ -7,18 +7,23 @@ a segmented minimum finds its best rank, the leftmost disjoint pairs of that ran
 once and the array is compacted, until no word has a pair left. Merging at once equals merging
 one by one unless the new symbol can form a pair of the same or a better rank; such symbols
 are marked when the vocabulary is loaded, and of them only the leftmost pair merges in a round.
+A word of more than ``LONG`` characters (a base64 block, a page without blanks) has rounds of its
+own: its pairs lie in buckets by rank, a round takes the best bucket, merges its leftmost disjoint
+pairs and looks up only the pairs next to a merge, so that work follows merges, not rounds times length.
 
 Encoded words are kept for the rest of the task, up to a fixed number of characters. The
 vocabulary (some megabytes whatever the corpus) is broadcast. Decoding joins the pieces' bytes.
 
 Defined results: NULL is the empty text; the empty text has no ids and decodes to itself;
 characters outside the vocabulary become their UTF-8 bytes; U+2581 reads as a space.
-Result columns replace input columns of the same name, all other columns are kept.
+Very long texts and words are encoded whole. Result columns replace input columns of the same
+name, all other columns are kept.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from array import array
 from collections.abc import Iterator
@@ -38,6 +43,8 @@ WORDS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 KEPT = 20_000_000
 #: Characters of new words that are encoded together.
 TOGETHER = 2_000_000
+#: Characters of a word above which its pairs are kept in buckets.
+LONG = 1024
 SHIFT = np.int64(21)
 
 
@@ -174,6 +181,64 @@ class Vocabulary:
         order = np.argsort(word, kind="stable")
         return symbols[order], np.searchsorted(word[order], np.arange(len(words) + 1))
 
+    def merge_long(self, word):
+        """The final symbols of one long word; the same merges as ``merge``, in the same order of ranks."""
+        symbols = self.symbol[np.frombuffer(word.encode("utf-32-le"), np.uint32)]
+        n = len(symbols)
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n), np.ones(n, bool)  # ``before`` has a place behind the end
+        piece, rank = np.full(n, -1, np.int32), np.full(n, NONE, np.int32)
+        buckets, order = {}, []
+
+        def look_up(left, right):
+            found = self.pairs((left.astype(np.int64) << SHIFT) | right)
+            return found, np.where(found >= 0, self.rank[found], NONE)
+
+        def refresh(at):
+            """Looks up the pairs that start at these places and puts them into their buckets."""
+            rank[at] = NONE
+            at = at[after[at] < n]
+            piece[at], rank[at] = look_up(symbols[at], symbols[after[at]])
+            put(at[rank[at] < NONE])
+
+        def put(at):
+            at = at[np.argsort(rank[at], kind="stable")]
+            ranks = rank[at]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            for r, places in zip(ranks[np.concatenate([[0], cuts])].tolist() if len(at) else (), np.split(at, cuts)):
+                if r not in buckets:
+                    buckets[r] = []
+                    heapq.heappush(order, r)
+                buckets[r].append(places)
+
+        refresh(np.arange(n))
+        while order:
+            best = heapq.heappop(order)
+            at = np.unique(np.concatenate(buckets.pop(best)))
+            at = at[alive[at] & (rank[at] == best)]
+            if not len(at):
+                continue
+            # of overlapping pairs every second one, counted from the left
+            begins = np.concatenate([[True], after[at[:-1]] != at[1:]])
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0]
+            new = piece[at]
+            if self.unsafe[new].any():
+                # up to the first whose new pairs would come before the pairs right of it
+                right, left = after[after[at]], before[at]
+                follows = np.concatenate([[False], after[after[at[:-1]]] == at[1:]])
+                ahead = np.where(follows, np.concatenate([[0], new[:-1]]), symbols[left])
+                soon = (look_up(new, symbols[np.minimum(right, n - 1)])[1] <= best) & (right < n)
+                soon |= (look_up(ahead, new)[1] <= best) & (left >= 0)
+                stop = int(np.argmax(soon)) + 1 if soon.any() else len(at)
+                put(at[stop:])
+                at, new = at[:stop], new[:stop]
+            gone = after[at]
+            symbols[at], alive[gone], rank[gone] = new, False, NONE
+            after[at] = after[gone]
+            before[after[at]] = at
+            refresh(np.unique(np.concatenate([at, before[at][before[at] >= 0]])))
+        return symbols[alive]
+
     def spaces(self, n):
         """The ids of n space marks in a row: the leftmost best pair merges first."""
         run, i = [1] * n, 0
@@ -210,11 +275,11 @@ class Encoder:
         """known[word] = (ids as decimal text, their number, decoded bytes, ids as int32 bytes)."""
         v = self.vocabulary
         plain = [w[max(0, len(w) - len(w.lstrip(SPACE)) - 1):] for w in words]
-        symbols, starts = v.merge(plain)
+        symbols, starts = v.merge(["" if len(w) > LONG else w for w in plain])
         symbols, starts = symbols.tolist(), starts.tolist()
         n, one = v.n, v.run_one
         for k, w in enumerate(words):
-            of = symbols[starts[k]:starts[k + 1]]
+            of = v.merge_long(plain[k]).tolist() if len(plain[k]) > LONG else symbols[starts[k]:starts[k + 1]]
             spare = len(w) - len(plain[k])
             ids = of if max(of, default=0) < n else [i for s in of for i in v.ids(s)]
             if spare:

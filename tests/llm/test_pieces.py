@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -41,6 +42,25 @@ def test_equals_the_library_on_random_texts(vocabulary, library):
     same(vocabulary, library, ["".join(rnd.choice(s) for _ in range(rnd.randint(0, 120))) for s in sets for _ in range(150)])
 
 
+def test_long_words_equal_the_library(vocabulary, library):
+    """Words that are kept in buckets: random, repetitive, in scripts without blanks, and one of a million characters."""
+    rnd = random.Random(9)
+    sets = ["abcdefghijklmnopqrstuvwxyz", "aab", "etaoin", "ABCDabcd0123+/", "漢字の世界éü", "ha", "=-", "🙂x", "0123456789abcdef"]
+    texts = ["".join(rnd.choice(s) for _ in range(n)) for s in sets for n in (1024, 1025, 1500, 20_000)]
+    texts += ["x " + "a" * 4000 + "\n▁" + "ab" * 3000, " " * 20_000 + "b" * 2000, "the" * 5000 + "—" * 3000]
+    same(vocabulary, library, texts)
+    began = time.perf_counter()
+    same(vocabulary, library, ["".join(rnd.choice(sets[0]) for _ in range(1_000_000))])
+    assert time.perf_counter() - began < 60
+
+
+def test_short_words_in_buckets_too(vocabulary, library, monkeypatch):
+    monkeypatch.setattr(pieces, "LONG", 1)
+    rnd = random.Random(6)
+    same(vocabulary, library, ["".join(rnd.choice("aehinorst ") for _ in range(rnd.randint(0, 90))) for _ in range(300)]
+         + [t or "" for _, t, _ in AWKWARD if len(t or "") < 2000])
+
+
 def test_forgetting_changes_nothing(vocabulary, library, monkeypatch):
     monkeypatch.setattr(pieces, "KEPT", 50)
     monkeypatch.setattr(pieces, "TOGETHER", 30)
