@@ -10,8 +10,8 @@ Offsets are code points, end exclusive. Matches of one rule are leftmost and do
 a match that fails the rule's length is dropped and the search goes on behind it.
 
 Defined results: NULL texts count as empty; repeated rows share one blob and one scan; an empty
-table gives an empty result and leaves the ledger as it was; result columns replace input
-columns of the same name.
+table gives an empty result and leaves the ledger as it was; very long texts are scanned whole, in
+time that follows their length; result columns replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -53,7 +53,8 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", least=16, needs=("akia",)),
     Rule("hex", 1, r"[0-9a-f]{32,}"),  # whole runs, as [0-9a-f]+ with 32 or more characters
     Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", needs=("private key-----",)),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", needs=("eyj",)),
+    # runs are entered at their beginning only and not given back, so that a long one is read once
+    Rule("jwt", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", needs=("eyj",)),
 )
 BASE = ("assign", "access", "hex")
 #: Written in place of a secret.

@@ -1,4 +1,5 @@
 import dataclasses
+import time
 import hashlib
 import re
 
@@ -54,3 +55,28 @@ def test_redaction(spark):
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert texts[11] == f'{sl.MASK}" {sl.MASK}' and texts[2] is None and texts[3] == "" and texts[1] == AWKWARD[0][1]
     assert all(brute(t)[:3] == (0, 0, 0) for t in texts.values())
+
+
+def test_a_long_run_without_a_blank_is_read_once():
+    """A million characters under all rules; a run that a rule enters in vain is not entered again."""
+    find, names = sl.scanner(sl.RULES), {r.name for r in sl.RULES}
+    token = "eyJ" + "a" * 20 + "." + "b" * 20 + "." + "c" * 20
+    for text, want in (("eyJ" * 333_333, 0), (f"{'eyJ' + 'a' * 20}." * 40_000, 13_333), ("token" * 200_000, 0), ("secret" + " " * 990_000, 0),
+                       ("-----BEGIN " * 90_000, 0), ("eyJ" * 300_000 + " " + token, 1)):
+        began = time.perf_counter()
+        assert len(find(text, names)) == want and time.perf_counter() - began < 5
+    assert [s["kind"] for s in find(f"x {token};{token}", names)] == ["jwt", "jwt"]
+
+
+def test_the_ledger_grows_by_unseen_blobs_of_a_whole_table(spark, tmp_path):
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet").select("doc_id", "text")
+    path = str(tmp_path / "ledger")
+    half = docs.filter("crc32(cast(doc_id AS string)) % 2 = 0")
+    first = sl.digest(half, path).count()
+    seen = sl.read_ledger(spark, path).count()
+    whole = table(sl.digest(docs, path))
+    assert first == half.count() and whole == table(sl.digest(docs))
+    ledger = sl.read_ledger(spark, path)
+    assert seen < ledger.count() == ledger.select("blob").distinct().count() == docs.select("text").distinct().count()
+    sl.digest(docs, path)
+    assert sl.read_ledger(spark, path).count() == ledger.count()
