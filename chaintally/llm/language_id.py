@@ -38,12 +38,18 @@ UNKNOWN = "und"
 ROUNDS = 4
 #: Log probability of a character that the vocabulary lacks, and pseudo-count of each piece.
 LOST, ADDED = -16.0, 0.05
+#: Letters, and numbers other than decimal digits, which ``has_letter`` tells apart.
 LETTER = re.compile(r"[^\W\d_]")
 #: Characters of distinct words kept scored by a task, and scored together.
 KEPT, TOGETHER = 20_000_000, 400_000
 SPACE = "▁"
 
 
+def has_letter(text):
+    """Whether a text holds a character of the Unicode categories L*; number signs such as ½ are none."""
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
+
+
 class Pieces:
     """The vocabulary as a character trie in lookup tables."""
 
@@ -213,7 +219,7 @@ def train(docs, pieces, most_docs=MOST_DOCS, most_chars=MOST_CHARS):
     first = docs.filter(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
                         & F.col("text").isNotNull() & (F.length("text") <= most_chars))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = first.select("doc_id", "lang").withColumn("__place", place).filter(F.col("__place") <= most_docs).select("doc_id", "lang").distinct()
+    chosen = first.select("doc_id", "lang").distinct().withColumn("__place", place).filter(F.col("__place") <= most_docs).select("doc_id", "lang")
     chosen = stored(chosen, "training-documents")  # its size is known when the texts are joined
     sent = spark.sparkContext.broadcast(pieces)
 
@@ -226,8 +232,9 @@ def train(docs, pieces, most_docs=MOST_DOCS, most_chars=MOST_CHARS):
         logs = fit(sent.value, words, [counts[w] for w in words])
         return pa.table({"lang": [key[0].as_py()], "logs": [logs.tobytes()]})
 
-    rows = first.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).groupBy("lang").applyInArrow(
-        learn, "lang string, logs binary").collect()
+    # of rows that repeat an id, the least text, so that the bound holds for rows too
+    texts = first.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = texts.groupBy("lang").applyInArrow(learn, "lang string, logs binary").collect()
     found = {r["lang"]: np.frombuffer(bytes(r["logs"])) for r in rows}
     names = sorted(found)
     return names, np.stack([found[k] for k in names], 1) if names else np.zeros((pieces.size, 0))
@@ -250,7 +257,7 @@ def predict(docs, path, training=None, **bounds):
                 while j < len(texts) and size < 4 * TOGETHER:
                     size += len(texts[j] or "")
                     j += 1
-                part = [t if t and names and LETTER.search(t) else "" for t in texts[i:j]]
+                part = [t if t and names and has_letter(t) else "" for t in texts[i:j]]
                 sums = scorer.score(part) if names else np.zeros((len(part), 1))
                 best = sums.argmax(1)
                 share = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)

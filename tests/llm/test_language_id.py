@@ -98,3 +98,20 @@ def test_forgetting_changes_nothing(pieces, monkeypatch):
     monkeypatch.setattr(li, "TOGETHER", 5)
     scorer = li.Scorer(pieces, logs)
     assert np.allclose(np.concatenate([scorer.score([t]) for t in texts]), whole)
+
+
+def test_number_signs_are_no_letters(spark):
+    signs = [(i, t, "en") for i, t in enumerate(["½", "²", "①", "Ⅷ", "½ ² ① 12_3 ٣", "½ ª", "漢", "a"], 50)]
+    got = {r["doc_id"]: r["lang_pred"] for r in li.digest(awkward(spark, AWKWARD + signs), queries.vocabulary_path()).collect()}
+    assert [got[i] == li.UNKNOWN for i in range(50, 58)] == [True] * 5 + [False] * 3
+
+
+def test_repeated_ids_count_once_in_training(spark):
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    one = docs.filter("doc_id = 3")
+    many = docs.unionByName(spark.range(50).join(one).drop("id"))
+    path = queries.vocabulary_path()
+    pieces = li.Pieces(path)
+    names, logs = li.train(docs, pieces, most_docs=20)
+    again, twice = li.train(many, pieces, most_docs=20)
+    assert names == again and np.allclose(logs, twice)
