@@ -170,7 +170,9 @@ def sample(docs, labels, most_docs=MOST_DOCS, most_lines=MOST_LINES):
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["quality"], pa.array([x.astype(np.float32).tobytes() for x in rows], pa.binary())], ["doc_id", "quality", "own"])
 
-    found = short.join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id bigint, quality int, own binary")
+    # of rows that repeat an id, the least text
+    found = short.join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).mapInArrow(
+        run, "doc_id bigint, quality int, own binary")
     rows = {r["doc_id"]: (np.frombuffer(bytes(r["own"]), np.float32).reshape(-1, OWN).astype(float), r["quality"]) for r in found.toLocalIterator()}
     return [rows[k] for k in sorted(rows) if len(rows[k][0])]
 
