@@ -142,13 +142,17 @@ def contract_profile(contracts, transfers, address):
     """Registry entry of a contract with the standard its transfers reveal.
 
     ``transfers`` maps a standard to the tables that would hold its transfers, in order of
-    precedence. Only existence matters: each task of a probe stops at its first row, and layers stored in
-    the order of their contracts let statistics skip the files of others.
+    precedence. Only existence matters. A table may be given as a function that says whether it
+    holds a contract, such as ``ZoneIndex.holds``, which opens the few files that can; a plain
+    table is scanned, each task up to its first row.
     """
     kind = F.lit("Unknown")
     for standard, tables in reversed(list(transfers.items())):
         found = F.lit(False)
         for df in tables:
+            if callable(df):
+                found = found | F.lit(df(address))
+                continue
             hit = df.filter(F.col("contract_address") == address).limit(1)
             found = found | (hit.agg(F.count(F.lit(1)).alias("n")).scalar() > 0)
         kind = F.when(found, standard).otherwise(kind)

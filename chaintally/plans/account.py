@@ -156,11 +156,17 @@ def balance_eth_view(src, account, gas="per_tx"):
 
 
 def contract_profile(src, address):
-    """What kind of contract this is and who deployed it."""
+    """What kind of contract this is and who deployed it.
+
+    Ledgers with an index in ``src.zones`` are probed by it; the others are scanned.
+    """
+    def ledger(name):
+        return src.zones[name].holds if name in src.zones else src.table(name)
+
     return stats.contract_profile(src.table("contracts"), {
-        "ERC-20": [src.table("erc20_transfers")],
-        "ERC-721": [src.table("erc721_transfers")],
-        "ERC-1155": [src.table("erc1155_single"), src.table("erc1155_batch")],
+        "ERC-20": [ledger("erc20_transfers")],
+        "ERC-721": [ledger("erc721_transfers")],
+        "ERC-1155": [ledger("erc1155_single"), ledger("erc1155_batch")],
     }, address)
 
 
@@ -175,6 +181,20 @@ def contract_active_users(src, contract):
         date="block_time").orderBy("date")
 
 
+def store_callers(src, contract, store):
+    """Extend an ``ActivityStore`` of the contract's callers to ``as_of``."""
+    def events(since):
+        rows = _callers(src, contract)
+        return rows if since is None else rows.filter(F.col("block_time") >= F.lit(since))
+
+    return store.append(events, {"": "from"}, src.as_of, at="block_time")
+
+
+def contract_active_users_from_store(src, store, since=None):
+    """R52 from stored days; with ``since``, for the days from then on alone."""
+    return store.rolling({"dau": 1, "wau": 7, "mau": 30}, ("",), src.as_of, since).orderBy("date")
+
+
 def contract_cumulative_users(src, contract):
     """Callers per day and callers ever seen."""
     return activity.cumulative_distinct(

@@ -350,6 +350,20 @@ def active_addresses(src, token):
     return counts.orderBy("date")
 
 
+def store_activity(src, token, store):
+    """Extend an ``ActivityStore`` of the token's senders and receivers to ``as_of``."""
+    def events(since):
+        rows = ledger(src, token)
+        return rows if since is None else rows.filter(F.col("datetime") >= F.lit(since))
+
+    return store.append(events, {"from": "from_address", "to": "to_address"}, src.as_of)
+
+
+def active_addresses_from_store(src, store, since=None):
+    """R9 from stored days; with ``since``, for the days from then on alone."""
+    return store.rolling({"dau": 1, "wau": 7, "mau": 30}, ("from", "to"), src.as_of, since).orderBy("date")
+
+
 def avg_purchase_price(src, token):
     """Holders ordered by what they paid on average."""
     decimals = _token_row(src, token).select("decimals").scalar()

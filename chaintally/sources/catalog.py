@@ -66,6 +66,8 @@ class Sources:
     chain: str = "ethereum"
     #: Stored layers that reports read in place of the raw events: frames by (layer, contract), or a LayerStore.
     layers: dict | LayerStore = field(default_factory=dict)
+    #: Zone indexes of stored ledgers by source name; they answer whether a contract occurs.
+    zones: dict = field(default_factory=dict)
     #: Address sets up to this many rows are sent to every task, larger ones as a filter of bounded size.
     broadcast_rows: int = BROADCAST_ROWS
     _seen: dict = field(default_factory=dict, repr=False)

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from chaintally import Sources
 from chaintally.functions import wide
-from chaintally.plans import token
+from chaintally.plans import account, token
+from chaintally.sources import activity_store
+from chaintally.sources.activity_store import ActivityStore
 from chaintally.sources.balance_store import BalanceStore
-from chaintally.sources.catalog import read_table
+from chaintally.sources.catalog import read_table, write_layer
 from chaintally.sources.layers import LayerStore, StaleLayer
+from chaintally.sources.zones import ZoneIndex
 from conftest import A, B, C, D, TINY, TRANSFER, at, day, sources, table
 
 LATER = [(at(D[8]), "t6", A, C, "tok", 25), (at(D[9]), "t7", C, B, "tok", 25), (at(D[9], 1), "t8", B, A, "tok", 1)]
@@ -172,3 +175,64 @@ def test_a_view_of_files_is_stale_once_files_are_added(spark, tmp_path):
     with pytest.raises(StaleLayer):
         token.holders(src(), "tok")
     assert rows(token.holders(src(False), "tok")) != first
+
+
+def test_rolling_counts_of_stored_days_equal_the_report(spark, tmp_path):
+    src = sources(spark, TINY + LATER, D[12])
+    store = ActivityStore(spark, str(tmp_path / "activity"))
+    for transfers, d in ((TINY, D[3]), (TINY, D[6]), (LATER, D[8]), (LATER, D[12])):  # each batch sees no day of one before
+        late = [r for r in transfers if not store.generations() or r[0].date() > store.generations()[-1]["through"]]
+        token.store_activity(sources(spark, late, d), "tok", store)
+    want = rows(token.active_addresses(src, "tok"))
+    assert rows(token.active_addresses_from_store(src, store)) == want
+    names = sorted(token.active_addresses(src, "tok").columns)
+    tail = [r for r in want if r[names.index("date")] >= D[9]]
+    assert rows(token.active_addresses_from_store(src, store, since=D[9])) == tail
+    with pytest.raises(StaleLayer):
+        token.active_addresses_from_store(sources(spark, TINY, D[13]), store)
+    with pytest.raises(StaleLayer):
+        token.store_activity(sources(spark, TINY, D[12]), "tok", store)
+
+
+def test_keys_keep_their_numbers_across_bitmaps(spark, tmp_path, monkeypatch):
+    """More keys in a bucket than a bitmap holds, some of them seen again later."""
+    monkeypatch.setattr(activity_store, "BUCKETS", 1)
+    store = ActivityStore(spark, str(tmp_path / "activity"))
+    events = spark.range(100_000).selectExpr("CASE WHEN id < 40000 THEN date'2024-01-01' WHEN id < 70000 THEN date'2024-01-02' ELSE date'2024-01-04' END AS date",
+                                             "concat('0x', id % 50000) AS who")
+    for d in (D[1], D[2], D[5]):
+        store.append(lambda since: events if since is None else events.filter(F.col("date") >= F.lit(since)), {"": "who"}, d)
+    got = {r["date"]: (r["day"], r["two"]) for r in store.rolling({"day": 1, "two": 2}, ("",), D[5]).collect()}
+    assert got == {D[1]: (40_000, 40_000), D[2]: (30_000, 50_000), D[3]: (0, 30_000), D[4]: (30_000, 30_000), D[5]: (0, 30_000)}
+    assert spark.read.parquet(*[r["numbers"] for r in store.generations()]).select("number").distinct().count() == 50_000
+
+
+def test_a_probe_opens_a_file_or_two(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows_ = spark.range(20_000).selectExpr("concat('0x', lpad(id % 400, 4, '0')) AS contract_address", "id AS n")
+    rows_.repartitionByRange(6, "contract_address").write.parquet(path)
+    rows_.filter("id = 1").withColumn("contract_address", F.lit("0xnew")).coalesce(1).write.mode("append").parquet(path)
+    index = ZoneIndex(spark, path)
+    files = len(index.refresh())
+    assert files == 7
+    for contract, there in (("0x0007", True), ("0x0399", True), ("0xnew", True), ("0x0007x", False), ("0x9", False), ("", False)):
+        assert index.holds(contract) == there and index.opened <= 2
+    # a file that was added is known to the next probe, one that is gone is not asked for
+    rows_.filter("id = 2").withColumn("contract_address", F.lit("0xlater")).coalesce(1).write.mode("append").parquet(path)
+    assert index.holds("0xlater") and len(index.refresh()) == files + 1
+
+
+def test_profiles_ask_the_index_and_no_ledger(spark, tmp_path):
+    write_layer(sources(spark, TINY).table("erc20_transfers"), str(tmp_path / "e"), (), cluster_by="contract_address")
+    empty = spark.createDataFrame([], "contract_address string")
+    empty.write.parquet(str(tmp_path / "none"))
+    contracts = spark.createDataFrame([("tok", "p", "n", "d"), ("oth", "p", "n", "d")], "address string, name string, namespace string, `from` string")
+
+    def unread():
+        raise AssertionError("a ledger was read")
+
+    names = ("erc20_transfers", "erc721_transfers", "erc1155_single", "erc1155_batch")
+    src = Sources({**dict.fromkeys(names, unread), "contracts": contracts}, D[6])
+    src.zones = {n: ZoneIndex(spark, str(tmp_path / ("e" if n == names[0] else "none"))) for n in names}
+    assert account.contract_profile(src, "tok").first()["contract_type"] == "ERC-20"
+    assert account.contract_profile(src, "oth").first()["contract_type"] == "Unknown"

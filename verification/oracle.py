@@ -695,6 +695,9 @@ ct AS (SELECT p.address, coalesce(CAST(raw AS DOUBLE) / 100, 0) AS b,
         oracle[f"{name}_beyond"] = oracle[name]
     oracle["a14_balance_appended"] = oracle["a14_balance_by_days"] = oracle["r03_balance"]
     oracle["a14_balance_appended_wide"] = rounded(oracle["r03_balance"], ("balance_token",))
+    oracle["r09_active_addresses_from_days"] = oracle["r09_active_addresses"]
+    oracle["r52_contract_active_users_from_days"] = oracle["r52_contract_active_users"]
+    oracle["r46_contract_profile_by_zones"] = oracle["r46_contract_profile"]
     oracle["r03_on_day"] = f"SELECT * FROM ({oracle['r03_balance']}) WHERE date = DATE '2024-01-10'"
     oracle["r20_wealth_gap_balance_poor"] = q(EV, TOP_BAL, "SELECT * FROM top")
     for name, columns in WIDE.items():

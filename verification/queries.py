@@ -15,9 +15,11 @@ from chaintally.functions.columns import explorer_link, scaled
 from chaintally.operators import activity, balances, flows, prices, ranking, spines, stats
 from chaintally.plans import account, collection, token
 from chaintally.session import shared_folder
+from chaintally.sources.activity_store import ActivityStore
 from chaintally.sources.balance_store import BalanceStore
 from chaintally.sources.catalog import write_layer
 from chaintally.sources.layers import LayerStore
+from chaintally.sources.zones import ZoneIndex
 from verification.ledgers import (
     ACCOUNT, COLLECTION, FAMILY, OTHER_TOKEN, TOKEN, Ledgers)
 
@@ -428,6 +430,27 @@ def a14_balance_by_days(spark, root):
     return token.balance_from_store(src, TOKEN, store)
 
 
+def _days_store(spark, root, extend, name, table, at):
+    """A store of active keys up to EARLIER, then extended from sources that lack all days before."""
+    src = _events(spark, root)
+    store = ActivityStore(spark, f"{shared_folder(spark)}/activity-{uuid.uuid4().hex[:12]}")
+    extend(Sources(src.tables, EARLIER), name, store)
+    rows = src.table(table).filter(F.col(at) >= F.lit(EARLIER + dt.timedelta(days=1)))
+    src = Sources({**src.tables, table: rows}, src.as_of)
+    extend(src, name, store)
+    return src, store
+
+
+def r09_from_days(spark, root):
+    return token.active_addresses_from_store(
+        *_days_store(spark, root, token.store_activity, TOKEN, "erc20_transfers", "evt_block_time"))
+
+
+def r52_from_days(spark, root):
+    return account.contract_active_users_from_store(
+        *_days_store(spark, root, account.store_callers, ACCOUNT, "traces", "block_time"))
+
+
 def r03_on_day(spark, root):
     src, store = _appended(spark, root)
     return token.balance_on_day(src, TOKEN, dt.date(2024, 1, 10), store)
@@ -465,6 +488,18 @@ def _r46(spark, root):
     return reduce(lambda a, b: a.unionByName(b), found)
 
 
+def _r46_by_zones(spark, root):
+    """R46 over stored ledgers whose zone indexes are probed."""
+    src, path = _events(spark, root), f"{shared_folder(spark)}/zones-{uuid.uuid4().hex[:12]}"
+    for name in ("erc20_transfers", "erc721_transfers", "erc1155_single", "erc1155_batch"):
+        write_layer(src.table(name), f"{path}/{name}", (), cluster_by="contract_address")
+        src.zones[name] = ZoneIndex(spark, f"{path}/{name}")
+    first_nation = Ledgers(spark, root).read("nation").filter("n_nationkey = 0").select("n_name").scalar()
+    nation = spark.range(1).select(first_nation).first()[0]
+    found = [account.contract_profile(src, a) for a in (TOKEN, COLLECTION, "1-URGENT", nation)]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 def _r51(spark, root):
     figures = collection.nft_token_stats(_orders(spark, root), COLLECTION)
     return cents(rounded(figures, confidence_lower=4, confidence_upper=4), "token_id")
@@ -506,6 +541,8 @@ def all_queries():
         "a14_balance_appended_wide": a14_balance_appended_wide,
         "a14_balance_by_days": a14_balance_by_days,
         "r03_on_day": r03_on_day,
+        "r09_active_addresses_from_days": r09_from_days,
+        "r52_contract_active_users_from_days": r52_from_days,
         "t01_scale_amount": t01, "t02_token_info": t02, "t03_account_transfers": t03,
         "t04_explode_batch": t04, "t04_explode_batch_cross": partial(t04, pairing="cross"),
         "t05_value_calls": t05, "t06_gas_cost": t06, "t07_signed_flows": t07, "t08_net_flows": t08,
@@ -590,6 +627,7 @@ def all_queries():
         "r44_holding_distribution": order(collection.holding_distribution, funded=True),
         "r45_each_holder": order(collection.each_holder, FAMILY),
         "r46_contract_profile": _r46,
+        "r46_contract_profile_by_zones": _r46_by_zones,
         "r48_holders_in_out": order(collection.holders_in_out, funded=True),
         "r49_holders_main": order(collection.holders_main, funded=True),
         "r50_nft_price_volume": order(collection.nft_price_volume, places=NFT),
