@@ -42,8 +42,9 @@ from chaintally.session import stored
 common.travels(__name__)
 
 LONGEST = 4
-#: Bytes of text to a shard; bytes of phrases to a batch of rows; greatest size of the filter.
-SHARD, BATCH, BITS = 32_000_000, 32_000_000, 27
+#: Bytes of text to a shard at most, and as few as that where cores would stand idle; places counted at once; bytes of
+#: phrases to a batch of rows; greatest size of the filter.
+SHARD, SMALL, TOGETHER, BATCH, BITS = 96_000_000, 4_000_000, 500_000, 8_000_000, 27
 #: Bits of the filter per candidate, and places of a candidate in it.
 SPREAD, PLACES = 16, 4
 #: What separates pieces becomes a line feed; the byte 0xFF, which no text holds, marks them among the words.
@@ -119,35 +120,55 @@ def shards(rows):
 def grow(run, lead, vocabulary, fit):
     """The phrases of a run of numbered words, level by level.
 
-    Yields (words, counts) per level: the columns of word numbers of the distinct phrases that pass, and their
-    occurrences that end beyond the first ``lead`` words. ``fit(columns, counts)`` says which phrases may grow;
-    counts given to it include the lead.
+    Yields (words, counts): the columns of word numbers of distinct phrases that pass, and their occurrences that
+    end beyond the first ``lead`` words. ``fit(columns, counts)`` says which phrases may grow; counts given to it
+    include the lead. A level is counted in passes over its places, by the part that a phrase grows from.
     """
-    v = np.int64(vocabulary)
-    counts = np.bincount(run, minlength=vocabulary)
+    v, stretches = np.int64(vocabulary), [slice(i, i + TOGETHER) for i in range(0, len(run), TOGETHER)]
+    counts = np.zeros(vocabulary, np.int64)
+    for s in stretches:  # numpy would widen all numbers at once
+        counts += np.bincount(run[s], minlength=vocabulary)
     counts[0] = 0
     columns = [np.flatnonzero(counts)]
     good = fit(columns, counts[columns[0]])
     fresh = counts - np.bincount(run[:lead], minlength=vocabulary)
     yield [columns[0][good]], fresh[columns[0][good]]
-    number = np.full(vocabulary, -1, np.int64)  # of a level's passing phrases, by word
+    number = np.full(vocabulary, -1, np.int32)  # of a level's passing phrases, by word
     number[columns[0][good]] = np.arange(good.sum())
-    at, columns = number[run], [columns[0][good]]  # per place, the phrase of this level that starts there
+    at, level = np.empty(len(run), np.int32), [columns[0][good].astype(np.int32)]
+    for s in stretches:
+        at[s] = number[run[s]]  # per place, the phrase of this level that starts there
     for size in range(2, LONGEST + 1):
         if len(at) < 2:
             return
-        starts = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0) & (run[size - 1:] != 0))
-        keys, back, counts = np.unique(at[starts] * v + run[starts + size - 1], return_inverse=True, return_counts=True)
-        columns = [c[keys // v] for c in columns] + [keys % v]
-        good = fit(columns, counts)
-        early = back[starts + size <= lead]
-        fresh = counts - np.bincount(early, minlength=len(keys)) if len(early) else counts
-        columns = [c[good] for c in columns]
-        yield columns, fresh[good]
-        number = np.full(len(keys), -1, np.int64)
-        number[good] = np.arange(good.sum())
-        at = np.full(len(at) - 1, -1, np.int64)
-        at[starts] = number[back]
+        open_ = at[:-1] >= 0
+        open_ &= at[1:] >= 0
+        open_ &= run[size - 1:] != 0
+        passes, more = max(1, -(-int(np.count_nonzero(open_)) // TOGETHER)), size < LONGEST
+        at, known, found = at[:-1], 0, []
+        turn = np.full(len(at), -1, np.int16)
+        for s in stretches:
+            np.remainder(at[s], passes, out=turn[s], where=open_[s], casting="unsafe")
+        at[~open_] = -1
+        del open_
+        for k in range(passes):
+            starts = np.flatnonzero(turn == k)
+            keys = at[starts] * v + run[starts + size - 1]
+            at[starts] = -1
+            distinct, counts = np.unique(keys, return_counts=True)
+            columns = [c[distinct // v] for c in level] + [(distinct % v).astype(np.int32)]
+            good = fit(columns, counts)
+            early = keys[starts + size <= lead]
+            np.subtract.at(counts, np.searchsorted(distinct, early), 1)
+            columns, kept = [c[good] for c in columns], distinct[good]
+            yield columns, counts[good]
+            if len(kept) and more:
+                place = np.minimum(np.searchsorted(kept, keys), len(kept) - 1)
+                hit = kept[place] == keys
+                at[starts[hit]] = known + place[hit]
+                known += len(kept)
+                found.append(columns)
+        level = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int32)] * size
 
 
 def listed(lang, known, lengths, columns, counts):
@@ -164,14 +185,16 @@ def listed(lang, known, lengths, columns, counts):
 
 def _rows(batches):
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("lang", "weight", "data"))):
-            yield row
+        for lang, weight, data in zip(*(batch.column(c) for c in ("lang", "weight", "data"))):  # one text at a time
+            yield lang.as_py(), weight.as_py(), data.as_py()
 
 
-def _vocabulary(shard):
-    """The words by number as text (the break as empty text), and their lengths."""
+def _vocabulary(shard, hashed=False):
+    """The words by number as text (the break as empty text), their lengths and, if wanted, hashes; empties the shard's."""
     known = [b"", *list(shard.numbers)[1:]]
-    return pa.array(known, pa.binary()).cast(pa.string()), np.array([len(w) for w in known])
+    shard.numbers.clear()
+    hashes = np.fromiter(map(name, known), np.uint64, len(known)) if hashed else None
+    return pa.array(known, pa.binary()).cast(pa.string()), np.fromiter(map(len, known), np.int64, len(known)), hashes
 
 
 def _one(lang, n):
@@ -183,13 +206,14 @@ def mine(support):
 
     def run(batches):
         for shard, weights in shards(_rows(batches)):
-            known, lengths = _vocabulary(shard)
-            for lang, parts in shard.runs.items():
+            known, lengths, _ = _vocabulary(shard)
+            for lang in list(shard.runs):
+                numbered = np.concatenate(shard.runs.pop(lang))
                 if not shard.size.get(lang):
                     continue
                 least = max(1, -(-support * shard.size[lang] // weights[lang]))
                 yield _one(lang, least - 1)
-                for columns, counts in grow(np.concatenate(parts), shard.lead.get(lang, 0), len(known), lambda _, n: n >= least):
+                for columns, counts in grow(numbered, shard.lead.get(lang, 0), len(known), lambda _, n: n >= least):
                     enough = counts >= least
                     yield from listed(lang, known, lengths, [c[enough] for c in columns], counts[enough] - least + 1)
     return run
@@ -249,15 +273,17 @@ def count(bitmap, bits):
     def run(batches):
         table = bitmap.value
         for shard, _ in shards(_rows(batches)):
-            known, lengths = _vocabulary(shard)
-            hashes = np.array([name(w) for w in shard.numbers], np.uint64)
-            for lang, parts in shard.runs.items():
-                numbered, lead, seed = np.concatenate(parts), shard.lead.get(lang, 0), name(lang.encode())
+            known, lengths, hashes = _vocabulary(shard, True)
+            for lang in list(shard.runs):
+                numbered, lead, seed = np.concatenate(shard.runs.pop(lang)), shard.lead.get(lang, 0), name(lang.encode())
                 yield _one(lang, int(np.count_nonzero(numbered[lead:])))
 
                 def held(columns, _, seed=seed):
-                    at = spots(mixed(seed, *(hashes[c] for c in columns)), bits)
-                    return ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
+                    found = [np.empty(0, bool)]
+                    for i in range(0, len(columns[0]), 1 << 16):
+                        at = spots(mixed(seed, *(hashes[c[i:i + (1 << 16)]] for c in columns)), bits)
+                        found.append(((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0))
+                    return np.concatenate(found)
 
                 for columns, counts in grow(numbered, lead, len(known), held):
                     some = counts > 0
@@ -270,7 +296,8 @@ def frequent(docs, support=30):
     spark = docs.sparkSession
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), common.as_bytes().alias("data"))
     weights = stored(rows.groupBy("lang").agg(F.sum(F.octet_length("data")).alias("weight")).filter("weight > 0"), "phrase-weights")
-    tasks = -(-(weights.agg(F.sum("weight")).first()[0] or 1) // SHARD)
+    size = weights.agg(F.sum("weight")).first()[0] or 1
+    tasks = max(-(-size // SHARD), min(spark.sparkContext.defaultParallelism, -(-size // SMALL)))  # every core has a shard
     dealt = rows.join(weights, "lang").select("lang", "weight", "data").coalesce(tasks)
 
     local = stored(dealt.mapInArrow(mine(support), DDL), "phrase-local")

@@ -44,9 +44,10 @@ def rows(rng, n=60):
              rng.choice(["en", "de", None, "und", ""])) for i in range(n)]
 
 
-@pytest.mark.parametrize("shard,slice_size", [(32_000_000, 1 << 22), (700, 1 << 22), (150, 37)])
-def test_equals_brute_force_whatever_the_shards(spark, monkeypatch, shard, slice_size):
+@pytest.mark.parametrize("shard,slice_size,together", [(64_000_000, 1 << 22, 100), (700, 1 << 22, 7), (150, 37, 1 << 20)])
+def test_equals_brute_force_whatever_the_shards(spark, monkeypatch, shard, slice_size, together):
     monkeypatch.setattr(pm, "SHARD", shard)
+    monkeypatch.setattr(pm, "TOGETHER", together)
     monkeypatch.setattr(common, "SLICE", slice_size)
     monkeypatch.setattr(common.slices, "__defaults__", (slice_size,))
     docs = rows(random.Random(shard)) + AWKWARD
@@ -98,8 +99,8 @@ def test_one_long_text_is_mined_in_bounded_shards(monkeypatch):
     assert len(found) > 5 and max(s.total for s, _ in found) < 130_000
     total = Counter()
     for shard, _ in found:
-        for columns, n in pm.grow(np.concatenate(shard.runs.get("en", [np.zeros(1, np.int32)])), shard.lead.get("en", 0), len(shard.numbers), lambda c, _: np.ones(len(c[0]), bool)):
-            known = list(shard.numbers)
+        known = list(shard.numbers)
+        for columns, n in pm.grow(np.concatenate(shard.runs.get("en", [np.zeros(1, np.int32)])), shard.lead.get("en", 0), len(known), lambda c, _: np.ones(len(c[0]), bool)):
             total.update({tuple(known[c[i]] for c in columns): int(n[i]) for i in range(len(n))})
     w = text.split()
     want = Counter(tuple(w[i:i + size]) for size in range(1, 5) for i in range(len(w) - size + 1))
