@@ -187,7 +187,7 @@ def each_holder(src, collections):
         held = held | (F.col(n) > 0)
     per = legs.groupBy("address").agg(*sums).filter(held)
     return per.select(explorer_link("address", ADDRESS_PAGE).alias("address"), *names).orderBy(
-        *[ranking.descending(n) for n in names])
+        *[ranking.descending(n) for n in names], "address")
 
 
 def hhi_daily(src, collection, since=None, lines=HHI_LINES):

@@ -230,12 +230,20 @@ TOP_TXS = tops("sent", "txs_cnt", "CAST(sum(txs_cnt) AS BIGINT) AS txs_cnt")
 TOP_VOL = tops("sent", "vol", "CAST(sum(vol) AS DOUBLE) / 100 AS tx_volume_token")
 
 
-def new_holders(period, out):
+#: Balances on active days only.
+SPARSE = """
+spo AS (SELECT o.date, o.address, CASE WHEN n.net IS NOT NULL THEN balance END AS balance
+  FROM own o LEFT JOIN net n ON o.date = n.date AND o.address = n.address)"""
+
+
+def new_holders(period, out, source="own", first=False):
     trunc = "date" if period == "day" else f"CAST(date_trunc('{period}', date) AS DATE)"
+    before = ("coalesce(sum(held) OVER (PARTITION BY address ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+              if first else "lag(held, 1, 0) OVER (PARTITION BY address ORDER BY p)")
     return f"""
 per AS (SELECT {trunc} AS p, address, sum(CASE WHEN balance > 0 THEN 1 ELSE 0 END) AS held
-  FROM own GROUP BY 1, 2),
-prev AS (SELECT *, lag(held, 1, 0) OVER (PARTITION BY address ORDER BY p) AS before FROM per)""", (
+  FROM {source} GROUP BY 1, 2),
+prev AS (SELECT *, {before} AS before FROM per)""", (
         f"SELECT p AS {'date' if period == 'day' else period}, count(address) AS {out} FROM prev "
         "WHERE before = 0 AND held > 0 GROUP BY 1")
 
@@ -338,6 +346,8 @@ def avg(value, name, n, order="date", places=9):
 
 
 MA = ", ".join(avg("close_price", f"ma_{n}d", n) for n in (5, 10, 20, 60))
+#: Means over n days instead of the day and n before it.
+MA_EXACT = ", ".join(avg("close_price", f"ma_{n}d", n - 1) for n in (5, 10, 20, 60))
 NFT_DAILY = f"""
 nd AS (SELECT d.date AS block_date, min(amount_usd) AS mn, quantile_disc(amount_usd, 0.5) AS md,
     max(amount_usd) AS mx, count(DISTINCT tx_hash) AS tx_count, round(sum(amount_usd), 2) AS tx_volume_usd
@@ -370,10 +380,16 @@ USERS = f"""
 tc AS (SELECT CAST(block_time AS DATE) AS date, "from" AS who FROM traces_e
   WHERE "to" = '{ACCOUNT}' AND success),
 td AS ({days('tc', EVENT_DAY)})"""
-OVERLAP = """
+
+
+def overlap(table="erc20_e", having="HAVING sum(v) > 0"):
+    return f"""
 pos AS (SELECT contract_address, address, sum(v) AS raw FROM (
-    SELECT contract_address, "to" AS address, value AS v FROM erc20_e
-    UNION ALL SELECT contract_address, "from", -value FROM erc20_e) GROUP BY 1, 2 HAVING sum(v) > 0)"""
+    SELECT contract_address, "to" AS address, value AS v FROM {table}
+    UNION ALL SELECT contract_address, "from", -value FROM {table}) GROUP BY 1, 2 {having})"""
+
+
+OVERLAP = overlap()
 NFT_OVERLAP = f"""
 mv AS (SELECT address, contract_address, sum(v) AS n, count(*) FILTER (WHERE v > 0) AS got FROM (
     SELECT "to" AS address, contract_address, 1 AS v FROM items_of
@@ -573,7 +589,7 @@ SELECT {idx}, address_idx, address, CAST(CAST(wei_in AS VARCHAR) AS DOUBLE) {ETH
   CAST(CAST(wei_out AS VARCHAR) AS DOUBLE) {ETH} AS eth_out, CAST(CAST(wei_gas AS VARCHAR) AS DOUBLE) {ETH} AS gas_spent,
   {eth_round('wei')} AS balance_eth
 FROM (SELECT *, row_number() OVER (ORDER BY wei, address) AS address_idx FROM oc)"""),
-        "r16_other_coins_erc20": q(EV, LAST, OVERLAP.replace("HAVING sum(v) > 0", ""), f"""
+        "r16_other_coins_erc20": q(EV, LAST, overlap(having=""), f"""
 SELECT {idx}, address_idx, address, round(b, 8) AS balance_token, {half_up("coalesce(b * price, 0)", 2)} AS balance_usd
 FROM (SELECT h.address, coalesce({units.format('p.raw')}, 0) AS b,
     (SELECT last_price FROM last WHERE contract_address = 'purchase') AS price,
@@ -661,9 +677,7 @@ WHERE address NOT IN {SINKS} GROUP BY fnet.address HAVING sum(a) > 0 OR sum(b) >
             avg("min_price_usd", f"min_price_usd_ma_{n}d", n, "block_date", 7) for n in (7, 28, 90)) + " FROM nf"),
         "r51_nft_token_stats": q(TOKEN_STATS, band("ts", "min_price_usd")),
     }
-    lines = ', 0.01 AS "0.01 Line", 0.15 AS "0.15 Line", 0.25 AS "0.25 Line"'.replace(
-        "0.01 AS", "CAST(0.01 AS DOUBLE) AS").replace("0.15 AS", "CAST(0.15 AS DOUBLE) AS").replace(
-        "0.25 AS", "CAST(0.25 AS DOUBLE) AS")
+    lines = "".join(f', CAST({x} AS DOUBLE) AS "{x} Line"' for x in ("0.01", "0.15", "0.25"))
     for name, brand in (("main", MAIN), ("second", SECOND), ("third", THIRD), ("fourth", "Brand#5")):
         oracle[f"r47_hhi_daily_{name}"] = q(
             item_ledger("items_of", brand, ORDER_DAY),
@@ -698,6 +712,31 @@ ct AS (SELECT p.address, coalesce(CAST(raw AS DOUBLE) / 100, 0) AS b,
     oracle["r09_active_addresses_from_days"] = oracle["r09_active_addresses"]
     oracle["r52_contract_active_users_from_days"] = oracle["r52_contract_active_users"]
     oracle["r46_contract_profile_by_zones"] = oracle["r46_contract_profile"]
+    for name, period, ledger_, options in (
+            ("r12_new_holders_daily", "day", EV, ("sparse", "first", "sparse_first")),
+            ("r13_new_holders_weekly", "week", OR, ("sparse", "first")), ("r14_new_holders_monthly", "month", OR, ("sparse",))):
+        for option in options:
+            parts = new_holders(period, f"{period[0]}nu", "spo" if "sparse" in option else "own", "first" in option)
+            oracle[f"{name}_{option}"] = q(ledger_, SPARSE, *parts)
+    oracle["r11_current_holders_sparse"] = q(EV, SPARSE, "SELECT date, count(*) AS holders_cnt FROM spo WHERE balance > 0 GROUP BY 1")
+    oracle["r20_wealth_gap_balance_sparse"] = q(EV, SPARSE, tops(
+        "spo", "balance", "CAST(sum(balance) AS DOUBLE) / 100 AS balance_token"), "SELECT * FROM top")
+    oracle["r28_marketcap_sparse"] = q(EV, CLOSE, PRICE_DAILY, f"""
+ssup AS (SELECT date, CAST(sum(balance) FILTER (WHERE address NOT IN {SINKS}) AS DOUBLE) / 100 AS s FROM (
+    SELECT b.date, b.address, balance FROM bal b JOIN net n ON b.date = n.date AND b.address = n.address) GROUP BY 1)""", """
+SELECT pd.date, coalesce(close_price, 0) * coalesce(s, 0) AS marketcap FROM pd LEFT JOIN ssup ON pd.date = ssup.date""")
+    oracle["r31_tokenomics_sparse"] = oracle["r06_supply_mint_burn_sparse"]
+    oracle["r29_price_with_ma_exact"] = q(EV, CLOSE, PRICE_DAILY, f"SELECT *, {MA_EXACT} FROM pd")
+    oracle["r41_cohort_nft_overlap_labelled"] = f"SELECT * FROM ({oracle['r41_cohort_nft_overlap']}) WHERE name IS NOT NULL"
+    oracle["r50_nft_price_volume_exact"] = q(NFT_DAILY, "SELECT *, " + ", ".join(
+        avg("min_price_usd", f"min_price_usd_ma_{n}d", n - 1, "block_date", 7) for n in (7, 28, 90)) + " FROM nf")
+    oracle["a01_holders_from_parquet"] = rounded(oracle["r05_holders"], ("balance_token",))
+    oracle["a01_balance_from_parquet"] = rounded(q(EVF, bal_units), ("balance_token",))
+    oracle["a01_overlap_from_parquet"] = rounded(q(EVF, LAST, overlap("erc20_ef"), f"""
+SELECT {NAMED}, h.address, p.contract_address, t.symbol, {units.format('p.raw')} AS balance_token,
+  {units.format('p.raw')} * last_price AS balance_usd
+FROM holders h JOIN pos p ON h.address = p.address JOIN tokens_e t ON p.contract_address = t.contract_address
+LEFT JOIN last ON last.contract_address = p.contract_address"""), ("balance_token", "balance_usd"))
     oracle["r03_on_day"] = f"SELECT * FROM ({oracle['r03_balance']}) WHERE date = DATE '2024-01-10'"
     oracle["r20_wealth_gap_balance_poor"] = q(EV, TOP_BAL, "SELECT * FROM top")
     for name, columns in WIDE.items():

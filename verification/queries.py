@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import hashlib
 import uuid
 from functools import partial, reduce
@@ -21,7 +22,7 @@ from chaintally.sources.catalog import write_layer
 from chaintally.sources.layers import LayerStore
 from chaintally.sources.zones import ZoneIndex
 from verification.ledgers import (
-    ACCOUNT, COLLECTION, FAMILY, OTHER_TOKEN, TOKEN, Ledgers)
+    ACCOUNT, COLLECTION, EVENT_DAY, FAMILY, OTHER_TOKEN, TOKEN, Ledgers)
 
 
 def rounded(df, **places):
@@ -379,6 +380,28 @@ def _wide_cohort(spark, root):
     return rounded(df, **dict.fromkeys(bands, 6))
 
 
+@functools.cache
+def _stored_tables(spark, root):
+    """The event tables as users store them: amounts as text, addresses in mixed case; written once per process."""
+    path, src = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex[:12]}", _wide(_events(spark, root, True))
+    for name in ("erc20_transfers", "erc721_transfers", "tokens_erc20", "tokens_nft", "prices_usd"):
+        df = src.table(name)
+        for c in ("from", "to"):
+            if c in df.columns:
+                df = df.withColumn(c, F.concat(F.lit("0x"), F.upper(F.substring(c, 3, 40))))
+        df.write.parquet(f"{path}/{name}")
+    return path
+
+
+def from_parquet(report, *args, places=()):
+    """A report over tables that ``Sources.from_parquet`` opens, checks and normalises."""
+    def run(spark, root):
+        src = Sources.from_parquet(spark, _stored_tables(spark, root), EVENT_DAY, normalised=False)
+        return rounded(report(src, *(args or (TOKEN,))), **dict.fromkeys(places, 6))
+
+    return run
+
+
 def a02_wide_ids(spark, root):
     """R34 over item ids of 78 digits."""
     src = _orders(spark, root)
@@ -512,6 +535,23 @@ NFT = {"tx_volume_usd": 2, **dict.fromkeys([f"min_price_usd_ma_{n}d" for n in (7
 def all_queries():
     found = {
         "a01_wide_amounts": a01_wide_amounts, "a02_wide_ids": a02_wide_ids,
+        "a01_holders_from_parquet": from_parquet(token.holders, places=("balance_token",)),
+        "a01_balance_from_parquet": from_parquet(token.balance, places=("balance_token",)),
+        "a01_overlap_from_parquet": from_parquet(token.overlap_erc20, places=("balance_token", "balance_usd")),
+        "r11_current_holders_sparse": event(token.current_holders, gaps="sparse"),
+        "r12_new_holders_daily_sparse": event(token.new_holders_daily, gaps="sparse"),
+        "r13_new_holders_weekly_sparse": order(token.new_holders_weekly, gaps="sparse"),
+        "r14_new_holders_monthly_sparse": order(token.new_holders_monthly, gaps="sparse"),
+        "r12_new_holders_daily_first": event(token.new_holders_daily, first_time_only=True),
+        "r13_new_holders_weekly_first": order(token.new_holders_weekly, first_time_only=True),
+        "r12_new_holders_daily_sparse_first": event(token.new_holders_daily, gaps="sparse", first_time_only=True),
+        "r20_wealth_gap_balance_sparse": event(token.wealth_gap_balance, gaps="sparse"),
+        "r28_marketcap_sparse": event(token.marketcap, gaps="sparse"),
+        "r31_tokenomics_sparse": event(token.tokenomics, gaps="sparse"),
+        "r29_price_with_ma_exact": event(token.price_with_ma, exact=True, places=MA),
+        "r41_cohort_nft_overlap_labelled": event(
+            collection.cohort_nft_overlap, COLLECTION, (FAMILY["second"], FAMILY["third"]), funded=True, drop_unlabelled=True),
+        "r50_nft_price_volume_exact": order(collection.nft_price_volume, exact_windows=True, places=NFT),
         "a13_holders_from_layer": _from_layer(token.holders, True),
         "a14_volume_from_layer": _from_layer(token.volume, False),
         "r08_overlap_eth_earlier": event(token.overlap_eth, as_of=EARLIER),
