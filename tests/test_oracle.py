@@ -22,7 +22,7 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
     assert set(QUERIES) <= set(driver.queries()) and set(driver.oracle_sql()) <= set(driver.queries())
     ids = {name.split("_")[0] for name in QUERIES}
-    assert ids == {"a01", "a02", "a13", "a14"} | {f"t{i:02d}" for i in range(1, 43)} | {f"r{i:02d}" for i in range(1, 56)}
+    assert ids == {f"a{i:02d}" for i in range(1, 15)} | {f"t{i:02d}" for i in range(1, 43)} | {f"r{i:02d}" for i in range(1, 56)}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

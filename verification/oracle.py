@@ -737,6 +737,36 @@ SELECT {NAMED}, h.address, p.contract_address, t.symbol, {units.format('p.raw')}
   {units.format('p.raw')} * last_price AS balance_usd
 FROM holders h JOIN pos p ON h.address = p.address JOIN tokens_e t ON p.contract_address = t.contract_address
 LEFT JOIN last ON last.contract_address = p.contract_address"""), ("balance_token", "balance_usd"))
+    trades_of = "o_orderpriority AS project, hash AS tx_hash, {0} AS tx_from"
+    bought, sold = ("CASE WHEN l_linenumber % 2 = 0 THEN p_brand ELSE p_type END",
+                    "CASE WHEN l_linenumber % 2 = 0 THEN p_type ELSE p_brand END")
+    oracle |= {
+        "a03_erc1155_single": q("SELECT *, evt_tx_hash AS id FROM erc20_e"),
+        "a04_erc1155_batch": q("SELECT * REPLACE (CAST(id AS VARCHAR) AS id) FROM batch_o"),
+        "a05_traces": q("SELECT * REPLACE (CAST(CAST(value AS VARCHAR) AS DOUBLE) AS value) FROM traces_e"),
+        "a06_gas_fees": q(f"SELECT hash AS tx_hash, {addr('user_id')} AS tx_sender, value AS gas_price_gwei, "
+                          "21000 + event_id % 1000 AS gas_used, ts AS block_time FROM ev"),
+        "a07_prices_usd": q("SELECT * FROM prices_e"),
+        "a08_tokens_erc20": q("SELECT * FROM tokens_e"),
+        "a09_tokens_nft": q("SELECT * FROM tokens_nft_o"),
+        "a10_dex_trades": q(f"""
+SELECT CAST(o_orderdate AS DATE) AS block_date, {trades_of.format(addr('o_custkey'))}, {bought} AS token_bought_address,
+  {sold} AS token_sold_address, lower({bought}) AS token_bought_symbol, lower({sold}) AS token_sold_symbol,
+  l_quantity AS token_bought_amount, l_quantity AS token_sold_amount, l_extendedprice AS amount_usd
+FROM ol WHERE CAST(o_orderdate AS DATE) <= {ORDER_DAY}"""),
+        "a11_nft_trades": q(f"""
+SELECT CAST(l_shipdate AS DATE) AS block_date, l_shipdate AS block_time, p_brand AS nft_contract_address,
+  CAST(l_partkey AS VARCHAR) AS token_id, hash AS tx_hash, {addr('l_suppkey')} AS tx_from, {addr('receiver')} AS tx_to,
+  l_extendedprice AS amount_usd, l_extendedprice * l_tax AS platform_fee_amount_usd,
+  l_extendedprice * l_discount AS royalty_fee_amount_usd
+FROM ol WHERE CAST(l_shipdate AS DATE) <= {ORDER_DAY}"""),
+        "a12_contracts": f"""
+SELECT address, lower(address) AS name, namespace, '{ACCOUNT}' AS "from" FROM (
+  SELECT DISTINCT event_type AS address, 'event' AS namespace FROM events
+  UNION ALL SELECT DISTINCT p_brand, 'part' FROM part
+  UNION ALL SELECT DISTINCT o_orderpriority, 'order' FROM orders
+  UNION ALL SELECT n_name, 'nation' FROM nation)""",
+    }
     oracle["r03_on_day"] = f"SELECT * FROM ({oracle['r03_balance']}) WHERE date = DATE '2024-01-10'"
     oracle["r20_wealth_gap_balance_poor"] = q(EV, TOP_BAL, "SELECT * FROM top")
     for name, columns in WIDE.items():
