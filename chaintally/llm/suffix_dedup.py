@@ -17,7 +17,9 @@ neighbouring windows with one key form a region, and the work goes in four steps
 4. The removals found return to the shards of the texts and are applied once per text. Documents
    get the result of their text by a join on its hash, in which a text of many copies can be split.
 
-Hashes only choose what is compared: equality of windows is decided by bytes. A key found in
+Hashes only choose what is compared: equality of windows is decided by bytes. A text is named by
+64 bits, and these are checked first: of texts that share a name but not their SHA-256, all but
+one get another. A key found in
 more than ``HOT`` documents is dealt by its single windows, so no task gathers more of one key
 than that, and equal windows have folded into one row per shard before they meet.
 
@@ -35,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chaintally.llm import common
+from chaintally.session import stored
 
 common.travels(__name__)
 
@@ -529,9 +532,37 @@ def apply_removals(with_bytes):
     return run
 
 
+def text_hash(data):
+    return F.xxhash64(data)
+
+
+def named(source, rounds=10):
+    """``source (doc_id, data)`` with ``hash``, 64 bits that name a text: equal for equal texts and for no others.
+
+    The distinct pairs of name and SHA-256 are a slim table. Names that several texts share are rare, so few
+    texts are renamed, by their SHA-256, until every name stands for one text.
+    """
+    whole = source.withColumn("hash", text_hash(F.col("data")))
+    sha = F.unhex(F.sha2("data", 256))
+    names = stored(whole.select("hash", sha.alias("sha")).distinct(), "text-names")
+    renamed = None
+    for k in range(rounds):
+        shared = names.groupBy("hash").agg(F.count("*").alias("n"), F.min("sha").alias("first")).filter("n > 1").drop("n")
+        again = stored(names.join(shared, "hash").filter("sha <> first").select("sha", F.xxhash64("sha", F.lit(k)).alias("new")), "text-renamed")
+        if not again.head(1):
+            break
+        names = stored(names.join(again, "sha", "left").select(F.coalesce("new", "hash").alias("hash"), "sha"), "text-names")
+        renamed = again if renamed is None else renamed.join(again, "sha", "left_anti").unionByName(again)
+    else:
+        raise RuntimeError("no names keep the texts apart")
+    if renamed is None:
+        return whole
+    return whole.withColumn("sha", sha).join(renamed, "sha", "left").select("doc_id", "data", F.coalesce("new", "hash").alias("hash"))
+
+
 def deduplicate(docs, with_bytes=True, hot=HOT, block=BLOCK, shard_bytes=SHARD, fewest=FEWEST):
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (on demand) the kept bytes."""
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.as_bytes().alias("data")).withColumn("hash", F.xxhash64("data"))
+    source = named(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.as_bytes().alias("data")))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(fewest, -(-size // shard_bytes))
 

@@ -106,3 +106,11 @@ def test_copies_fold_before_they_are_dealt(spark):
     random.Random(8).shuffle(docs)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     assert table(sd.deduplicate(frame)) == brute(docs)
+
+
+@pytest.mark.parametrize("hash_of", [lambda data: sd.F.length(data).cast("bigint"), lambda data: sd.F.lit(5).cast("bigint")])
+def test_texts_whose_hashes_collide_stay_apart(spark, monkeypatch, hash_of):
+    monkeypatch.setattr(sd, "text_hash", hash_of)
+    docs = passages() + [(200, "x" * 80), (201, "y" * 80), (202, "x" * 80), (None, "z" * 80)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert table(sd.deduplicate(frame, shard_bytes=3000, fewest=3)) == brute(docs)
