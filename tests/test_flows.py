@@ -6,6 +6,7 @@ from chaintally.operators import flows
 from chaintally.schemas import SOURCES, require_columns
 from chaintally.functions import wide
 from chaintally.sources.catalog import Sources, normalise, write_layer
+from verification import ledgers
 from conftest import A, B, C, D, TINY, TRANSFER, at, day, sources, table
 
 
@@ -257,3 +258,17 @@ def test_a_fee_is_charged_once(spark):
     rows = spark.createDataFrame([(D[1], "from", 10, 4, 1), (D[1], "to", 7, 3, 1)], "date date, transfer_type string, a int, b int, fee int")
     got = flows.in_out_by_date(rows, ["a", "b"], out_only=["fee"])
     assert day(got, "a_net", "b_net") == [(-4, -1)]
+
+
+def test_items_made_of_a_small_table_are_made_in_several_tasks(spark, tmp_path, monkeypatch):
+    for name, ddl in ledgers.DRIVER_SCHEMAS.items():
+        n = 40 if name == "supplier" else 0
+        nulls = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in ddl.split(", ")]
+        rows = spark.range(n).select("id", *nulls)
+        rows = rows.withColumn("s_suppkey", F.col("id")) if n else rows
+        rows.drop("id").coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    monkeypatch.setattr(ledgers, "MADE", 5_000)
+    made = ledgers.Ledgers(spark, str(tmp_path)).items_funded()
+    tasks = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 38 * 25 * 30 and len(tasks) > 3 and max(tasks) <= 7_500
+    assert made.distinct().count() == sum(tasks)

@@ -16,6 +16,9 @@ TOKEN, OTHER_TOKEN = "click", "purchase"
 FAMILY = {"main": "Brand#2", "second": "Brand#13", "third": "Brand#19"}
 COLLECTION = FAMILY["main"]
 
+#: Rows that one task makes of a small table.
+MADE = 1_000_000
+
 
 def addr(column):
     i = F.col(column) if isinstance(column, str) else column
@@ -26,6 +29,11 @@ def addr(column):
 ACCOUNT = "0x" + "7".rjust(40, "0")
 
 
+def spread(df, rows):
+    """``df``, each row of which becomes ``rows`` more, in tasks of about a million of those; a small file is one task otherwise."""
+    return df.repartition(1 + df.count() * rows // MADE)
+
+
 # Column types of the driver's files.
 DRIVER_SCHEMAS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
@@ -134,7 +142,8 @@ class Ledgers:
     def items_funded(self):
         spent = self.items().filter(F.col("from") != DEAD_ADDRESS)
         brand = F.explode(F.sequence(F.lit(1), F.lit(25))).alias("b")
-        minted = (self.read("supplier").filter("s_suppkey >= 2").select("s_suppkey", brand)
+        owners = self.read("supplier").filter("s_suppkey >= 2").select("s_suppkey")
+        minted = (spread(owners, 25 * 30).select("s_suppkey", brand)
                   .select("s_suppkey", "b", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("k"))
                   .select(F.lit("1995-01-01").cast("timestamp_ntz").alias("evt_block_time"),
                           F.concat_ws("-", F.lit("mint"), "b", "s_suppkey", "k").alias("evt_tx_hash"),
