@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import zip_longest
+from operator import and_
 
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ BROADCAST_ROWS = 500_000
 # Bits of the filter that stands in for a larger address set, at most: 2 ** 20 rows of 64 bits are sent around,
 # whatever the set. It lets through every address of the set and, up to 8 million of them, one in eight others.
 FILTER_BITS = 1 << 26
+# Pairs of ids and values that one task compares.
+PAIRS = 1_000_000
 
 
 def token_info(meta, chain=None):
@@ -63,14 +67,29 @@ def explode_batch(df, ids="ids", values="values", pairing="zip"):
     """One row per item of a batch transfer (T4).
 
     ``zip`` pairs the n-th id with the n-th value. ``cross`` combines every id with every
-    value of the same event and removes duplicates, as some published figures do.
+    value of the same event and removes duplicates, as some published figures do. Ids and values
+    are made distinct inside their event, so an event of one batch has no duplicates left and is
+    unfolded where it is; only the pairs of events that have several batches are compared.
     """
     rest = [c for c in df.columns if c not in (ids, values)]
     if pairing == "zip":
         pairs = F.arrays_zip(F.col(ids).alias("id"), F.col(values).alias("value"))
         return df.select(*rest, F.inline(pairs)).toDF(*rest, "id", "value")
-    one = df.select(*rest, F.explode(ids).alias("id"), F.col(values))
-    return one.select(*rest, "id", F.explode(values).alias("value")).distinct()
+
+    def unfolded(batches):
+        one = batches.select(*rest, F.explode("_ids").alias("id"), "_values")
+        return one.select(*rest, "id", F.explode("_values").alias("value"))
+
+    batches = materialise(df.select(
+        *rest, F.array_distinct(ids).alias("_ids"), F.array_distinct(values).alias("_values")).distinct())
+    several = materialise(batches.groupBy(*rest).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
+    if several.isEmpty():
+        return unfolded(batches)
+    same = reduce(and_, [batches[c].eqNullSafe(several[c]) for c in rest], F.lit(True))
+    shared = materialise(batches.join(several, same, "left_semi"))
+    pairs = shared.agg(F.sum(F.size("_ids").cast("long") * F.size("_values"))).first()[0]
+    parts = unfolded(shared).repartition(1 + max(0, pairs or 0) // PAIRS, *rest, "id", "value")
+    return unfolded(batches.join(several, same, "left_anti")).unionByName(parts.distinct())
 
 
 def value_calls(traces, require_positive=True):

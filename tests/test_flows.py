@@ -49,6 +49,27 @@ def test_explode_batch_pairs_by_position_or_crosses(spark):
     assert len(day(flows.explode_batch(df, pairing="cross"), "tx", "id", "value")) == 4
 
 
+def test_cross_pairs_of_one_batch_are_unfolded_without_comparing_them(spark):
+    df = spark.createDataFrame([(f"e{i}", [1, 2, 2, None], [10, 10, 20]) for i in range(20)] * 2, "tx string, ids array<long>, values array<long>")
+    pairs = flows.explode_batch(df, pairing="cross")
+    assert len(day(pairs, "tx", "id", "value")) == pairs.distinct().count() == 20 * 3 * 2
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
+
+
+def test_cross_pairs_of_events_in_several_batches_are_distinct(spark, monkeypatch):
+    monkeypatch.setattr(flows, "PAIRS", 3)
+    rows = [("a", [1, 2], [10, 20]), ("a", [2, 3], [10]), ("b", [1], [5]), ("b", [1], [5]), (None, [7], [1]), (None, [7, None], [1, None]),
+            ("c", None, [1]), ("c", [], [1]), ("d", [1], None), ("e", [4, 4], [9, 9])]
+    want = {(tx, i, v) for tx, ids, values in rows for i in ids or [] for v in values or []}
+    df = spark.createDataFrame(rows, "tx string, ids array<long>, values array<long>")
+    found = [tuple(r) for r in flows.explode_batch(df, pairing="cross").collect()]
+    assert len(found) == len(want) and set(found) == want
+    bare = [tuple(r) for r in flows.explode_batch(df.drop("tx"), pairing="cross").collect()]
+    assert len(bare) == len(set(bare)) and set(bare) == {w[1:] for w in want}
+    assert flows.explode_batch(df.limit(0), pairing="cross").count() == 0
+
+
 def test_value_calls(spark):
     rows = [("call", None, True, 5), ("call", "call", True, 0), ("call", "delegatecall", True, 5),
             ("call", "staticcall", True, 5), ("call", "callcode", True, 5), ("create", None, True, 5),
