@@ -113,16 +113,17 @@ class Sources:
 def write_layer(df, path, partition_by=("date",), mode="overwrite", cluster_by=None):
     """Store a finished layer as Parquet, split by day.
 
-    Rows are dealt by ranges of (day, cluster column): a heavy day is split, light days share
-    a task, and there are about as many files as days and tasks together. Inside its files
-    the cluster column is sorted, so row-group statistics prune lookups by it. Overwriting
-    replaces only the days that ``df`` holds.
+    Rows are dealt by ranges of (day, cluster column, hash of the row): a heavy day or value is
+    split, light ones share a task, and there are about as many files as days and tasks together.
+    Inside its files the cluster column is sorted, so row-group statistics prune lookups by it.
+    Overwriting replaces only the days that ``df`` holds.
     """
     by = [c for c in partition_by if c in df.columns]
     cluster = cluster_by or next((c for c in df.columns if c not in by), None)
     order = [*by, *([cluster] if cluster else [])]
     if order:
-        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        hashed = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+        df = df.repartitionByRange(*order, F.xxhash64(*hashed)).sortWithinPartitions(*order)
     writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     (writer.partitionBy(*by) if by else writer).parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -17,7 +17,7 @@ class ZoneIndex:
     The index is a table of one row per file beside the layer. Files that were added since are
     indexed before the next answer, and rows of files that are gone are passed over, so an
     answer is always that of the layer as it is. A layer stored in the order of the column
-    (``write_layer(cluster_by=...)``) has a value in one file or two.
+    (``write_layer(cluster_by=...)``) has a value in neighbouring files, and a rare one in one or two.
     """
 
     def __init__(self, spark, layer, column="contract_address", path=None):
@@ -35,7 +35,8 @@ class ZoneIndex:
         new = sorted(files - known)
         if new:
             rows = self.spark.read.parquet(*new).select(F.input_file_name().alias("file"), F.col(self.column).alias("v"))
-            rows.groupBy("file").agg(
+            # distinct first: the range of a text sorts all rows of a task, here one per file and value
+            rows.distinct().groupBy("file").agg(
                 F.min("v").alias("least"), F.max("v").alias("most"),
                 F.bitmap_construct_agg(self._spot("v")).alias("bits")).write.mode("append").parquet(self.path)
         return files

@@ -236,3 +236,24 @@ def test_profiles_ask_the_index_and_no_ledger(spark, tmp_path):
     src.zones = {n: ZoneIndex(spark, str(tmp_path / ("e" if n == names[0] else "none"))) for n in names}
     assert account.contract_profile(src, "tok").first()["contract_type"] == "ERC-20"
     assert account.contract_profile(src, "oth").first()["contract_type"] == "Unknown"
+
+
+def test_a_heavy_value_is_split_among_files_that_the_index_finds(spark, tmp_path):
+    df = spark.range(4000).select(
+        F.when(F.col("id") < 3900, "heavy").otherwise(F.concat(F.lit("c"), F.col("id").cast("string"))).alias("contract_address"),
+        F.array("id").alias("ids"), F.create_map(F.lit("k"), F.col("id")).alias("note"))
+    path, switch = str(tmp_path / "e"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(switch, "false")
+    try:
+        back = write_layer(df, path, (), cluster_by="contract_address")
+    finally:
+        spark.conf.unset(switch)
+    per_file = [r["count"] for r in back.filter("contract_address = 'heavy'").groupBy(F.input_file_name()).count().collect()]
+    assert back.count() == 4000 and len(per_file) > 2 and max(per_file) < 2000
+    index = ZoneIndex(spark, path)
+    assert index.holds("heavy") and index.opened == 2 and len(index.candidates("heavy")) == len(per_file)
+    assert index.holds("c3950") and index.opened <= 2 and not index.holds("none")
+    zones = spark.read.parquet(index.path)
+    assert zones.count() == len(back.inputFiles())
+    assert {(r["least"], r["most"]) for r in back.groupBy(F.input_file_name()).agg(F.min("contract_address").alias("least"), F.max("contract_address").alias("most")).collect()} == {
+        (r["least"], r["most"]) for r in zones.collect()}
