@@ -90,6 +90,10 @@ class Shard:
     def end_text(self, lang):
         self.runs.setdefault(lang, []).append(np.zeros(1, np.int32))
 
+    def by_words(self):
+        """The languages, those of fewest words first: what they hold is free when the largest is grown."""
+        return sorted(self.runs, key=lambda lang: sum(map(len, self.runs[lang])))
+
     def tails(self, lang):
         """The last words of an unfinished text that a phrase of the next shard may begin with."""
         if not self.runs.get(lang):
@@ -146,7 +150,7 @@ def grow(run, lead, vocabulary, fit):
         open_ &= run[size - 1:] != 0
         passes, more = max(1, -(-int(np.count_nonzero(open_)) // TOGETHER)), size < LONGEST
         at, known, found = at[:-1], 0, []
-        turn = np.full(len(at), -1, np.int16)
+        turn = np.full(len(at), -1, np.int8 if passes < 128 else np.int16)
         for s in stretches:
             np.remainder(at[s], passes, out=turn[s], where=open_[s], casting="unsafe")
         at[~open_] = -1
@@ -207,7 +211,7 @@ def mine(support):
     def run(batches):
         for shard, weights in shards(_rows(batches)):
             known, lengths, _ = _vocabulary(shard)
-            for lang in list(shard.runs):
+            for lang in shard.by_words():
                 numbered = np.concatenate(shard.runs.pop(lang))
                 if not shard.size.get(lang):
                     continue
@@ -274,7 +278,7 @@ def count(bitmap, bits):
         table = bitmap.value
         for shard, _ in shards(_rows(batches)):
             known, lengths, hashes = _vocabulary(shard, True)
-            for lang in list(shard.runs):
+            for lang in shard.by_words():
                 numbered, lead, seed = np.concatenate(shard.runs.pop(lang)), shard.lead.get(lang, 0), name(lang.encode())
                 yield _one(lang, int(np.count_nonzero(numbered[lead:])))
 

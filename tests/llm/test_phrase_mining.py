@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chaintally.llm import common, phrase_mining as pm
@@ -89,6 +90,22 @@ def test_totals_beyond_64_bits_stay_exact(spark):
     assert sorted((r["lang"], r["phrase"]) for r in pm.uncovered(longer).collect()) == [("de", "b c"), ("en", "a b c")]
 
 
+def test_the_largest_language_of_a_shard_is_grown_when_the_others_are_gone(monkeypatch):
+    text, held, grow = b"a b c d " * 500, [], pm.grow
+    rows_ = [("de", 1, text), ("en", 1, text * 9), ("es", 1, text * 2), ("fr", 1, text)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows_)], names=["lang", "weight", "data"])
+    shard, = (s for s, _ in pm.shards(rows_))
+    monkeypatch.setattr(pm, "shards", lambda _: [(shard, dict.fromkeys(("de", "en", "es", "fr"), 10**6))])
+
+    def watched(run, *rest):
+        held.append((len(run), sum(len(x) for runs in shard.runs.values() for x in runs)))
+        yield from grow(run, *rest)
+
+    monkeypatch.setattr(pm, "grow", watched)
+    found = list(pm.mine(30)([batch]))
+    assert len(held) == 4 and max(held) == held[-1] and held[-1][1] == 0 and sum(b.num_rows for b in found) > 4
+
+
 def test_one_long_text_is_mined_in_bounded_shards(monkeypatch):
     monkeypatch.setattr(pm, "SHARD", 100_000)
     monkeypatch.setattr(common.slices, "__defaults__", (20_000,))
