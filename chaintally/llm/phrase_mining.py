@@ -29,6 +29,8 @@ the order is total; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import re
+from array import array
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +45,16 @@ common.travels(__name__)
 
 LONGEST = 4
 #: Bytes of text to a shard at most, and as few as that where cores would stand idle; places counted at once; bytes of
-#: phrases to a batch of rows; greatest size of the filter.
-SHARD, SMALL, TOGETHER, BATCH, BITS = 96_000_000, 4_000_000, 500_000, 8_000_000, 27
+#: phrases to a batch of rows; bytes of texts to a batch; greatest size of the filter.
+SHARD, SMALL, TOGETHER, BATCH, TEXTS, BITS = 96_000_000, 4_000_000, 500_000, 8_000_000, 4_000_000, 27
 #: Bits of the filter per candidate, and places of a candidate in it.
 SPREAD, PLACES = 16, 4
 #: What separates pieces becomes a line feed; the byte 0xFF, which no text holds, marks them among the words.
 PIECES = bytes(10 if c in b".,;:!?\n\x0b\f\r" else c for c in range(256))
 CUT = re.compile(rb"[.,;:!?\x09-\x0D ]")
 BREAK = b"\xff"
+#: How hashes are mixed.
+MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 ROWS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
 DDL = "lang string, phrase string, size int, n bigint"
 
@@ -71,24 +75,30 @@ def words(data: bytes):
 
 
 class Shard:
-    """Numbered words per language, in the order of the texts."""
+    """Numbered words per language, in the order of the texts: a list of one buffer each, which grows and is mined in place."""
 
     def __init__(self, tails=None):
         self.numbers, self.runs, self.size, self.total, self.lead = Numbers(), {}, {}, 0, {}
         for lang, tail in (tails or {}).items():  # words of a text that goes on from the shard before
-            self.runs[lang], self.size[lang], self.lead[lang] = [self._numbered(tail)], 0, len(tail)
+            self._run(lang).extend(map(self.numbers.__getitem__, tail))
+            self.size[lang], self.lead[lang] = 0, len(tail)
 
-    def _numbered(self, found):
-        return np.fromiter(map(self.numbers.__getitem__, found), np.int32, len(found))
+    def _run(self, lang):
+        return self.runs.setdefault(lang, [array("i")])[0]
 
     def add(self, lang, data):
-        if found := words(data):  # no run is empty, so the last few hold the words that may go on
-            self.runs.setdefault(lang, []).append(self._numbered(found))
+        if found := words(data):
+            self._run(lang).extend(map(self.numbers.__getitem__, found))
         self.size[lang] = self.size.get(lang, 0) + len(data)
         self.total += len(data)
 
     def end_text(self, lang):
-        self.runs.setdefault(lang, []).append(np.zeros(1, np.int32))
+        self._run(lang).append(0)
+
+    def take(self, lang):
+        """The words of a language, which the shard gives up; not copied."""
+        run, = self.runs.pop(lang)
+        return np.frombuffer(run, np.int32)
 
     def by_words(self):
         """The languages, those of fewest words first: what they hold is free when the largest is grown."""
@@ -98,7 +108,7 @@ class Shard:
         """The last words of an unfinished text that a phrase of the next shard may begin with."""
         if not self.runs.get(lang):
             return {}
-        run = np.concatenate(self.runs[lang][-LONGEST:])[1 - LONGEST:]
+        run = np.array(self._run(lang)[1 - LONGEST:], np.int32)
         since = np.flatnonzero(run == 0)
         run = run[since[-1] + 1:] if len(since) else run
         known = list(self.numbers)
@@ -122,57 +132,51 @@ def shards(rows):
 
 
 def grow(run, lead, vocabulary, fit):
-    """The phrases of a run of numbered words, level by level.
+    """The phrases of a run of numbered words, longer ones from the shorter ones that they begin with.
 
     Yields (words, counts): the columns of word numbers of distinct phrases that pass, and their occurrences that
     end beyond the first ``lead`` words. ``fit(columns, counts)`` says which phrases may grow; counts given to it
-    include the lead. A level is counted in passes over its places, by the part that a phrase grows from.
+    include the lead. Places are dealt into passes by their first two words, and a pass is grown to the end before the
+    next: so beside the run only a byte per place (four, with 128 passes or more) and one pass are held.
     """
-    v, stretches = np.int64(vocabulary), [slice(i, i + TOGETHER) for i in range(0, len(run), TOGETHER)]
-    counts = np.zeros(vocabulary, np.int64)
-    for s in stretches:  # numpy would widen all numbers at once
-        counts += np.bincount(run[s], minlength=vocabulary)
+    v, counts = np.int64(vocabulary), np.zeros(vocabulary, np.int64)
+    for i in range(0, len(run), TOGETHER):  # numpy would widen all numbers at once
+        counts += np.bincount(run[i:i + TOGETHER], minlength=vocabulary)
     counts[0] = 0
-    columns = [np.flatnonzero(counts)]
-    good = fit(columns, counts[columns[0]])
-    fresh = counts - np.bincount(run[:lead], minlength=vocabulary)
-    yield [columns[0][good]], fresh[columns[0][good]]
-    number = np.full(vocabulary, -1, np.int32)  # of a level's passing phrases, by word
-    number[columns[0][good]] = np.arange(good.sum())
-    at, level = np.empty(len(run), np.int32), [columns[0][good].astype(np.int32)]
-    for s in stretches:
-        at[s] = number[run[s]]  # per place, the phrase of this level that starts there
-    for size in range(2, LONGEST + 1):
-        if len(at) < 2:
-            return
-        open_ = at[:-1] >= 0
-        open_ &= at[1:] >= 0
-        open_ &= run[size - 1:] != 0
-        passes, more = max(1, -(-int(np.count_nonzero(open_)) // TOGETHER)), size < LONGEST
-        at, known, found = at[:-1], 0, []
-        turn = np.full(len(at), -1, np.int8 if passes < 128 else np.int16)
-        for s in stretches:
-            np.remainder(at[s], passes, out=turn[s], where=open_[s], casting="unsafe")
-        at[~open_] = -1
-        del open_
-        for k in range(passes):
-            starts = np.flatnonzero(turn == k)
-            keys = at[starts] * v + run[starts + size - 1]
-            at[starts] = -1
+    single = np.flatnonzero(counts)
+    single = single[fit([single], counts[single])]
+    yield [single], (counts - np.bincount(run[:lead], minlength=vocabulary))[single]
+    del counts
+    good, single = np.zeros(vocabulary, bool), single.astype(np.int32)
+    good[single] = True
+    places = max(0, len(run) - 1)
+    passes = -(-places // TOGETHER)
+    turn = np.full(places, -1, np.int8 if passes < 128 else np.int32)
+    for i in range(0, places, TOGETHER):
+        second = run[i + 1:i + 1 + TOGETHER]
+        first = run[i:i + len(second)]
+        pair = (first * v + second).astype(np.uint64) * MIX >> TURN
+        np.copyto(turn[i:i + len(second)], pair % np.uint64(passes), where=good[first] & good[second], casting="unsafe")
+    number = np.arange(vocabulary, dtype=np.int32)
+    for k in range(passes):
+        starts, level = np.flatnonzero(turn == k), [number]
+        at = run[starts]  # per place, the phrase of this level that starts there
+        for size in range(2, LONGEST + 1):
+            if not len(starts):
+                break
+            keys = at * v + run[starts + size - 1]
             distinct, counts = np.unique(keys, return_counts=True)
             columns = [c[distinct // v] for c in level] + [(distinct % v).astype(np.int32)]
-            good = fit(columns, counts)
-            early = keys[starts + size <= lead]
-            np.subtract.at(counts, np.searchsorted(distinct, early), 1)
-            columns, kept = [c[good] for c in columns], distinct[good]
-            yield columns, counts[good]
-            if len(kept) and more:
-                place = np.minimum(np.searchsorted(kept, keys), len(kept) - 1)
-                hit = kept[place] == keys
-                at[starts[hit]] = known + place[hit]
-                known += len(kept)
-                found.append(columns)
-        level = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int32)] * size
+            passed = fit(columns, counts)
+            np.subtract.at(counts, np.searchsorted(distinct, keys[starts + size <= lead]), 1)
+            level, distinct = [c[passed] for c in columns], distinct[passed]
+            yield level, counts[passed]
+            if size == LONGEST or not len(distinct):
+                break
+            at = np.minimum(np.searchsorted(distinct, keys), len(distinct) - 1)
+            on = (distinct[at] == keys) & (starts + size < len(run))
+            on[on] = good[run[starts[on] + size]]
+            starts, at = starts[on], at[on]
 
 
 def listed(lang, known, lengths, columns, counts):
@@ -195,8 +199,9 @@ def _rows(batches):
 
 def _vocabulary(shard, hashed=False):
     """The words by number as text (the break as empty text), their lengths and, if wanted, hashes; empties the shard's."""
-    known = [b"", *list(shard.numbers)[1:]]
+    known = list(shard.numbers)
     shard.numbers.clear()
+    known[0] = b""
     hashes = np.fromiter(map(name, known), np.uint64, len(known)) if hashed else None
     return pa.array(known, pa.binary()).cast(pa.string()), np.fromiter(map(len, known), np.int64, len(known)), hashes
 
@@ -208,26 +213,26 @@ def _one(lang, n):
 def mine(support):
     """Step 1: per shard, rows (lang, phrase, size, count - (t - 1)) and one row (lang, NULL, 0, t - 1)."""
 
+    def mined(shard, weights):
+        known, lengths, _ = _vocabulary(shard)
+        for lang in shard.by_words():
+            numbered = shard.take(lang)
+            if not shard.size.get(lang):
+                continue
+            least = max(1, -(-support * shard.size[lang] // weights[lang]))
+            yield _one(lang, least - 1)
+            for columns, counts in grow(numbered, shard.lead.get(lang, 0), len(known), lambda _, n: n >= least):
+                enough = counts >= least
+                yield from listed(lang, known, lengths, [c[enough] for c in columns], counts[enough] - least + 1)
+
     def run(batches):
         for shard, weights in shards(_rows(batches)):
-            known, lengths, _ = _vocabulary(shard)
-            for lang in shard.by_words():
-                numbered = np.concatenate(shard.runs.pop(lang))
-                if not shard.size.get(lang):
-                    continue
-                least = max(1, -(-support * shard.size[lang] // weights[lang]))
-                yield _one(lang, least - 1)
-                for columns, counts in grow(numbered, shard.lead.get(lang, 0), len(known), lambda _, n: n >= least):
-                    enough = counts >= least
-                    yield from listed(lang, known, lengths, [c[enough] for c in columns], counts[enough] - least + 1)
+            yield from mined(shard, weights)  # what it holds goes before the next shard is read
     return run
 
 
 # ---- the filter of candidates -------------------------------------------------------------------
 
-MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
-
-
 def mixed(seed, *columns):
     """Hashes of phrases from a seed and the hashes of their words."""
     h = np.full(len(columns[0]), seed, np.uint64)
@@ -274,27 +279,44 @@ def candidate_filter(found, count):
 def count(bitmap, bits):
     """Step 3: per shard, rows (lang, phrase, size, count) of what the filter holds, and one row (lang, NULL, 0, words)."""
 
+    def counted(shard, table):
+        known, lengths, hashes = _vocabulary(shard, True)
+        for lang in shard.by_words():
+            numbered, lead, seed = shard.take(lang), shard.lead.get(lang, 0), name(lang.encode())
+            yield _one(lang, int(np.count_nonzero(numbered[lead:])))
+
+            def held(columns, _, seed=seed):
+                found = [np.empty(0, bool)]
+                for i in range(0, len(columns[0]), 1 << 16):
+                    at = spots(mixed(seed, *(hashes[c[i:i + (1 << 16)]] for c in columns)), bits)
+                    found.append(((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0))
+                return np.concatenate(found)
+
+            for columns, counts in grow(numbered, lead, len(known), held):
+                some = counts > 0
+                yield from listed(lang, known, lengths, [c[some] for c in columns], counts[some])
+
     def run(batches):
-        table = bitmap.value
         for shard, _ in shards(_rows(batches)):
-            known, lengths, hashes = _vocabulary(shard, True)
-            for lang in shard.by_words():
-                numbered, lead, seed = np.concatenate(shard.runs.pop(lang)), shard.lead.get(lang, 0), name(lang.encode())
-                yield _one(lang, int(np.count_nonzero(numbered[lead:])))
-
-                def held(columns, _, seed=seed):
-                    found = [np.empty(0, bool)]
-                    for i in range(0, len(columns[0]), 1 << 16):
-                        at = spots(mixed(seed, *(hashes[c[i:i + (1 << 16)]] for c in columns)), bits)
-                        found.append(((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0))
-                    return np.concatenate(found)
-
-                for columns, counts in grow(numbered, lead, len(known), held):
-                    some = counts > 0
-                    yield from listed(lang, known, lengths, [c[some] for c in columns], counts[some])
+            yield from counted(shard, bitmap.value)
     return run
 
 
+@contextmanager
+def short_batches(spark, size=TEXTS):
+    """Jobs run inside send texts to Python by ``size`` bytes; 10,000 texts at once would be held in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def frequent(docs, support=30):
     """(lang, phrase, size, f) of all phrases with f >= support, and (lang, n) with all words; both are stored tables."""
     spark = docs.sparkSession
@@ -304,13 +326,15 @@ def frequent(docs, support=30):
     tasks = max(-(-size // SHARD), min(spark.sparkContext.defaultParallelism, -(-size // SMALL)))  # every core has a shard
     dealt = rows.join(weights, "lang").select("lang", "weight", "data").coalesce(tasks)
 
-    local = stored(dealt.mapInArrow(mine(support), DDL), "phrase-local")
+    with short_batches(spark):
+        local = stored(dealt.mapInArrow(mine(support), DDL), "phrase-local")
     slack = stored(local.filter("phrase IS NULL").groupBy("lang").agg(F.sum("n").alias("slack")), "phrase-slack")
     united = local.filter("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("gain"))
     found = stored(united.join(slack, "lang").filter(F.col("gain") + F.col("slack") >= support).select("lang", "phrase"), "phrase-candidates")
     table, bits = candidate_filter(found, found.count())
-    counted = stored(dealt.mapInArrow(count(spark.sparkContext.broadcast(table), bits), DDL).groupBy("lang", "phrase", "size").agg(
-        F.sum("n").alias("f")).filter(F.col("phrase").isNull() | (F.col("f") >= support)), "phrase-counts")
+    with short_batches(spark):
+        counted = stored(dealt.mapInArrow(count(spark.sparkContext.broadcast(table), bits), DDL).groupBy("lang", "phrase", "size").agg(
+            F.sum("n").alias("f")).filter(F.col("phrase").isNull() | (F.col("f") >= support)), "phrase-counts")
     return (counted.filter("phrase IS NOT NULL"),
             counted.filter("phrase IS NULL").select("lang", F.col("f").alias("n")))
 

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -122,3 +123,36 @@ def test_one_long_text_is_mined_in_bounded_shards(monkeypatch):
     w = text.split()
     want = Counter(tuple(w[i:i + size]) for size in range(1, 5) for i in range(len(w) - size + 1))
     assert +total == want
+
+
+def test_a_shard_is_grown_in_place(monkeypatch):
+    monkeypatch.setattr(pm, "TOGETHER", 20_000)
+    rng, n = random.Random(3), 2_000_000
+    text = " ".join(rng.choices([f"w{i}" for i in range(2_000)], k=n)).encode()
+    small, large = (s for t in (text[:1000], text) for s, _ in pm.shards([("en", len(t), t)]))
+    held = [small, large]
+    monkeypatch.setattr(pm, "shards", lambda _: [(held.pop(0), {"en": len(text)})])
+    del small, large
+    list(pm.mine(30)([]))  # pyarrow imports what it needs at first use
+    tracemalloc.start()
+    found = sum(b.num_rows for b in pm.mine(30)([]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > 2_000 and peak < 3 * n  # the run has four bytes to a word: no copy of it, and no number beside it
+
+
+def test_texts_reach_python_in_short_batches_and_the_setting_is_put_back(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    monkeypatch.setattr(pm, "stored", lambda df, name="t", stored=pm.stored: seen.append((name, spark.conf.get(key, None))) or stored(df, name))
+    before = spark.conf.get(key, None)
+    pm.frequent(awkward(spark, rows(random.Random(1), 20)), 3)
+    assert spark.conf.get(key, None) == before
+    assert dict(seen)["phrase-local"] == dict(seen)["phrase-counts"] == str(pm.TEXTS)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], names=["n"])
+
+    with pm.short_batches(spark, 50_000):
+        got = spark.range(0, 1000, 1, 1).selectExpr("repeat('x', 1000) AS data").mapInArrow(sizes, "n bigint").collect()
+    assert len(got) > 10 and max(r["n"] for r in got) < 100_000
