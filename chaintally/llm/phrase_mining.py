@@ -16,8 +16,8 @@ if it occurs at least ``support`` times there, overlaps included.
    shard what to count. It may let through too much, which the sum discards, and never too little.
 
 Counts of a shard are summed before they are dealt by phrase, so a frequent phrase reaches its
-task as one row per shard. A shard is a bounded stretch of bytes, also inside one long text: its
-last words are carried over, and no phrase is lost or counted twice. With many more shards than
+task as one row per shard. A shard is a bounded stretch of bytes and of at most about ``DISTINCT``
+words, also inside one long text: its last words are carried over, and no phrase is lost or counted twice. With many more shards than
 ``support`` each t is 1: step 1 then reports every phrase that it sees, which costs a shuffle of
 the distinct phrases per shard, and the results stay exact.
 
@@ -44,9 +44,9 @@ from chaintally.session import stored
 common.travels(__name__)
 
 LONGEST = 4
-#: Bytes of text to a shard at most, and as few as that where cores would stand idle; places counted at once; bytes of
-#: phrases to a batch of rows; bytes of texts to a batch; greatest size of the filter.
-SHARD, SMALL, TOGETHER, BATCH, TEXTS, BITS = 96_000_000, 4_000_000, 500_000, 8_000_000, 4_000_000, 27
+#: Bytes of text to a shard at most, and as few as that where cores would stand idle; distinct words that end a shard
+#: earlier; places counted at once; bytes of phrases to a batch of rows; bytes of texts to a batch; greatest size of the filter.
+SHARD, SMALL, DISTINCT, TOGETHER, BATCH, TEXTS, BITS = 96_000_000, 4_000_000, 2_000_000, 500_000, 8_000_000, 4_000_000, 27
 #: Bits of the filter per candidate, and places of a candidate in it.
 SPREAD, PLACES = 16, 4
 #: What separates pieces becomes a line feed; the byte 0xFF, which no text holds, marks them among the words.
@@ -121,7 +121,7 @@ def shards(rows):
     for lang, weight, data in rows:
         weights[lang] = weight
         for _, piece in common.slices(data, CUT):
-            if shard.total >= SHARD:
+            if shard.total >= SHARD or len(shard.numbers) > DISTINCT:
                 tails = shard.tails(lang)
                 yield shard, weights
                 shard, weights = Shard(tails), {lang: weight}

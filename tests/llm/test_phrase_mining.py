@@ -156,3 +156,19 @@ def test_texts_reach_python_in_short_batches_and_the_setting_is_put_back(spark,
     with pm.short_batches(spark, 50_000):
         got = spark.range(0, 1000, 1, 1).selectExpr("repeat('x', 1000) AS data").mapInArrow(sizes, "n bigint").collect()
     assert len(got) > 10 and max(r["n"] for r in got) < 100_000
+
+
+def test_many_distinct_words_end_a_shard(monkeypatch):
+    monkeypatch.setattr(common.slices, "__defaults__", (100,))
+    w = [f"{'a' if i % 3 else 'b'}{i // 2 if i % 2 else i % 7}" for i in range(3_000)]
+    text = " ".join(w).encode()
+    whole = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([len(text)]), pa.array([text])], names=["lang", "weight", "data"])
+    want = Counter(" ".join(w[i:i + size]) for size in range(1, 5) for i in range(len(w) - size + 1))
+    assert len(set(w)) > 1_000 and len(list(pm.shards([("en", len(text), text)]))) == 1
+    monkeypatch.setattr(pm, "DISTINCT", 200)
+    found = list(pm.shards([("en", len(text), text)]))
+    assert len(found) > 4 and max(len(s.numbers) for s, _ in found) < 250
+    total = Counter()
+    for b in pm.mine(1)([whole]):
+        total.update({r["phrase"]: r["n"] for r in b.to_pylist() if r["phrase"]})
+    assert total == want
