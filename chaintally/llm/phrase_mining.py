@@ -16,10 +16,11 @@ if it occurs at least ``support`` times there, overlaps included.
    shard what to count. It may let through too much, which the sum discards, and never too little.
 
 Counts of a shard are summed before they are dealt by phrase, so a frequent phrase reaches its
-task as one row per shard. A shard is a bounded stretch of bytes and of at most about ``DISTINCT``
-words, also inside one long text: its last words are carried over, and no phrase is lost or counted twice. With many more shards than
-``support`` each t is 1: step 1 then reports every phrase that it sees, which costs a shuffle of
-the distinct phrases per shard, and the results stay exact.
+task as one row per shard. A shard is a bounded stretch of bytes with about ``DISTINCT`` distinct
+words at most, also inside one long text: its last words are carried over, and no phrase is lost
+or counted twice. With many more shards than ``support`` each t is 1: step 1 then reports every
+phrase that it sees, which costs a shuffle of the distinct phrases per shard, and the results stay
+exact.
 
 Scores are whole numbers, computed in decimals. Defined results: NULL and empty texts have no
 words; a NULL language is ``und``; repeated rows count each time; ties are broken by phrase, so
