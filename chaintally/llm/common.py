@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -20,6 +21,8 @@ travels(__name__)
 
 #: Words are looked for in slices of about this many bytes of a long text.
 SLICE = 1 << 22
+#: Bytes of texts to an Arrow batch.
+TEXTS = 4_000_000
 
 
 def slices(data: bytes, cut: re.Pattern, size: int = SLICE):
@@ -57,5 +60,20 @@ def struct_udf(make, ddl, schema: pa.Schema):
     return F.arrow_udf(run, ddl)
 
 
+@contextmanager
+def short_batches(spark, size=TEXTS):
+    """Jobs run inside send texts to Python by ``size`` bytes; 10,000 texts at once would be held in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def read(spark, root, name):
     return spark.read.parquet(f"{root}/{name}.parquet")

@@ -9,6 +9,7 @@ The field is fitted on the driver to a documented, bounded sample: the labelled
 come first in the order of a hash of doc_id, at most ``MOST_DOCS`` of them and none of more than
 ``MOST_LINES`` lines; the lines of a document carry its label. Scores read nothing but texts, in
 whole, whatever their length. Each task gets the weights and a table of character classes.
+``digest`` and ``keep_good`` store what they find, while texts reach Python by bytes, not by rows.
 
 Defined results: a NULL, empty or blank text scores 0; labels other than 0 and 1 or NULL are
 ignored, and of several labels of a document the lowest counts; without labels of both kinds
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chaintally.llm import common
+from chaintally.session import stored
 
 common.travels(__name__)
 
@@ -161,7 +163,8 @@ def sample(docs, labels, most_docs=MOST_DOCS, most_lines=MOST_LINES):
     """(features, label) pairs of the bounded training sample, held-out documents left out."""
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(
         F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    short = docs.select("doc_id", "text").filter(F.regexp_count("text", F.lit("\n")) < most_lines)
+    # an aggregate, unlike a filter, is not moved ahead of the join: lines are counted in labelled texts only
+    short = F.when(F.regexp_count("text", F.lit("\n")) < most_lines, F.col("text"))
     table = character_classes()
 
     def run(batches):
@@ -171,9 +174,10 @@ def sample(docs, labels, most_docs=MOST_DOCS, most_lines=MOST_LINES):
                 [batch["doc_id"], batch["quality"], pa.array([x.astype(np.float32).tobytes() for x in rows], pa.binary())], ["doc_id", "quality", "own"])
 
     # of rows that repeat an id, the least text
-    found = short.join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).mapInArrow(
-        run, "doc_id bigint, quality int, own binary")
-    rows = {r["doc_id"]: (np.frombuffer(bytes(r["own"]), np.float32).reshape(-1, OWN).astype(float), r["quality"]) for r in found.toLocalIterator()}
+    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(
+        F.min(short).alias("text")).filter("text IS NOT NULL").mapInArrow(run, "doc_id bigint, quality int, own binary")
+    with common.short_batches(docs.sparkSession):
+        rows = {r["doc_id"]: (np.frombuffer(bytes(r["own"]), np.float32).reshape(-1, OWN).astype(float), r["quality"]) for r in found.toLocalIterator()}
     return [rows[k] for k in sorted(rows) if len(rows[k][0])]
 
 
@@ -216,13 +220,18 @@ def score(docs, labels, **bounds):
 
 
 def keep_good(docs, labels, accept=ACCEPT, **bounds):
-    """The documents that score at least ``accept``, with their own columns."""
+    """The documents that score at least ``accept``, with their own columns, as a stored table."""
     own = docs.columns
     whole = docs.select(F.struct(*own).alias("__own"), "doc_id", "text")
-    return score(whole, labels, **bounds).filter(F.col("score") >= accept).select("__own.*")
+    kept = score(whole, labels, **bounds).filter(F.col("score") >= accept).select("__own.*")
+    with common.short_batches(docs.sparkSession):
+        return stored(kept, "quality-kept")
 
 
 def digest(docs, labels):
     """One row per document: doc_id, held_out, score, predicted."""
-    return score(docs.select("doc_id", "text"), labels).select(
+    found = score(docs.select("doc_id", "text"), labels).select("doc_id", "score")
+    with common.short_batches(docs.sparkSession):
+        found = stored(found, "quality-scores")
+    return found.select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))

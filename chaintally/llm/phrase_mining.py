@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import re
 from array import array
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +39,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from chaintally.llm import common
+from chaintally.llm.common import TEXTS, short_batches  # noqa: F401
 from chaintally.session import stored
 
 common.travels(__name__)
 
 LONGEST = 4
 #: Bytes of text to a shard at most, and as few as that where cores would stand idle; distinct words that end a shard
-#: earlier; places counted at once; bytes of phrases to a batch of rows; bytes of texts to a batch; greatest size of the filter.
-SHARD, SMALL, DISTINCT, TOGETHER, BATCH, TEXTS, BITS = 96_000_000, 4_000_000, 2_000_000, 500_000, 8_000_000, 4_000_000, 27
+#: earlier; places counted at once; bytes of phrases to a batch of rows; greatest size of the filter.
+SHARD, SMALL, DISTINCT, TOGETHER, BATCH, BITS = 96_000_000, 4_000_000, 2_000_000, 500_000, 8_000_000, 27
 #: Bits of the filter per candidate, and places of a candidate in it.
 SPREAD, PLACES = 16, 4
 #: What separates pieces becomes a line feed; the byte 0xFF, which no text holds, marks them among the words.
@@ -303,21 +303,6 @@ def count(bitmap, bits):
     return run
 
 
-@contextmanager
-def short_batches(spark, size=TEXTS):
-    """Jobs run inside send texts to Python by ``size`` bytes; 10,000 texts at once would be held in the JVM and in Python."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(size))
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
-
 def frequent(docs, support=30):
     """(lang, phrase, size, f) of all phrases with f >= support, and (lang, n) with all words; both are stored tables."""
     spark = docs.sparkSession

@@ -1,9 +1,10 @@
 import itertools
+import zlib
 
 import numpy as np
 import pytest
 
-from chaintally.llm import crf_quality as crf, queries
+from chaintally.llm import common, crf_quality as crf, queries
 from conftest import TESTDATA
 from llm_cases import AWKWARD, awkward, table
 
@@ -71,3 +72,25 @@ def test_labels_of_held_out_documents_are_not_learned(spark):
     docs, known = (spark.read.parquet(f"{root}/{n}.parquet") for n in ("documents", "labels"))
     turned = known.withColumn("quality", crf.F.when(crf.held_out("doc_id"), 1 - crf.F.col("quality")).otherwise(crf.F.col("quality")))
     assert table(crf.digest(docs, known)) == table(crf.digest(docs, turned))
+
+
+def test_texts_reach_python_in_short_batches_and_the_setting_is_put_back(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    monkeypatch.setattr(crf, "stored", lambda df, name="t", stored=crf.stored: seen.append((name, spark.conf.get(key, None))) or stored(df, name))
+    before, known = spark.conf.get(key, None), spark.createDataFrame([(1, 1), (9, 0)], "doc_id long, quality int")
+    crf.digest(awkward(spark), known)
+    crf.keep_good(awkward(spark), known)
+    assert spark.conf.get(key, None) == before
+    assert seen == [("quality-scores", str(common.TEXTS)), ("quality-kept", str(common.TEXTS))]
+
+
+def test_lines_are_counted_in_labelled_texts_only(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "good\n" * i) for i in range(1, 9)] + [(3, "a"), (4, None)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(1, 7)], "doc_id long, quality int")
+    counted = spark.sparkContext.accumulator(0)
+    find = crf.F.udf(lambda text: counted.add(1) or (text or "").count("\n"), "int")
+    monkeypatch.setattr(crf.F, "regexp_count", lambda text, _: find(text))
+    labelled = [i for i in range(1, 7) if zlib.crc32(str(i).encode()) % crf.FOLDS != crf.HELD_OUT]
+    found = crf.sample(docs, known, most_lines=5)
+    assert [(len(own), label) for own, label in found] == [(1 if i == 3 else i, i % 2) for i in labelled if i < 5]
+    assert counted.value <= sum(i in labelled for i in [*range(1, 9), 3, 4])
