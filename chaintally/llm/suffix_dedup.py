@@ -10,10 +10,11 @@ neighbouring windows with one key form a region, and the work goes in four steps
 2. Per shard, equal texts fold into one. Regions whose key occurs in another text or shard are
    kept, equal regions fold into the one of the smallest doc_id, and the rest go on by key.
 3. Regions of a key meet in one task, in blocks of bounded size. A block is sorted as a suffix
-   array by Larsson-Sadakane refinement (4 bytes, then doubling, unsorted groups only), Kasai's
-   method gives the common prefixes, walking all regions in step, and runs of at least
-   ``SPAN`` common bytes give each window its smallest document. A key with more regions than a
-   block is cut into several suffix arrays, merged by binary search in sorted windows.
+   array by Larsson-Sadakane refinement (as many bytes as fit a number, then doubling, unsorted
+   groups only), Kasai's method gives the common prefixes, walking all regions in step, and runs
+   of at least ``SPAN`` common bytes give each window its smallest document. A key whose regions
+   are all equal needs no array; one with more regions than a block is cut into several suffix
+   arrays, merged by binary search in sorted windows.
 4. The removals found return to the shards of the texts and are applied once per text. Documents
    get the result of their text by a join on its hash, in which a text of many copies can be split.
 
@@ -44,7 +45,9 @@ common.travels(__name__)
 SPAN = 50
 GRAM = 16
 #: Bytes of text to a shard, fewest shards, bytes hashed together, bytes of a suffix array.
-SHARD, FEWEST, TOGETHER, BLOCK = 16_000_000, 32, 2_000_000, 2_000_000
+SHARD, FEWEST, TOGETHER, BLOCK = 16_000_000, 32, 250_000, 2_000_000
+#: Bytes of a suffix array over several keys: as many as stay in a core's cache.
+FILL = 250_000
 #: Windows to a region at most; documents with a key above which its windows are dealt singly.
 WIDTH, HOT = 200, 1_000_000
 LAST = np.iinfo(np.int64).max
@@ -126,8 +129,8 @@ def regions(texts):
 
 
 def once(key, text):
-    """Distinct (key, text) pairs, by key."""
-    order = np.lexsort((text, key))
+    """Distinct (key, text) pairs, by key; the numbers of the texts ascend."""
+    order = np.argsort(key, kind="stable")
     key, text = key[order], text[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
@@ -188,7 +191,7 @@ def count_keys(shards):
                 continue
             key, home = np.concatenate(keys), np.concatenate(homes)
             bucket, low = (key >> np.uint64(32)) % np.uint64(shards), key & np.uint64(0xFFFFFFFF)
-            order = np.lexsort((home, low, bucket))
+            order = np.lexsort((home, bucket << np.uint64(32) | low))
             bucket, low, home = bucket[order], low[order], home[order]
             new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (home[1:] != home[:-1])])
             at = np.flatnonzero(new)
@@ -322,64 +325,74 @@ def suffix_array(text, starts):
     place, low = np.uint64(PLACES), np.uint64((1 << PLACES) - 1)
     sizes = np.diff(starts)
     rest = np.repeat(starts[1:], sizes) - np.arange(n)  # bytes to the end of the region
-    wide = np.zeros(n + 4, np.uint64)
-    wide[:n] = text
-    wide[:n] += 1
+    used = np.bincount(text, minlength=256) > 0
+    base, depth = max(2, int(used.sum()) + 1), 4
+    while base ** (depth + 1) < 1 << (64 - PLACES):
+        depth += 1
+    wide = np.zeros(n + depth, np.uint64)
+    wide[:n] = np.cumsum(used)[text]
     first = np.zeros(n, np.uint64)
-    for j in range(4):
-        first = (first << np.uint64(9)) | np.where(rest > j, wide[j:j + n], np.uint64(0))
+    for j in range(depth):
+        first *= np.uint64(base)
+        first += np.where(rest > j, wide[j:j + n], np.uint64(0))
     first = np.sort((first << place) | np.arange(n, dtype=np.uint64))
     order = (first & low).astype(np.int64)
     first >>= place
     new = np.concatenate([[True], first[1:] != first[:-1]])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]  # a group's rank is the place of its first suffix
-    depth, longest = 4, int(sizes.max(initial=0))
-    while depth < longest:
-        open_ = np.flatnonzero(~(new & np.append(new[1:], True)))
-        if not len(open_):
-            break
+    rank = np.empty(n, np.uint64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.uint64), np.uint64(0)))  # a group's rank is the place of its first suffix
+    longest = int(sizes.max(initial=0))
+    open_ = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in groups of several suffixes
+    while depth < longest and len(open_):
         at = order[open_]
-        behind = np.where(rest[at] > depth, rank[np.minimum(at + depth, n - 1)] + 1, 0)
-        key = (rank[at].astype(np.uint64) << np.uint64(2 * PLACES + 1)) | (behind.astype(np.uint64) << place) | at.astype(np.uint64)
+        behind = np.where(rest[at] > depth, rank.take(at + depth, mode="clip") + np.uint64(1), np.uint64(0))
+        key = (rank[at] << np.uint64(2 * PLACES + 1)) | (behind << place) | at.view(np.uint64)
         key.sort()
         at = (key & low).astype(np.int64)
         key >>= place
         order[open_] = at
         parted = np.concatenate([[True], key[1:] != key[:-1]])
-        new[open_] |= parted
-        rank[at] = np.maximum.accumulate(np.where(parted, open_, 0))
+        rank[at] = np.maximum.accumulate(np.where(parted, open_, 0)).view(np.uint64)
         depth *= 2
+        open_ = open_[~(parted & np.append(parted[1:], True))]
     return order
 
 
-def common_prefixes(text, starts, order):
-    """Kasai's method, all regions walked in step: the common bytes of each suffix and the one before it in order."""
+def common_prefixes(text, starts, order, least=1):
+    """Kasai's method, all regions walked in step: the common bytes of each suffix and the one before it in order.
+
+    Positions are laid out step by step, so a step reads slices, and bytes are compared eight at a time. A region
+    is walked as far as its suffixes have ``least`` bytes; the shorter ones get 0.
+    """
     n = len(text)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
     sizes = np.diff(starts)
-    end = np.repeat(starts[1:], sizes)
     lanes = np.argsort(-sizes, kind="stable")
-    begin, sizes = starts[:-1][lanes], sizes[lanes]
-    same, shared = np.zeros(len(lanes), np.int64), np.zeros(n, np.int64)
-    for t in range(int(sizes.max(initial=0))):
-        k = int(np.searchsorted(-sizes, -t, side="left"))  # regions longer than t
-        at = begin[:k] + t
-        spot = place[at]
-        before = order[np.maximum(spot - 1, 0)]
-        same = np.maximum(same[:k] - 1, 0)
-        same[spot == 0] = 0
-        limit = np.minimum(end[at] - at, end[before] - before)
-        limit[spot == 0] = 0
-        same = np.minimum(same, limit)
-        go = np.flatnonzero(same < limit)
+    begin, sizes = starts[:-1][lanes], np.maximum(0, sizes[lanes] - least + 1)
+    alive = np.searchsorted(-sizes, -np.arange(int(sizes.max(initial=0))), side="left")  # regions longer than the step
+    at = np.concatenate([np.empty(0, np.int64), *[begin[:k] + t for t, k in enumerate(alive.tolist())]])
+    before = np.empty(n, np.int64)
+    before[order[1:]] = order[:-1]
+    before[order[:1]] = n
+    before = before[at]
+    rest = np.append(np.repeat(starts[1:], np.diff(starts)) - np.arange(n), 0)  # bytes to the end of the region
+    limit = np.minimum(rest[at], rest[before])
+    word = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(8, np.uint8)), 8).copy().view("<u8").ravel()
+    same, shared, x = np.zeros(len(begin), np.int64), np.zeros(n, np.int64), 0
+    for k in alive.tolist():
+        a, b, most = at[x:x + k], before[x:x + k], limit[x:x + k]
+        same = np.minimum(np.maximum(same[:k] - 1, 0), most)
+        go = np.flatnonzero(same < most)
         while len(go):
-            go = go[text[at[go] + same[go]] == text[before[go] + same[go]]]
-            same[go] += 1
-            go = go[same[go] < limit[go]]
-        shared[spot] = same
-    return shared
+            of = same[go]
+            other = word[a[go] + of] ^ word[b[go] + of]
+            low = other & (~other + np.uint64(1))  # the first bit that differs
+            of += np.where(other == 0, 8, (np.frexp(low.astype(np.float64))[1] - 1) >> 3)
+            of = np.minimum(of, most[go])
+            same[go] = of
+            go = go[(other == 0) & (of < most[go])]
+        shared[a] = same
+        x += k
+    return shared[order]
 
 
 class Block:
@@ -389,7 +402,7 @@ class Block:
         self.starts = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
         self.text = np.frombuffer(b"".join(bodies), np.uint8)
         order = suffix_array(self.text, self.starts)
-        shared = common_prefixes(self.text, self.starts, order)
+        shared = common_prefixes(self.text, self.starts, order, SPAN)
         region = np.repeat(np.arange(len(bodies)), np.diff(self.starts))
         whole = np.repeat(self.starts[1:], np.diff(self.starts))[order] - order >= SPAN
         # no suffix shorter than a window stands between two equal windows, so leaving them out parts no group
@@ -438,41 +451,37 @@ def compare(block):
         heads = [expand(r["a"], np.int64).reshape(-1, 4) for r in of]
         home = np.repeat([int(r["d"]) for r in of], [len(h) for h in heads])
         head = np.concatenate(heads)
-        bodies = []
+        bodies, windows = [], np.concatenate([expand(r["b"], np.int32) for r in of]).astype(np.int64) - SPAN + 1
         for r in of:
             data, at = expand(r["c"]), np.concatenate([[0], np.cumsum(expand(r["b"], np.int32))]).tolist()
             bodies += [data[x:y] for x, y in zip(at[:-1], at[1:])]
         # equal regions fold into one of the smallest document
-        number, unique, least, keys = {}, [], [], []
-        member = np.empty(len(bodies), np.int64)
-        for k, (key, doc) in enumerate(zip(head[:, 0].tolist(), head[:, 1].tolist())):
-            u = number.setdefault((key, bodies[k]), len(unique))
-            member[k] = u
-            if u == len(unique):
-                unique.append(bodies[k])
-                least.append(doc)
-                keys.append(key)
-            else:
-                least[u] = min(least[u], doc)
-        least, keys = np.array(least), np.array(keys)
+        number = {}
+        member = np.array([number.setdefault(e, len(number)) for e in zip(head[:, 0].tolist(), bodies)])
+        unique = [body for _, body in number]
+        least, keys, wide = np.full(len(unique), LAST), np.empty(len(unique), np.int64), np.empty(len(unique), np.int64)
+        np.minimum.at(least, member, head[:, 1])
+        keys[member], wide[member] = head[:, 0], windows
+        # the smallest document of each window of the distinct regions, to begin with the least of its own region
+        smallest, spot = np.repeat(least, wide), np.cumsum(wide) - wide
         order = np.argsort(keys, kind="stable")
-        size = np.array([len(unique[k]) for k in order])
-        smallest = [None] * len(unique)
+        new = np.concatenate([[True], np.diff(keys[order]) != 0, [True]])
+        order = order[~(new[:-1] & new[1:])]  # the windows of a key's only region have no equals elsewhere
+        size = wide[order] + SPAN - 1
 
         def solve(parts):
             blocks = [Block([unique[k] for k in p], least[p]) for p in parts]
             if len(blocks) > 1:
                 merge(blocks)
             for p, b in zip(parts, blocks):
-                all_ = b.smallest()
-                for k, x, y in zip(p.tolist(), b.starts[:-1].tolist(), b.starts[1:].tolist()):
-                    smallest[k] = all_[x:y - SPAN + 1]
+                at = np.arange(wide[p].sum()) - np.repeat(np.cumsum(wide[p]) - wide[p], wide[p])
+                smallest[np.repeat(spot[p], wide[p]) + at] = b.smallest()[np.repeat(b.starts[:-1], wide[p]) + at]
 
-        edge = np.append(np.flatnonzero(np.diff(keys[order])) + 1, len(order))
+        edge = np.append(np.flatnonzero(np.diff(keys[order])) + 1, len(order)) if len(order) else np.empty(0, np.int64)
         begin, filled, start = 0, 0, 0
-        for e in edge.tolist():  # keys are put together up to a block; a larger key is cut into blocks
+        for e in edge.tolist():  # small keys are put together; a key larger than a block is cut into blocks
             mine = int(size[start:e].sum())
-            if filled and filled + mine > block:
+            if filled and filled + mine > min(FILL, block):
                 solve([order[begin:start]])
                 begin, filled = start, 0
             filled += mine
@@ -483,10 +492,9 @@ def compare(block):
             start = e
         if filled:
             solve([order[begin:]])
-        windows = np.array([len(unique[u]) - SPAN + 1 for u in range(len(unique))])[member]
         which = np.repeat(np.arange(len(member)), windows)
         place = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-        gone = np.concatenate([smallest[u] for u in member.tolist()]) < head[which, 1]
+        gone = smallest[spot[member][which] + place] < head[which, 1]
         which, place = which[gone], place[gone]
         if len(which):
             new = np.concatenate([[True], (which[1:] != which[:-1]) | (place[1:] != place[:-1] + 1)])

@@ -114,3 +114,47 @@ def test_texts_whose_hashes_collide_stay_apart(spark, monkeypatch, hash_of):
     docs = passages() + [(200, "x" * 80), (201, "y" * 80), (202, "x" * 80), (None, "z" * 80)]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     assert table(sd.deduplicate(frame, shard_bytes=3000, fewest=3)) == brute(docs)
+
+
+def test_keys_of_one_region_need_no_suffix_array(monkeypatch):
+    rnd, sizes = random.Random(4), []
+
+    class Seen(sd.Block):
+        def __init__(self, bodies, docs):
+            sizes.append(sum(map(len, bodies)))
+            super().__init__(bodies, docs)
+
+    monkeypatch.setattr(sd, "Block", Seen)
+    monkeypatch.setattr(sd, "FILL", 400)
+    word = lambda n: bytes(rnd.choice(b"abcd") for _ in range(n))
+    bodies, found = {k: [word(rnd.randint(50, 99))] for k in range(40)}, []
+    for k in range(20, 40):  # the other keys have one region only, in several documents
+        bodies[k] += [word(9) + bodies[k][0][5:], bodies[k][0] + word(7)]
+    for k in bodies:
+        found += [(k, rnd.choice([rnd.randint(0, 9), sd.LAST]), 1000 * k + n, 3 * n, rnd.choice(bodies[k])) for n in range(6)]
+    rnd.shuffle(found)
+    head = np.array([r[:4] for r in found], np.int64)
+    row = (0, sd.REGIONS, sd.squeeze(head), sd.squeeze(np.array([len(r[4]) for r in found], np.int32)), sd.squeeze(b"".join(r[4] for r in found)), b"7")
+    got = set()
+    for r in sd.compare(sd.BLOCK)(pa.Table.from_batches([sd.rows([row])])).to_pylist():
+        assert (r["dest"], r["kind"]) == (7, sd.REMOVED)
+        for text, first, last in zip(*(sd.expand(r[c], np.int64).tolist() for c in "abc")):
+            got |= {(text, p) for p in range(first, last - sd.SPAN + 1)}
+    first = {}
+    for key, doc, _, _, body in found:
+        for p in range(len(body) - sd.SPAN + 1):
+            e = (key, body[p:p + sd.SPAN])
+            first[e] = min(first.get(e, doc), doc)
+    assert got == {(text, at + p) for key, doc, text, at, body in found for p in range(len(body) - sd.SPAN + 1) if first[key, body[p:p + sd.SPAN]] < doc}
+    assert sum(sizes) <= sum(len(b) for k in range(20, 40) for b in bodies[k]) and max(sizes) <= 400
+
+
+@pytest.mark.parametrize("least", [2, 30, 50, 60])
+def test_prefixes_of_long_suffixes_only(least):
+    rnd = random.Random(least)
+    bodies = [bytes(rnd.choice(b"ab\xff") for _ in range(rnd.randint(1, 90))) for _ in range(9)] + [b"x" * 80] * 3
+    starts = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
+    text = np.frombuffer(b"".join(bodies), np.uint8)
+    order = sd.suffix_array(text, starts)
+    rest = (np.repeat(starts[1:], np.diff(starts)) - np.arange(len(text)))[order]
+    assert np.array_equal(sd.common_prefixes(text, starts, order, least), np.where(rest >= least, sd.common_prefixes(text, starts, order), 0))
