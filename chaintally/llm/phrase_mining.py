@@ -7,20 +7,23 @@ if it occurs at least ``support`` times there, overlaps included.
 1. Rows are gathered into shards of about ``SHARD`` bytes. A shard with the share w/W of a
    language's bytes is mined completely at the local support t = ceil(support * w / W): words
    become numbers, phrases grow word by word, and only from parts that reach t. A phrase that is
-   frequent over all reaches t in some shard.
+   frequent over all reaches t in some shard. Phrases are reported by hashes of ``HASH`` bits.
 2. The locally frequent phrases are united. Shards that did not report a phrase hold at most t - 1
    of it, so its reported counts and that rest bound its total from above; phrases that cannot
-   reach the support go. This keeps the candidates few where t is 1 or 2.
-3. The texts are read again and all candidates are counted, shard by shard, then summed by
+   reach the support go. This keeps the candidates few where t is 1 or 2. Phrases that share a
+   hash share the bound, which may keep too much and never too little.
+3. The texts are read again and all candidates are counted as text, shard by shard, then summed by
    phrase. A Bloom filter of the candidates, at most 2^``BITS`` bits whatever the corpus, tells a
    shard what to count. It may let through too much, which the sum discards, and never too little.
 
 Counts of a shard are summed before they are dealt by phrase, so a frequent phrase reaches its
-task as one row per shard. A shard is a bounded stretch of bytes with about ``DISTINCT`` distinct
+task once per shard. A shard is a bounded stretch of bytes with about ``DISTINCT`` distinct
 words at most, also inside one long text: its last words are carried over, and no phrase is lost
-or counted twice. With many more shards than ``support`` each t is 1: step 1 then reports every
-phrase that it sees, which costs a shuffle of the distinct phrases per shard, and the results stay
-exact.
+or counted twice. With more shards than ``support`` each t is 1: step 1 then reports every phrase
+that it sees, and the results stay exact. So reports travel packed: sorted hashes as differences,
+some 3 bytes to a phrase, and texts compressed, many to a row, dealt into buckets by hash. A task
+unites one bucket after the other and holds the distinct phrases of one. There are four buckets to
+``DEAL`` bytes of text, at most ``BUCKETS``: beyond, they grow with the corpus.
 
 Scores are whole numbers, computed in decimals. Defined results: NULL and empty texts have no
 words; a NULL language is ``und``; repeated rows count each time; ties are broken by phrase, so
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +54,10 @@ LONGEST = 4
 SHARD, SMALL, DISTINCT, TOGETHER, BATCH, BITS = 96_000_000, 4_000_000, 2_000_000, 500_000, 8_000_000, 27
 #: Bits of the filter per candidate, and places of a candidate in it.
 SPREAD, PLACES = 16, 4
+#: Bits of a phrase's hash; the rest of 64 bits is for its count.
+HASH, COUNT = 40, 24
+#: Bytes of text whose reports one task unites; most buckets; bytes of reports packed, and united, at once.
+DEAL, BUCKETS, PACK, FOLD = 48_000_000, 1 << 14, 4_000_000, 32_000_000
 #: What separates pieces becomes a line feed; the byte 0xFF, which no text holds, marks them among the words.
 PIECES = bytes(10 if c in b".,;:!?\n\x0b\f\r" else c for c in range(256))
 CUT = re.compile(rb"[.,;:!?\x09-\x0D ]")
@@ -58,6 +66,9 @@ BREAK = b"\xff"
 MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 ROWS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
 DDL = "lang string, phrase string, size int, n bigint"
+#: Packed reports of a shard: to the sum of the bucket and language, n; phrases with counts, data.
+PACKED = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("n", pa.int64()), ("data", pa.binary())])
+PACKED_DDL = "bucket int, lang string, n bigint, data binary"
 
 
 class Numbers(dict):
@@ -198,12 +209,12 @@ def _rows(batches):
             yield lang.as_py(), weight.as_py(), data.as_py()
 
 
-def _vocabulary(shard, hashed=False):
-    """The words by number as text (the break as empty text), their lengths and, if wanted, hashes; empties the shard's."""
+def _vocabulary(shard):
+    """The words by number as text (the break as empty text), their lengths and hashes; empties the shard's."""
     known = list(shard.numbers)
     shard.numbers.clear()
     known[0] = b""
-    hashes = np.fromiter(map(name, known), np.uint64, len(known)) if hashed else None
+    hashes = np.fromiter(map(name, known), np.uint64, len(known))
     return pa.array(known, pa.binary()).cast(pa.string()), np.fromiter(map(len, known), np.int64, len(known)), hashes
 
 
@@ -211,28 +222,49 @@ def _one(lang, n):
     return pa.record_batch([pa.array([lang]), pa.array([None], pa.string()), pa.array([0], pa.int32()), pa.array([n], pa.int64())], schema=ROWS)
 
 
-def mine(support):
-    """Step 1: per shard, rows (lang, phrase, size, count - (t - 1)) and one row (lang, NULL, 0, t - 1)."""
+def give_back():
+    """Memory that a worker freed goes back to the system, where the allocators would keep it beside the next shard."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def as_text(lang, vocabulary, found, slack):
+    """Reports as rows (lang, phrase, size, gain), and one row (lang, NULL, 0, slack)."""
+    known, lengths, _ = vocabulary
+    yield _one(lang, slack)
+    for columns, gains in found:
+        yield from listed(lang, known, lengths, columns, gains)
+
+
+def mine(support, report=as_text):
+    """Step 1: per shard and language what ``report`` makes of the phrases, with count - (t - 1) as gain, and of t - 1."""
+
+    def reached(least, phrases):
+        for columns, counts in phrases:
+            enough = counts >= least
+            yield [c[enough] for c in columns], counts[enough] - least + 1
 
     def mined(shard, weights):
-        known, lengths, _ = _vocabulary(shard)
+        vocabulary = _vocabulary(shard)
         for lang in shard.by_words():
             numbered = shard.take(lang)
             if not shard.size.get(lang):
                 continue
             least = max(1, -(-support * shard.size[lang] // weights[lang]))
-            yield _one(lang, least - 1)
-            for columns, counts in grow(numbered, shard.lead.get(lang, 0), len(known), lambda _, n: n >= least):
-                enough = counts >= least
-                yield from listed(lang, known, lengths, [c[enough] for c in columns], counts[enough] - least + 1)
+            phrases = grow(numbered, shard.lead.get(lang, 0), len(vocabulary[0]), lambda _, n: n >= least)
+            yield from report(lang, vocabulary, reached(least, phrases), least - 1)
 
     def run(batches):
         for shard, weights in shards(_rows(batches)):
             yield from mined(shard, weights)  # what it holds goes before the next shard is read
+            give_back()
     return run
 
 
-# ---- the filter of candidates -------------------------------------------------------------------
+# ---- packed reports -----------------------------------------------------------------------------
 
 def mixed(seed, *columns):
     """Hashes of phrases from a seed and the hashes of their words."""
@@ -243,21 +275,199 @@ def mixed(seed, *columns):
     return h
 
 
-def spots(h, bits):
-    """Where a filter of 2^bits bits holds each hash: an array of ``PLACES`` rows."""
-    h = h.astype(np.uint64)
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(h + np.uint64(i) * step) & np.uint64((1 << bits) - 1) for i in range(PLACES)]).astype(np.int64)
-
-
 def name(data: bytes):
     import xxhash
 
     return np.uint64(xxhash.xxh64_intdigest(data))
 
 
+def phrase_hashes(lang, hashes, columns):
+    return mixed(name(lang.encode()), *(hashes[c] for c in columns)) >> np.uint64(64 - HASH)
+
+
+def bucket_of(h, buckets):
+    return (h * np.uint64(buckets) >> np.uint64(HASH)).astype(np.uint16)
+
+
+def squeeze(numbers, rest=b""):
+    """Numbers of 64 bits, the lowest byte of all first, and further bytes, compressed."""
+    import zstandard
+
+    planes = numbers.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(len(numbers).to_bytes(8, "little") + planes + rest)
+
+
+def unsqueeze(data):
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(data[:8], "little")
+    return np.frombuffer(data, np.uint8, 8 * n, 8).reshape(8, n).T.copy().view(np.uint64).ravel(), memoryview(data)[8 + 8 * n:]
+
+
+def pack_hashes(held):
+    """Sorted numbers, each a hash above a count: hashes become differences."""
+    numbers = held.copy()
+    numbers[1:] -= held[:-1] >> np.uint64(COUNT) << np.uint64(COUNT)
+    return squeeze(numbers)
+
+
+def unpack_hashes(data):
+    numbers, _ = unsqueeze(data)
+    low = np.uint64((1 << COUNT) - 1)
+    return np.cumsum(numbers >> np.uint64(COUNT)) << np.uint64(COUNT) | numbers & low
+
+
+def fold_hashes(parts):
+    """One number per hash, with the sum of its counts, which stays at the most that a number can hold."""
+    numbers = np.concatenate(parts)
+    numbers.sort()
+    h, low = numbers >> np.uint64(COUNT), np.uint64((1 << COUNT) - 1)
+    starts = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+    return h[starts] << np.uint64(COUNT) | np.minimum(np.add.reduceat(numbers & low, starts), low)
+
+
+def pack_texts(phrases, counts):
+    """An array of phrases and their counts in a shard, which is no longer than what Arrow's lengths hold."""
+    offsets = np.frombuffer(phrases.buffers()[1], np.int32, len(phrases) + 1, 4 * phrases.offset)
+    return squeeze(counts.astype(np.uint64) << np.uint64(32) | np.diff(offsets).astype(np.uint64),
+                   phrases.buffers()[2][offsets[0]:offsets[-1]].to_pybytes())
+
+
+def unpack_texts(data):
+    numbers, text = unsqueeze(data)
+    offsets = np.concatenate([[0], np.cumsum(numbers & np.uint64(0xFFFFFFFF))]).astype(np.int32)
+    phrases = pa.Array.from_buffers(pa.string(), len(numbers), [None, pa.py_buffer(offsets), pa.py_buffer(text)])
+    return pa.table({"phrase": phrases, "n": (numbers >> np.uint64(32)).astype(np.int64)})
+
+
+def fold_texts(parts):
+    return pa.concat_tables(parts).group_by("phrase", use_threads=False).aggregate([("n", "sum")]).select(["phrase", "n_sum"]).rename_columns(["phrase", "n"])
+
+
+def units(support):
+    """What one in the count of a hash stands for, so that ``COUNT`` bits can reach any support."""
+    return 1 + (int(max(support, 0)) >> (COUNT - 4))
+
+
+def packed(rows, lang):
+    buckets, numbers, data = zip(*rows)
+    return pa.record_batch([pa.array(buckets, pa.int32()), pa.array([lang] * len(buckets), pa.string()), pa.array(numbers, pa.int64()),
+                            pa.array(data, pa.binary())], schema=PACKED)
+
+
+def stretches(buckets):
+    """(bucket, begin, end) of equal neighbours."""
+    ends = [*(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)] if len(buckets) else []
+    return [(int(buckets[i]), i, j) for i, j in zip([0, *ends], ends)]
+
+
+def as_hashes(support, buckets):
+    """Reports as packed hashes; the slack goes to every bucket."""
+    unit = units(support)
+
+    def flushed(lang, held):
+        numbers = np.concatenate(held)
+        held.clear()
+        numbers.sort()
+        return packed([(b, 0, pack_hashes(numbers[i:j])) for b, i, j in stretches(bucket_of(numbers >> np.uint64(COUNT), buckets))], lang)
+
+    def report(lang, vocabulary, found, slack):
+        if slack:
+            yield packed([(b, slack, b"") for b in range(buckets)], lang)
+        held, size = [], 0
+        for columns, gains in found:
+            if len(gains):
+                counts = np.minimum(-(-gains // unit), (1 << COUNT) - 1).astype(np.uint64)
+                held.append(phrase_hashes(lang, vocabulary[2], columns) << np.uint64(COUNT) | counts)
+                size += held[-1].nbytes
+            if size >= PACK:
+                yield flushed(lang, held)
+                size = 0
+        if held:
+            yield flushed(lang, held)
+    return report
+
+
+def as_packed_text(lang, vocabulary, found, words, buckets):
+    """Counts as packed texts; the number of words goes to the first bucket."""
+    known, lengths, hashes = vocabulary
+    yield packed([(0, words, b"")], lang)
+    held, size = [], 0
+
+    def flushed():
+        into, phrases, counts = (np.concatenate([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]), np.concatenate([h[2] for h in held]))
+        held.clear()
+        order = np.argsort(into, kind="stable")
+        phrases, counts = phrases.take(pa.array(order)), counts[order]
+        return packed([(b, 0, pack_texts(phrases[i:j], counts[i:j])) for b, i, j in stretches(into[order])], lang)
+
+    for columns, counts in found:
+        begin, into = 0, bucket_of(phrase_hashes(lang, hashes, columns), buckets)
+        for batch in listed(lang, known, lengths, columns, counts):
+            held.append((into[begin:begin + len(batch)], batch.column("phrase"), batch.column("n").to_numpy()))
+            begin, size = begin + len(batch), size + batch.nbytes
+            if size >= PACK:
+                yield flushed()
+                size = 0
+    if held:
+        yield flushed()
+
+
+def gathered(batches, unpack, fold):
+    """(bucket, lang, sum of n, folded parts or None) of rows that come by bucket and language.
+
+    Parts are folded when they outgrow what is folded already: little more than the distinct phrases is held.
+    """
+    rows = (row for batch in batches for row in zip(*(batch.column(c) for c in PACKED.names)))
+    for (bucket, lang), group in groupby(rows, lambda row: (row[0].as_py(), row[1].as_py())):
+        total, parts, size = 0, [], 0
+        for _, _, n, data in group:
+            total += n.as_py()
+            if data := data.as_py():
+                parts.append(unpack(data))
+                size += parts[-1].nbytes
+                if size > max(FOLD, parts[0].nbytes):
+                    parts, size = [fold(parts)], 0
+        yield bucket, lang, total, fold(parts) if parts else None
+
+
+def unite(support):
+    """Step 2: the hashes of each bucket whose gains and slack reach the support."""
+
+    def run(batches):
+        for _, _, slack, numbers in gathered(batches, unpack_hashes, fold_hashes):
+            if numbers is not None:
+                gain = (numbers & np.uint64((1 << COUNT) - 1)).astype(np.int64) * units(support)
+                h = numbers[gain + slack >= support] >> np.uint64(COUNT)
+                yield pa.record_batch([pa.array(h.astype(np.int64))], names=["hash"])
+    return run
+
+
+def total(support):
+    """The end of step 3: rows (lang, phrase, size, f) with f >= support, and rows (lang, NULL, 0, words)."""
+
+    def run(batches):
+        for bucket, lang, words, found in gathered(batches, unpack_texts, fold_texts):
+            if not bucket:
+                yield _one(lang, words)
+            for batch in (found.filter(pc.field("n") >= support).to_batches(1 << 16) if found else ()):
+                size = pc.add(pc.count_substring(batch.column("phrase"), " "), 1).cast(pa.int32())
+                yield pa.record_batch([pa.array([lang] * len(batch), pa.string()), batch.column("phrase"), size, batch.column("n")], schema=ROWS)
+    return run
+
+
+# ---- the filter of candidates -------------------------------------------------------------------
+
+def spots(h, bits):
+    """Where a filter of 2^bits bits holds each hash: an array of ``PLACES`` rows."""
+    h = mixed(bits, h.astype(np.uint64))
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    return np.stack([(h + np.uint64(i) * step) & np.uint64((1 << bits) - 1) for i in range(PLACES)]).astype(np.int64)
+
+
 def candidate_filter(found, count):
-    """The bits of the Bloom filter of (lang, phrase) rows, and their number as a power of two.
+    """The bits of the Bloom filter of hashes, and their number as a power of two.
 
     The bits are set by Spark's bitmap aggregate, 32,768 to a row, so what reaches the driver is the filter itself.
     """
@@ -265,11 +475,9 @@ def candidate_filter(found, count):
 
     def place(batches):
         for batch in batches:
-            h = [mixed(name(lang.encode()), *(np.array([name(w)]) for w in phrase.encode().split(b" ")))[0]
-                 for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())]
-            yield pa.record_batch([pa.array(spots(np.array(h, np.uint64), bits).ravel() + 1)], names=["bit"])
+            yield pa.record_batch([pa.array(spots(batch.column("hash").to_numpy(), bits).ravel() + 1)], names=["bit"])
 
-    rows = found.select("lang", "phrase").mapInArrow(place, "bit bigint").groupBy(
+    rows = found.mapInArrow(place, "bit bigint").groupBy(
         F.bitmap_bucket_number("bit").alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     table = np.zeros((max(1, (1 << bits) // 32768), 4096), np.uint8)
     for r in rows.toLocalIterator():
@@ -277,29 +485,28 @@ def candidate_filter(found, count):
     return table.ravel(), bits
 
 
-def count(bitmap, bits):
-    """Step 3: per shard, rows (lang, phrase, size, count) of what the filter holds, and one row (lang, NULL, 0, words)."""
+def count(bitmap, bits, buckets):
+    """Step 3: per shard the packed counts of what the filter holds, and its words."""
 
     def counted(shard, table):
-        known, lengths, hashes = _vocabulary(shard, True)
+        vocabulary = _vocabulary(shard)
         for lang in shard.by_words():
-            numbered, lead, seed = shard.take(lang), shard.lead.get(lang, 0), name(lang.encode())
-            yield _one(lang, int(np.count_nonzero(numbered[lead:])))
+            numbered, lead = shard.take(lang), shard.lead.get(lang, 0)
 
-            def held(columns, _, seed=seed):
+            def held(columns, _, lang=lang):
                 found = [np.empty(0, bool)]
                 for i in range(0, len(columns[0]), 1 << 16):
-                    at = spots(mixed(seed, *(hashes[c[i:i + (1 << 16)]] for c in columns)), bits)
+                    at = spots(phrase_hashes(lang, vocabulary[2], [c[i:i + (1 << 16)] for c in columns]), bits)
                     found.append(((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0))
                 return np.concatenate(found)
 
-            for columns, counts in grow(numbered, lead, len(known), held):
-                some = counts > 0
-                yield from listed(lang, known, lengths, [c[some] for c in columns], counts[some])
+            phrases = (([c[counts > 0] for c in columns], counts[counts > 0]) for columns, counts in grow(numbered, lead, len(vocabulary[0]), held))
+            yield from as_packed_text(lang, vocabulary, phrases, int(np.count_nonzero(numbered[lead:])), buckets)
 
     def run(batches):
         for shard, _ in shards(_rows(batches)):
             yield from counted(shard, bitmap.value)
+            give_back()
     return run
 
 
@@ -309,20 +516,22 @@ def frequent(docs, support=30):
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), common.as_bytes().alias("data"))
     weights = stored(rows.groupBy("lang").agg(F.sum(F.octet_length("data")).alias("weight")).filter("weight > 0"), "phrase-weights")
     size = weights.agg(F.sum("weight")).first()[0] or 1
-    tasks = max(-(-size // SHARD), min(spark.sparkContext.defaultParallelism, -(-size // SMALL)))  # every core has a shard
+    cores = min(spark.sparkContext.defaultParallelism, -(-size // SMALL))
+    tasks = max(-(-size // SHARD), cores)  # every core has a shard
     dealt = rows.join(weights, "lang").select("lang", "weight", "data").coalesce(tasks)
+    deals = max(-(-size // DEAL), cores)
+    buckets = min(4 * deals, BUCKETS)
+
+    def by_bucket(reports):
+        return dealt.mapInArrow(reports, PACKED_DDL).repartition(deals, "bucket").sortWithinPartitions("bucket", "lang")
 
     with short_batches(spark):
-        local = stored(dealt.mapInArrow(mine(support), DDL), "phrase-local")
-    slack = stored(local.filter("phrase IS NULL").groupBy("lang").agg(F.sum("n").alias("slack")), "phrase-slack")
-    united = local.filter("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("gain"))
-    found = stored(united.join(slack, "lang").filter(F.col("gain") + F.col("slack") >= support).select("lang", "phrase"), "phrase-candidates")
-    table, bits = candidate_filter(found, found.count())
+        local = stored(by_bucket(mine(support, as_hashes(support, buckets))).mapInArrow(unite(support), "hash bigint"), "phrase-local")
+    table, bits = candidate_filter(local, local.count())
     with short_batches(spark):
-        counted = stored(dealt.mapInArrow(count(spark.sparkContext.broadcast(table), bits), DDL).groupBy("lang", "phrase", "size").agg(
-            F.sum("n").alias("f")).filter(F.col("phrase").isNull() | (F.col("f") >= support)), "phrase-counts")
-    return (counted.filter("phrase IS NOT NULL"),
-            counted.filter("phrase IS NULL").select("lang", F.col("f").alias("n")))
+        counted = stored(by_bucket(count(spark.sparkContext.broadcast(table), bits, buckets)).mapInArrow(total(support), DDL), "phrase-counts")
+    return (counted.filter("phrase IS NOT NULL").withColumnRenamed("n", "f"),
+            counted.filter("phrase IS NULL").groupBy("lang").agg(F.sum("n").alias("n")))
 
 
 def scored(found):

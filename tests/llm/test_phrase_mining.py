@@ -172,3 +172,58 @@ def test_many_distinct_words_end_a_shard(monkeypatch):
     for b in pm.mine(1)([whole]):
         total.update({r["phrase"]: r["n"] for r in b.to_pylist() if r["phrase"]})
     assert total == want
+
+
+@pytest.mark.parametrize("shard,support", [(150, 7), (2_000, 7), (6_000, 40)])
+def test_packed_reports_lose_nothing_whatever_their_size(spark, monkeypatch, shard, support):
+    for key, value in {"SHARD": shard, "PACK": 300, "FOLD": 400, "DEAL": 3_000, "BATCH": 100, "TOGETHER": 50}.items():
+        monkeypatch.setattr(pm, key, value)
+    docs = rows(random.Random(shard), 80)
+    found, totals = pm.frequent(awkward(spark, docs), support)
+    f, n = counts([(r[2], r[1]) for r in docs])
+    want = sorted(((lang, " ".join(p), len(p), c) for lang in f for p, c in f[lang].items() if c >= support), key=repr)
+    assert len(want) > 20 and table(found, "lang", "phrase", "size", "f") == want
+    assert table(totals) == sorted(((lang, c) for lang, c in n.items() if c), key=repr)
+
+
+def test_the_first_pass_stores_candidates_only_however_many_the_shards(spark, monkeypatch):
+    monkeypatch.setattr(pm, "SHARD", 500)  # more shards than the support: every phrase is frequent in its shard
+    held = {}
+    monkeypatch.setattr(pm, "stored", lambda df, name="t", stored=pm.stored: held.setdefault(name, stored(df, name)))
+    docs = [(i, " ".join(f"w{i}x{k}" for k in range(100)) + " new york city", "en") for i in range(40)]
+    found, _ = pm.frequent(awkward(spark, docs), 30)
+    assert found.count() == held["phrase-local"].count() == 6
+
+
+def test_a_shard_with_local_support_1_reports_few_bytes_to_a_phrase():
+    rng = random.Random(4)
+    w = [f"word{rng.randrange(5_000)}" for _ in range(60_000)]
+    text = " ".join(w).encode()
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([10**9]), pa.array([text])], names=["lang", "weight", "data"])
+    want = Counter(" ".join(w[i:i + size]) for size in range(1, 5) for i in range(len(w) - size + 1))
+    hashes = list(pm.mine(30, pm.as_hashes(30, 8))([batch]))
+    assert sum(b.nbytes for b in hashes) < 4 * len(want)
+    together = pm.fold_hashes([pm.unpack_hashes(d) for b in hashes for d in b.column("data").to_pylist()])
+    assert len(together) == len(want) and int((together & np.uint64((1 << pm.COUNT) - 1)).sum()) == sum(min(c, (1 << pm.COUNT) - 1) for c in want.values())
+
+    class Everything:
+        value = np.full(1 << 13, 255, np.uint8)
+
+    texts = [b for b in pm.count(Everything, 16, 8)([batch])]
+    assert sum(b.nbytes for b in texts) < 16 * len(want)
+    parts = pm.fold_texts([pm.unpack_texts(d) for b in texts for d in b.column("data").to_pylist() if d])
+    assert dict(zip(parts["phrase"].to_pylist(), parts["n"].to_pylist())) == want and sum(n for b in texts for n in b.column("n").to_pylist()) == len(w)
+
+
+@pytest.mark.parametrize("support", [1, 30, (1 << 24) - 1, 1 << 24, 10**12])
+def test_counts_of_hashes_reach_any_support(support):
+    vocabulary = None, None, np.array([1, 2, 3], np.uint64)
+    enough, less, alone = -(-support // 3), support // 5, support
+    report = pm.as_hashes(support, 1)
+    shards = [b for gains in ([enough, less, 0], [enough, less, 0], [enough, less, alone])
+              for b in report("en", vocabulary, [([np.flatnonzero(gains)], np.array(gains, np.int64)[np.flatnonzero(gains)])], 0)]
+    found = np.concatenate([b.column("hash").to_numpy() for b in pm.unite(support)(shards)])
+    h = pm.phrase_hashes("en", vocabulary[2], [np.array([0, 1, 2])]).astype(np.int64)
+    assert set(found) == {h[0], h[2]}
+    slack = list(report("en", vocabulary, [([np.array([1])], np.array([less + 1]))], support - less - 1))
+    assert pm.unite(support)(slack).__next__().column("hash").to_pylist() == [h[1]]
